@@ -1,0 +1,4 @@
+"""Queries over the test tables, each with SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
