@@ -128,12 +128,12 @@ def _span_writer(width: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Rows with the two halves of the text's digest as content address; equal texts share it."""
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), *also)
     digest = F.md5("text")
     half = lambda a: F.coalesce(F.conv(F.substring(digest, a, 16), 16, -10).cast("long"), F.lit(0))
-    return raw.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), "text")
+    return raw.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), "text", *also)
 
 
 @dataclass
@@ -218,10 +218,10 @@ def _expander(width: int):
     return run
 
 
-def _remover(width: int):
+def _remover(width: int, first: str = "doc_id"):
     def run(batches):
         for batch in batches:
-            out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept_text": []}
+            out = {first: batch.column(0), "n_words": [], "n_removed": [], "kept_text": []}
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
@@ -241,21 +241,21 @@ def _remover(width: int):
                 out["n_removed"].append(len(words) - len(kept))
                 out["kept_text"].append(b" ".join(kept))
             yield pa.RecordBatch.from_arrays(
-                [out["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.binary())],
+                [out[first], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.binary())],
                 names=list(out),
             )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 2, carry: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept_text (UTF-8 bytes of the kept words, joined by one space).
 
     The rows arrive in `batches` batches, by a hash of their text; each becomes a run of the index
     and is matched with the runs before it and itself.  A word goes if a window over it starts
     anywhere else too, on either side of a match and within one text.  A null or empty text has no words; a
     text of fewer than `width` words loses none; repeated rows and equal texts repeat each other's
-    windows.  Only the id and text columns are read.
+    windows.  Only the id and text columns are read, unless `carry` asks for whole rows in a column `row`.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
@@ -285,10 +285,28 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
     spans = whole.unionByName(parts.select("k1", "k2", "start", "cnt", "mask"))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "cnt", "mask")).alias("spans"))
-    return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        _remover(width), "doc_id long, n_words long, n_removed long, kept_text binary"
+    if carry:
+        whole_rows = _keyed(docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("row")), id_col, text_col, ("row",))
+        first, kind = "row", whole_rows.schema["row"].dataType.simpleString()
+    else:
+        whole_rows, first, kind = keyed, "doc_id", "bigint"
+    return whole_rows.join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(
+        _remover(width, first), f"{first} {kind}, n_words long, n_removed long, kept_text binary"
     )
 
 
+def substring_dedup_stage(docs: DataFrame, width: int = 35) -> DataFrame:
+    """Documents without the repeated passages, columns kept: a text that loses words becomes its kept words, joined by
+    one space, with n_chars to match; texts that lose nothing stay as they are, and those that lose all of
+    their words go."""
+    names = docs.columns
+    out = substring_dedup(docs, width=width, carry=True)
+    out = out.where("n_words = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text").cast("string")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(changed, F.length(F.col("kept_text").cast("string"))).otherwise(F.col("row.n_chars")).cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+
+
 def substring_digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
