@@ -1,4 +1,498 @@
 """Queries over the test tables, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.columns import fields, grid_cells, key_range, owner, same_text, side, to_text
+from .functions.hashing import Ring, ring_lookup
+from .operators import grid as gridop
+from .operators import joins, migrate, routing, stats
+from .plans import greedy, prefix_sum
+from .plans.grid import Grid, change_grid, merge_sends, overlaps, size_grid
+from .plans.intervals import length
+from .sources.files import last_by_key, zipf_counts
+from .streaming.joins import drain, file_stream, stream_band_join, stream_equi_join, stream_load
+
+NODES, BAND = 5, 10
+SIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+#: A short last column; grid rows and columns are chosen by functions of the row.
+GRID = Grid(4, 3, "col", 2)
+_SKEW = "CASE WHEN l_orderkey % 10 < 5 THEN 0 WHEN l_orderkey % 10 = 5 THEN 7 ELSE l_partkey % 50 END"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sides(spark: SparkSession, sf_dir: str, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of lineitem with the asked columns, prefixed r_ and s_."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("side", side(*SIDE))
+    cut = lambda s, p: rows.where(F.col("side") == s).select(*[F.col(c).alias(f"{p}_{c[2:]}") for c in cols])
+    return cut("R", "r"), cut("S", "s")
+
+
+def skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with side, a skewed key and its hash owner in task."""
+    rows = table(spark, sf_dir, "lineitem").select(*SIDE).withColumn("side", side(*SIDE)).withColumn("key", F.expr(_SKEW))
+    return rows.withColumn("task", owner(F.col("key"), NODES))
+
+
+# joins
+
+
+def equi_join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = sides(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey")
+    return joins.equi_join(r.withColumnRenamed("r_orderkey", "key"), s.withColumnRenamed("s_orderkey", "key"), ["key"])
+
+
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = sides(spark, sf_dir, "l_orderkey", "l_quantity")
+    met = joins.band_join(r, s.select("s_orderkey", "s_quantity"), "r_orderkey", "s_orderkey", BAND)
+    return met.groupBy(F.col("r_orderkey").alias("key")).agg(F.count("*").alias("n_pairs"), F.sum("s_quantity").alias("sum_s_quantity"))
+
+
+def _band_filtered(r: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return r.where(same_text(F.col("r_returnflag"), F.lit("r"))), s.where((F.col("s_quantity") > 48) & same_text(F.col("s_linestatus"), F.lit("o")))
+
+
+def band_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = sides(spark, sf_dir, "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    r, s = _band_filtered(r, s)
+    met = joins.band_join(r.select("r_orderkey", "r_partkey"), s.select("s_orderkey", "s_partkey", "s_quantity"), "r_orderkey", "s_orderkey", BAND)
+    return met.select("r_orderkey", "r_partkey", "s_orderkey", "s_partkey", "s_quantity")
+
+
+def band_join_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = sides(spark, sf_dir, *SIDE, "l_returnflag", "l_quantity", "l_linestatus")
+    r, s = _band_filtered(r, s)
+    text = lambda p: to_text(*[f"{p}_{c[2:]}" for c in SIDE]).alias(f"{p}_text")
+    met = joins.band_join(r.select("r_orderkey", text("r")), s.select("s_orderkey", text("s")), "r_orderkey", "s_orderkey", BAND)
+    return met.select(F.concat_ws("|", "r_text", "s_text").alias("joined"))
+
+
+def ineq_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = sides(spark, sf_dir, "l_orderkey")
+    return joins.inequality_counts(r.withColumnRenamed("r_orderkey", "key"), s.withColumnRenamed("s_orderkey", "key"), "key")
+
+
+def cust_order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.count_by_key(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+
+
+def cust_order_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cust_order_counts(spark, sf_dir).agg(F.sum("n_rows").cast("long").alias("total"))
+
+
+# statistics
+
+
+def _hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(skewed(spark, sf_dir))
+
+
+def node_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.node_load(_hist(spark, sf_dir), NODES)
+
+
+def node_key_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hist(spark, sf_dir)
+
+
+def key_side_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.key_side_load(skewed(spark, sf_dir))
+
+
+def load_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.bounds(node_load(spark, sf_dir), NODES)
+
+
+def load_bounds_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quick_bounds(node_load(spark, sf_dir), NODES)
+
+
+def overloaded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.overloaded(node_load(spark, sf_dir), NODES)
+
+
+def migrate_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.migrate_volume(node_load(spark, sf_dir), NODES)
+
+
+def utility_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.utility_rank(_hist(spark, sf_dir))
+
+
+# planners
+
+
+def plan_split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_sum.plan_moves(_hist(spark, sf_dir), NODES, "random")
+
+
+def plan_split_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_sum.plan_moves(_hist(spark, sf_dir), NODES, "first")
+
+
+def _greedy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return greedy.as_table(spark, greedy.PLANNERS[name](greedy.collect_histogram(_hist(spark, sf_dir), NODES)))
+
+
+def plan_split_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "last")
+
+
+def plan_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "fit")
+
+
+def plan_boundary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "boundary")
+
+
+def plan_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "quick")
+
+
+def plan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "band")
+
+
+def end_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_sum.end_checks(plan_split_first(spark, sf_dir))
+
+
+def load_after_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.node_load(prefix_sum.histogram_after(_hist(spark, sf_dir), plan_split_first(spark, sf_dir)), NODES)
+
+
+def route_table_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_sum.route_table(_hist(spark, sf_dir), plan_split_first(spark, sf_dir))
+
+
+def route_table_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.route_table_size(route_table_after(spark, sf_dir))
+
+
+# routing
+
+
+def _seq():
+    return F.col("l_partkey") + F.col("l_suppkey")
+
+
+def dest_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = skewed(spark, sf_dir)
+    return routing.pick(rows, route_table_after(spark, sf_dir), _seq(), NODES).select(*SIDE, "side", "key", "task", "routed")
+
+
+def route_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = skewed(spark, sf_dir)
+    return routing.route_equi(rows, route_table_after(spark, sf_dir), _seq(), NODES).select(*SIDE, "side", "key", "task", "role", "routed")
+
+
+def broadcast_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route_equi(spark, sf_dir).groupBy("task").agg(F.count("*").alias("n_messages"))
+
+
+def equi_join_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = skewed(spark, sf_dir)
+
+    def cut(s: str, p: str) -> DataFrame:
+        seq = F.col("l_partkey") + F.col("l_suppkey")
+        return rows.where(F.col("side") == s).select(
+            "key", "l_orderkey", seq.alias("seq"), F.col("l_partkey").alias(f"{p}_partkey"), F.col("l_linenumber").alias(f"{p}_linenumber")
+        )
+
+    met = routing.routed_equi_join(cut("R", "r"), cut("S", "s"), route_table_after(spark, sf_dir), F.col("seq"), NODES, ["key", "l_orderkey"])
+    return met.select("key", "l_orderkey", "r_partkey", "r_linenumber", "s_partkey", "s_linenumber")
+
+
+def band_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return routing.band_fanout(rows, "l_orderkey", BAND, NODES).groupBy("task").agg(F.count("*").alias("n_probes"))
+
+
+# migration
+
+
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def migration_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return migrate.quotas(skewed(spark, sf_dir), plan_split_first(spark, sf_dir))
+
+
+def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = migrate.migrate(skewed(spark, sf_dir), plan_split_first(spark, sf_dir), _ORDER)
+    return moved.where("task <> from_task").select(*SIDE, "side", "key", "from_task", F.col("task").alias("to_task"))
+
+
+def equi_join_after_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R where it now lies meets S at each node that holds its key."""
+    moved = migrate.migrate(skewed(spark, sf_dir), plan_split_first(spark, sf_dir), _ORDER)
+    holders = route_table_after(spark, sf_dir).select("key", F.col("task").alias("at"))
+    r = moved.where("side = 'R'").select("key", "task", "l_orderkey", F.col("l_partkey").alias("r_partkey"), F.col("l_linenumber").alias("r_linenumber"))
+    s = moved.where("side = 'S'").join(F.broadcast(holders), "key", "left").select(  # nodes times split keys
+        "key", F.coalesce("at", "task").alias("task"), "l_orderkey", F.col("l_partkey").alias("s_partkey"), F.col("l_linenumber").alias("s_linenumber")
+    )
+    return r.join(s, ["key", "l_orderkey", "task"]).select("key", "l_orderkey", "r_partkey", "r_linenumber", "s_partkey", "s_linenumber")
+
+
+# grid
+
+
+_SIZES = ((20, 20, 250000), (100, 100, 100), (250, 90, 100), (640, 320, 170), (1000, 700, 300), (700, 1000, 300), (300000, 100000, 150000), (400000, 150000, 150000))
+
+
+def matrix_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for r, s, v in _SIZES:
+        g = size_grid(r, s, v)
+        rows.append((r, s, v, g["case"], g["rows"], g["cols"], g["short"], g["last"], g["nodes"]))
+    return spark.createDataFrame(rows, "n_r long, n_s long, v long, best string, grid_rows int, grid_cols int, short string, last int, nodes int")
+
+
+def _orders_cells(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    return gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey", *cols), GRID, "R", F.col("o_orderkey"))
+
+
+def _customer_cells(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    return gridop.assign(table(spark, sf_dir, "customer").select("c_custkey", *cols), GRID, "S", F.col("c_custkey"))
+
+
+def grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_cells(spark, sf_dir).select("o_orderkey", "node", "special")
+
+
+def matrix_join_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = joins.grid_join(_orders_cells(spark, sf_dir, "o_custkey"), _customer_cells(spark, sf_dir, "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    return met.select("o_orderkey", "c_custkey", "c_name")
+
+
+def matrix_join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = (F.abs(F.col("o_custkey") - F.col("c_custkey")) <= 1) & (F.col("o_totalprice") > F.col("c_acctbal"))
+    met = joins.grid_join(_orders_cells(spark, sf_dir, "o_custkey", "o_totalprice"), _customer_cells(spark, sf_dir, "c_acctbal"), near)
+    return met.select("o_orderkey", "o_custkey", "c_custkey")
+
+
+def matrix_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridop.node_rows(_orders_cells(spark, sf_dir), _customer_cells(spark, sf_dir))
+
+
+_OLD, _NEW = Grid(2, 2), Grid(4, 2)
+
+
+def matrix_cell_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(a[0], a[1], b[0], b[1], r, s, both) for a, b, r, s, both in overlaps(_OLD, _NEW, 1000, 600)]
+    return spark.createDataFrame(rows, "old_i int, old_j int, new_i int, new_j int, r_rows double, s_rows double, total double")
+
+
+def matrix_mig_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = merge_sends(change_grid(_OLD, Grid(3, 3, "col", 2), 1000, 600))
+    rows = [(a, b, s, length(x)) for (a, b, s), x in sorted(moves.items())]
+    return spark.createDataFrame(rows, "from_node int, to_node int, side string, fraction double")
+
+
+def free_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridop.free_nodes(spark, 40, gridop.grid_table(spark, GRID))
+
+
+def grid_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = spark.createDataFrame([("0 1 2|3 4 5|6 7 -1|8 9 -1",)], "map string")
+    return text.select(F.explode(grid_cells(F.col("map"))).alias("c")).select("c.i", "c.j", "c.node")
+
+
+# streams
+
+
+def _stream_sides(spark: SparkSession, sf_dir: str, *cols: str) -> tuple[DataFrame, DataFrame]:
+    def cut(s: str, p: str) -> DataFrame:
+        rows = file_stream(spark, sf_dir, "lineitem").withColumn("side", side(*SIDE)).where(F.col("side") == s)
+        return rows.select(*[F.col(c).alias(f"{p}_{c[2:]}") for c in cols])
+
+    return cut("R", "r"), cut("S", "s")
+
+
+def stream_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = _stream_sides(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey")
+    return drain(stream_equi_join(r.withColumnRenamed("r_orderkey", "key"), s.withColumnRenamed("s_orderkey", "key"), ["key"]), "stream-equi")
+
+
+def stream_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = _stream_sides(spark, sf_dir, "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    r, s = _band_filtered(r, s)
+    met = stream_band_join(r.select("r_orderkey", "r_partkey"), s.select("s_orderkey", "s_partkey", "s_quantity"), "r_orderkey", "s_orderkey", BAND)
+    return drain(met.select("r_orderkey", "r_partkey", "s_orderkey", "s_partkey", "s_quantity"), "stream-band")
+
+
+def stream_node_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = file_stream(spark, sf_dir, "events").select(owner(F.col("user_id"), NODES).alias("task"))
+    return drain(stream_load(rows), "stream-load", "complete")
+
+
+# utilities
+
+
+def zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipf_counts(spark)
+
+
+def pipe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = table(spark, sf_dir, "orders").select("o_orderkey", to_text("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("line"))
+    parts = text.withColumn("f", fields(F.col("line")))
+    return parts.select("o_orderkey", "line", F.col("f")[1].cast("long").alias("custkey"), F.col("f")[3].alias("priority"), F.size("f").alias("n_fields"))
+
+
+def last_wins_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", F.col("o_orderkey"))
+
+
+def key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band's keys around each customer, clamped at 0."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", key_range(F.col("c_custkey"), BAND).alias("k")).select("c_custkey", F.size("k").alias("n_keys"), F.array_min("k").alias("low"), F.array_max("k").alias("high"))
+
+
+def consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = Ring([f"node-{i}" for i in range(NODES)])
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return ring_lookup(keys, ring, "key")
+
+
+QUERIES = {
+    "equi_join_self": equi_join_self, "band_join": band_join, "band_join_filtered": band_join_filtered, "band_join_text": band_join_text,
+    "ineq_join": ineq_join, "cust_order_counts": cust_order_counts, "cust_order_total": cust_order_total,
+    "node_load": node_load, "node_key_load": node_key_load, "key_side_load": key_side_load, "load_bounds": load_bounds, "load_bounds_band": load_bounds_band,
+    "overloaded_nodes": overloaded_nodes, "migrate_volume": migrate_volume, "utility_rank": utility_rank,
+    "plan_split_random": plan_split_random, "plan_split_first": plan_split_first, "plan_split_last": plan_split_last, "plan_first_fit": plan_first_fit,
+    "plan_boundary_split": plan_boundary_split, "plan_quick": plan_quick, "plan_band": plan_band, "end_check_counts": end_check_counts,
+    "load_after_plan": load_after_plan, "route_table_after": route_table_after, "route_table_size": route_table_size,
+    "dest_pick": dest_pick, "route_equi": route_equi, "broadcast_count": broadcast_count, "equi_join_routed": equi_join_routed, "band_fanout": band_fanout,
+    "migration_quota": migration_quota, "migrated_rows": migrated_rows, "equi_join_after_migration": equi_join_after_migration,
+    "matrix_size": matrix_size, "grid_assign": grid_assign, "matrix_join_equi": matrix_join_equi, "matrix_join_theta": matrix_join_theta,
+    "matrix_load": matrix_load, "matrix_cell_overlap": matrix_cell_overlap, "matrix_mig_volume": matrix_mig_volume, "free_nodes": free_nodes, "grid_codec": grid_codec,
+    "stream_equi_join": stream_equi, "stream_band_join": stream_band, "stream_node_load": stream_node_load,
+    "zipf_counts": zipf, "pipe_roundtrip": pipe_roundtrip, "last_wins_by_key": last_wins_by_key, "key_ranges": key_ranges, "consistent_hash_ring": consistent_hash_ring,
+}
+
+# SQL
+
+_L = f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN ({' + '.join(SIDE)}) % 2 = 0 THEN 'R' ELSE 'S' END AS side, l_quantity, l_returnflag, l_linestatus FROM lineitem"
+_SKEWED = f"li AS ({_L}), sk AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, side, {_SKEW} AS key FROM li), skewed AS (SELECT *, CAST(key % {NODES} AS INTEGER) AS task FROM sk)"
+_HIST = (
+    f"{_SKEWED}, hist AS (SELECT task, key, count(*) AS count FROM skewed GROUP BY task, key), "
+    f"loads AS (SELECT CAST(n.task AS INTEGER) AS task, CAST(coalesce(sum(count), 0) AS BIGINT) AS load FROM range({NODES}) n(task) LEFT JOIN hist ON hist.task = n.task GROUP BY n.task), "
+    f"lim AS (SELECT total, bl, CAST(floor(bl * 1.01 + 1) AS BIGINT) AS ul FROM (SELECT CAST(sum(load) AS BIGINT) AS total, CAST(sum(load) // {NODES} + 1 AS BIGINT) AS bl FROM loads))"
+)
+
+
+def _plan(unload: str, fill: str) -> str:
+    return (
+        f"{_HIST}, don AS (SELECT task, load - bl AS excess FROM loads, lim WHERE load > ul), "
+        f"un AS (SELECT h.task, h.key, h.count, excess, coalesce(sum(h.count) OVER (PARTITION BY h.task ORDER BY {unload} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hist h JOIN don ON don.task = h.task), "
+        "am AS (SELECT task, key, least(count, excess - before) AS amount FROM un WHERE excess > before), "
+        "give AS (SELECT task, key, amount, sum(amount) OVER (ORDER BY task, key ROWS UNBOUNDED PRECEDING) AS hi FROM am), "
+        f"room AS (SELECT task, bl - load AS gap, sum(bl - load) OVER (ORDER BY {fill} ROWS UNBOUNDED PRECEDING) AS hi FROM loads, lim WHERE load < bl), "
+        "plan AS (SELECT g.task AS from_task, r.task AS to_task, g.key, CAST(least(g.hi, r.hi) - greatest(g.hi - g.amount, r.hi - r.gap) AS BIGINT) AS count "
+        "FROM give g JOIN room r ON g.hi - g.amount < r.hi AND r.hi - r.gap < g.hi)"
+    )
+
+
+_RANDOM, _FIRST = _plan("h.key", "task"), _plan("h.count DESC, h.key", "load DESC, task")
+_AFTER = (
+    f"{_FIRST}, moved AS (SELECT task, key, count FROM hist UNION ALL SELECT from_task, key, -count FROM plan UNION ALL SELECT to_task, key, count FROM plan), "
+    "after AS (SELECT task, key, CAST(sum(count) AS BIGINT) AS count FROM moved GROUP BY task, key HAVING sum(count) > 0), "
+    "routes AS (SELECT key, task, count FROM after WHERE key IN (SELECT key FROM plan))"
+)
+_CDF = (
+    f"{_AFTER}, cdf AS (SELECT key, task, sum(count) OVER (PARTITION BY key ORDER BY count, task ROWS UNBOUNDED PRECEDING) AS hi, count, sum(count) OVER (PARTITION BY key) AS total FROM routes), "
+    "picked AS (SELECT s.l_orderkey, s.l_partkey, s.l_suppkey, s.l_linenumber, s.side, s.key, c.task, TRUE AS routed FROM skewed s JOIN cdf c ON c.key = s.key "
+    "AND (s.l_partkey + s.l_suppkey) % c.total < c.hi AND (s.l_partkey + s.l_suppkey) % c.total >= c.hi - c.count "
+    "UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, side, key, task, FALSE FROM skewed WHERE key NOT IN (SELECT key FROM routes)), "
+    "sent AS (SELECT *, 'STORE' AS role FROM picked UNION ALL SELECT p.l_orderkey, p.l_partkey, p.l_suppkey, p.l_linenumber, p.side, p.key, r.task, p.routed, 'JOIN' FROM picked p JOIN routes r ON r.key = p.key AND r.task <> p.task)"
+)
+_QUOTA = (
+    f"{_FIRST}, mv AS (SELECT from_task, key, CAST(sum(count) AS BIGINT) AS count FROM plan GROUP BY from_task, key), "
+    "sd AS (SELECT task, key, count(*) FILTER (side = 'R') AS n_r, count(*) FILTER (side = 'S') AS n_s FROM skewed GROUP BY task, key), "
+    "qa AS (SELECT from_task, m.key, m.count, n_r, n_s, CASE WHEN least(n_r, n_s) < m.count // 2 THEN m.count - least(n_r, n_s) ELSE greatest(least(greatest(n_r, n_s), m.count // 2 + 1), m.count - least(n_r, n_s)) END AS lq "
+    "FROM mv m JOIN sd ON sd.task = m.from_task AND sd.key = m.key), "
+    "quota AS (SELECT from_task, key, count, n_r, n_s, CAST(CASE WHEN n_r >= n_s THEN lq ELSE count - lq END AS BIGINT) AS quota_r, CAST(CASE WHEN n_r >= n_s THEN count - lq ELSE lq END AS BIGINT) AS quota_s FROM qa)"
+)
+_SIDES_JOIN = "SELECT r.key, r.l_orderkey, r.l_partkey AS r_partkey, r.l_linenumber AS r_linenumber, s.l_partkey AS s_partkey, s.l_linenumber AS s_linenumber FROM skewed r JOIN skewed s ON r.key = s.key AND r.l_orderkey = s.l_orderkey WHERE r.side = 'R' AND s.side = 'S'"
+_EQUI = f"WITH li AS ({_L}) SELECT r.l_orderkey AS key, r.l_partkey AS r_partkey, r.l_suppkey AS r_suppkey, s.l_partkey AS s_partkey, s.l_suppkey AS s_suppkey FROM li r JOIN li s ON r.l_orderkey = s.l_orderkey WHERE r.side = 'R' AND s.side = 'S'"
+_BAND_ON = f"s.l_orderkey BETWEEN r.l_orderkey - {BAND} AND r.l_orderkey + {BAND}"
+_BAND_F = f"FROM (SELECT * FROM li WHERE side = 'R' AND l_returnflag = 'R') r JOIN (SELECT * FROM li WHERE side = 'S' AND l_quantity > 48 AND l_linestatus = 'O') s ON {_BAND_ON}"
+_BAND_ROWS = f"WITH li AS ({_L}) SELECT r.l_orderkey AS r_orderkey, r.l_partkey AS r_partkey, s.l_orderkey AS s_orderkey, s.l_partkey AS s_partkey, s.l_quantity AS s_quantity {_BAND_F}"
+_LINE = lambda t: f"concat_ws('|', {', '.join(f'{t}.{c}' for c in SIDE)})"
+_CELLS = [(n, i, j) for n, (i, j) in enumerate(GRID.cells())]
+_GRID_R = (
+    f"SELECT o_orderkey, c.node, FALSE AS special FROM orders JOIN (VALUES {', '.join(f'({n}, {i}, {j})' for n, i, j in _CELLS)}) c(node, i, j) ON o_orderkey % {GRID.rows} = c.i "
+    f"UNION ALL SELECT o_orderkey, c.node, TRUE FROM orders JOIN (VALUES {', '.join(f'({n}, {i})' for n, i, j in _CELLS if j == GRID.cols - 1)}) c(node, i) "
+    f"ON o_orderkey % {GRID.rows} >= {GRID.last} AND (o_orderkey // {GRID.rows}) % {GRID.last} = c.i"
+)
+_GRID_S = f"SELECT c_custkey, c.node FROM customer JOIN (VALUES {', '.join(f'({n}, {j})' for n, i, j in _CELLS)}) c(node, j) ON c_custkey % {GRID.cols} = c.j"
+_SIZE = f"""WITH inp(n_r, n_s, v) AS (VALUES {', '.join(f'({a}, {b}, {c})' for a, b, c in _SIZES)}),
+cases(ord, best, by_r, up) AS (VALUES (1, 'ru', TRUE, TRUE), (2, 'rl', TRUE, FALSE), (3, 'su', FALSE, TRUE), (4, 'sl', FALSE, FALSE)),
+a AS (SELECT n_r, n_s, v, ord, best, by_r, CAST(CASE WHEN by_r THEN n_r ELSE n_s END AS DOUBLE) AS p0, CAST(CASE WHEN by_r THEN n_s ELSE n_r END AS DOUBLE) AS a0, up FROM inp, cases),
+b AS (SELECT *, greatest(1, CASE WHEN up THEN ceil(p0 / (v / 2.0)) ELSE floor(p0 / (v / 2.0)) END) AS p FROM a),
+c AS (SELECT *, v - p0 / p AS rem FROM b), d AS (SELECT *, floor(a0 / rem) AS q0 FROM c WHERE rem > 0), e AS (SELECT *, a0 - q0 * rem AS surplus FROM d),
+f AS (SELECT *, CASE WHEN surplus <> 0 THEN ceil(p0 / (v - surplus)) ELSE p END AS lack, CASE WHEN surplus <> 0 THEN q0 + 1 ELSE q0 END AS q FROM e),
+g AS (SELECT *, p0 * q + (a0 - surplus) * p + CASE WHEN surplus <> 0 THEN surplus * lack ELSE 0 END AS cost FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY n_r, n_s, v ORDER BY cost, ord) AS k FROM g)
+SELECT CAST(n_r AS BIGINT) AS n_r, CAST(n_s AS BIGINT) AS n_s, CAST(v AS BIGINT) AS v, best, CAST(CASE WHEN by_r THEN p ELSE q END AS INTEGER) AS grid_rows, CAST(CASE WHEN by_r THEN q ELSE p END AS INTEGER) AS grid_cols,
+CASE WHEN by_r THEN 'col' ELSE 'row' END AS short, CAST(lack AS INTEGER) AS last, CAST(p * q - (p - lack) AS INTEGER) AS nodes FROM h WHERE k = 1"""
+_OVERLAP = """WITH o AS (SELECT i, j FROM range(2) a(i), range(2) b(j)), n AS (SELECT i, j FROM range(4) a(i), range(2) b(j)),
+x AS (SELECT o.i AS old_i, o.j AS old_j, n.i AS new_i, n.j AS new_j, greatest(0, least((o.i + 1) / 2.0, (n.i + 1) / 4.0) - greatest(o.i / 2.0, n.i / 4.0)) * 1000 AS r, greatest(0, least((o.j + 1) / 2.0, (n.j + 1) / 2.0) - greatest(o.j / 2.0, n.j / 2.0)) * 600 AS s FROM o, n)
+SELECT CAST(old_i AS INTEGER) AS old_i, CAST(old_j AS INTEGER) AS old_j, CAST(new_i AS INTEGER) AS new_i, CAST(new_j AS INTEGER) AS new_j, CAST(r AS DOUBLE) AS r_rows, CAST(s AS DOUBLE) AS s_rows, CAST(r + s AS DOUBLE) AS total FROM x"""
+
+ORACLES = {
+    "equi_join_self": _EQUI,
+    "band_join": f"WITH li AS ({_L}) SELECT r.l_orderkey AS key, count(*) AS n_pairs, sum(s.l_quantity) AS sum_s_quantity FROM (SELECT * FROM li WHERE side = 'R') r JOIN (SELECT * FROM li WHERE side = 'S') s ON {_BAND_ON} GROUP BY 1",
+    "band_join_filtered": _BAND_ROWS,
+    "band_join_text": f"WITH li AS ({_L}) SELECT {_LINE('r')} || '|' || {_LINE('s')} AS joined {_BAND_F}",
+    "ineq_join": f"WITH li AS ({_L}), k AS (SELECT l_orderkey AS key, CAST(count(*) FILTER (side = 'R') AS BIGINT) AS n_r, count(*) FILTER (side = 'S') AS n_s FROM li GROUP BY 1), c AS (SELECT key, n_r, CAST(coalesce(sum(n_s) OVER (ORDER BY key DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_greater FROM k) SELECT * FROM c WHERE n_r > 0",
+    "cust_order_counts": "SELECT c_custkey, count(*) AS n_rows FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey",
+    "cust_order_total": "SELECT count(*) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
+    "node_load": f"WITH {_HIST} SELECT * FROM loads",
+    "node_key_load": f"WITH {_HIST} SELECT * FROM hist",
+    "key_side_load": f"WITH {_SKEWED} SELECT key, count(*) FILTER (side = 'R') AS n_r, count(*) FILTER (side = 'S') AS n_s FROM skewed GROUP BY key",
+    "load_bounds": f"WITH {_HIST} SELECT * FROM lim",
+    "load_bounds_band": f"WITH {_HIST} SELECT total, CAST(total // {NODES} AS BIGINT) AS bl, CAST(floor((total // {NODES}) * CAST(1.01 AS DOUBLE)) AS BIGINT) AS ul, total / {NODES} * CAST(1.1 AS DOUBLE) AS band_bl FROM lim",
+    "overloaded_nodes": f"WITH {_HIST} SELECT task, load, load - bl AS excess FROM loads, lim WHERE load > ul",
+    "migrate_volume": f"WITH {_HIST}, b AS (SELECT total / {NODES} * CAST(1.1 AS DOUBLE) AS b FROM lim) SELECT CAST(coalesce(sum(floor(load - b)), 0) AS BIGINT) AS migrate_count FROM loads, b WHERE load > b",
+    "utility_rank": f"WITH {_HIST} SELECT key, max(count) AS mc, CAST(sum(count) AS BIGINT) AS load, max(count) / sum(count) AS utility FROM hist GROUP BY key",
+    "plan_split_random": f"WITH {_RANDOM} SELECT * FROM plan",
+    "plan_split_first": f"WITH {_FIRST} SELECT * FROM plan",
+    "end_check_counts": f"WITH {_FIRST} SELECT to_task AS task, count(*) AS n FROM plan GROUP BY to_task",
+    "load_after_plan": f"WITH {_AFTER} SELECT task, CAST(sum(count) AS BIGINT) AS load FROM after GROUP BY task",
+    "route_table_after": f"WITH {_AFTER} SELECT * FROM routes",
+    "route_table_size": f"WITH {_AFTER}, k AS (SELECT key, count(*) AS n FROM routes GROUP BY key) SELECT CAST(coalesce(sum(4 * (3 + 2 * (n - 1))), 0) AS BIGINT) AS bytes FROM k",
+    "dest_pick": f"WITH {_CDF} SELECT * FROM picked",
+    "route_equi": f"WITH {_CDF} SELECT * FROM sent",
+    "broadcast_count": f"WITH {_CDF} SELECT task, count(*) AS n_messages FROM sent GROUP BY task",
+    "equi_join_routed": f"WITH {_SKEWED} {_SIDES_JOIN}",
+    "band_fanout": f"SELECT CAST(k % {NODES} AS INTEGER) AS task, count(*) AS n_probes FROM (SELECT unnest(range(greatest(l_orderkey - {BAND}, 0), l_orderkey + {BAND + 1})) AS k FROM lineitem) GROUP BY 1",
+    "migration_quota": f"WITH {_QUOTA} SELECT * FROM quota",
+    "migrated_rows": f"WITH {_QUOTA}, rk AS (SELECT s.*, q.quota_r, q.quota_s, row_number() OVER (PARTITION BY s.task, s.key, s.side ORDER BY {', '.join(_ORDER)}) AS n FROM skewed s JOIN quota q ON q.from_task = s.task AND q.key = s.key), "
+    "ps AS (SELECT *, CASE WHEN side = 'R' THEN n - 1 ELSE quota_r + n - 1 END AS p FROM rk WHERE n <= CASE WHEN side = 'R' THEN quota_r ELSE quota_s END), "
+    "tg AS (SELECT from_task, to_task, key, count, sum(count) OVER (PARTITION BY from_task, key ORDER BY to_task ROWS UNBOUNDED PRECEDING) AS hi FROM plan) "
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, side, ps.key, ps.task AS from_task, to_task FROM ps JOIN tg ON tg.from_task = ps.task AND tg.key = ps.key AND p < hi AND p >= hi - tg.count",
+    "equi_join_after_migration": f"WITH {_SKEWED} {_SIDES_JOIN}",
+    "matrix_size": _SIZE,
+    "grid_assign": _GRID_R,
+    "matrix_join_equi": "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
+    "matrix_join_theta": "SELECT o_orderkey, o_custkey, c_custkey FROM orders JOIN customer ON abs(o_custkey - c_custkey) <= 1 AND o_totalprice > c_acctbal",
+    "matrix_load": f"WITH b AS (SELECT node, 1 AS r, 0 AS s FROM ({_GRID_R}) UNION ALL SELECT node, 0, 1 FROM ({_GRID_S})) SELECT node, CAST(sum(r) AS BIGINT) AS n_r, CAST(sum(s) AS BIGINT) AS n_s FROM b GROUP BY node",
+    "matrix_cell_overlap": _OVERLAP,
+    "free_nodes": f"SELECT CAST(n AS INTEGER) AS node FROM range(40) t(n) WHERE n >= {GRID.nodes}",
+    "grid_codec": "WITH r AS (SELECT i - 1 AS i, string_split(string_split('0 1 2|3 4 5|6 7 -1|8 9 -1', '|')[i], ' ') AS c FROM range(1, 5) t(i)), x AS (SELECT i, j - 1 AS j, CAST(c[j] AS INTEGER) AS node FROM r, range(1, 4) u(j)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, node FROM x WHERE node >= 0",
+    "stream_equi_join": _EQUI,
+    "stream_band_join": _BAND_ROWS,
+    "stream_node_load": f"SELECT CAST(user_id % {NODES} AS INTEGER) AS task, count(*) AS load FROM events GROUP BY 1",
+    "zipf_counts": "WITH s AS (SELECT i AS rank, 1 / pow(CAST(i AS DOUBLE), 0.5) AS w FROM range(1, 151) t(i)) SELECT rank, CAST(floor(w / (SELECT sum(w) FROM s) * 480000) AS BIGINT) AS count FROM s",
+    "pipe_roundtrip": "SELECT o_orderkey, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority) AS line, o_custkey AS custkey, o_orderpriority AS priority, CAST(4 AS INTEGER) AS n_fields FROM orders",
+    "last_wins_by_key": "SELECT o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1",
+    "key_ranges": f"SELECT c_custkey, CAST(c_custkey + {BAND} - greatest(c_custkey - {BAND}, 0) + 1 AS INTEGER) AS n_keys, greatest(c_custkey - {BAND}, 0) AS low, c_custkey + {BAND} AS high FROM customer",
+}
