@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows at most
-    found = with_statistics(src.select("doc_id", "quality", "text"), F.col("text")).where(~base_failed()).select("doc_id", "quality", *FEATURES).orderBy("doc_id", "quality").collect()
+    found = with_statistics(src.select("doc_id", "quality", "text"), F.col("text")).where(~base_failed()).select("doc_id", "quality", *FEATURES).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["quality"]))
     if not found:
         return []
     x = {f: np.array([r[f] for r in found], dtype=np.float64) for f in FEATURES}
