@@ -22,7 +22,7 @@ from ._common import materialise_bucketed, text_bytes
 from ._tokens import vocabulary
 
 #: Bytes of text after which a block is closed; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 OUT_BYTES = 8 << 20
 
 
@@ -76,6 +76,17 @@ def _blocks(batches):
         yield close()
 
 
+def _pack(values) -> bytes:
+    """Unsigned integers in as few bytes each as the largest needs; the first byte says how many."""
+    x = np.asarray(values, dtype=np.uint32)
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _unpack(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(p, dtype=f"<u{p[0]}", offset=1).astype("<u4") for p in parts] or [np.empty(0, "<u4")])
+
+
 def _word_encoder(vocab: str):
     """Rows (word, block, at) sorted by word to rows (block, ats, lens, ids), packed for each block."""
     schema = pa.schema([("block", pa.int64()), ("ats", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
@@ -90,7 +101,7 @@ def _word_encoder(vocab: str):
 
         def flush():
             rows = [
-                {"block": b, "ats": np.array(x[0], "<u4").tobytes(), "lens": np.array(x[1], "<u4").tobytes(), "ids": b"".join(x[2])} for b, x in held.items()
+                {"block": b, "ats": _pack(x[0]), "lens": _pack(x[1]), "ids": _pack(np.frombuffer(b"".join(x[2]), "<u4"))} for b, x in held.items()
             ]
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -149,9 +160,8 @@ def _assembler(vocab: str):
                 doc_ids, sizes, parts = (batch.column(i)[k].as_py() for i in (0, 1, 3))
                 planes = np.frombuffer(unpack.decompress(batch.column(2)[k].as_py()), dtype=np.uint8)
                 seq = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-                ats = np.frombuffer(b"".join(p["ats"] for p in parts or ()), "<u4")
-                got = np.frombuffer(b"".join(p["lens"] for p in parts or ()), "<u4").astype(np.int64)
-                ids = np.frombuffer(b"".join(p["ids"] for p in parts or ()), "<u4")
+                ats, got, ids = (_unpack([p[c] for p in parts or ()]) for c in ("ats", "lens", "ids"))
+                got = got.astype(np.int64)
                 lens, starts = np.zeros(len(ats), np.int64), np.zeros(len(ats), np.int64)
                 lens[ats], starts[ats] = got, np.cumsum(got) - got
                 out, at, size = [], 0, 0
