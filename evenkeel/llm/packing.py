@@ -40,8 +40,8 @@ def _packer(tokenizer: str, end_id: int, most: int, batch_tokens: int):
         made, filled = 0, [0] * most.bit_length()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([enc.ids(text.as_py()), end])
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate([own, end])
                 at = 0
                 for n in binary_lengths(len(ids), most):
                     raw = ids[at : at + n].tobytes()
