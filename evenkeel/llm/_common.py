@@ -50,6 +50,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, written: DataFrame) -> None:
+    """Delete the files of a table from materialise() that nothing will read again."""
+    for name in written.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     """As materialise, with the rows of a key in one bucket: later joins and groupings by it need no exchange."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ in files in ascending doc_id order.  The Merkle root of each recipe, of each rec
 and that of all of them in the manifest, verify what is read back.
 
 Files (integers little-endian):
-* ``chunks-*.pack``: for each chunk digest (32 bytes), n_ids u32, size u32, zstd-compressed ids u32.
+* ``chunks-*.pack``: for each chunk digest (32 bytes), n_ids u32, size u32, the byte planes of the ids u32, zstd-compressed.
 * ``recipes-*.rec``: for each document has_id u8, doc_id i64, n_tokens u64, n_chunks u32, Merkle root (32 bytes), digests.
 * ``MANIFEST.json``: files in order with counts and roots, and the root over these.
 """
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, scratch_path, text_bytes
+from ._common import filesystem, materialise, remove, scratch_path, text_bytes
 from ._tokens import encoder
 
 #: Ids that the rolling hash sees, and the mean, least and most ids of a chunk.
@@ -76,6 +76,15 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def squeeze(pack, raw: bytes) -> bytes:
+    """Ids compressed by their byte planes, of which the upper ones are all but empty."""
+    return pack.compress(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze(unpack, data: bytes) -> bytes:
+    return np.ascontiguousarray(np.frombuffer(unpack.decompress(data), np.uint8).reshape(4, -1).T).tobytes()
+
+
 def _chunker(tokenizer: str, end_id: int):
     """(doc_id, text) to (doc_id, n_tokens, digests, chunks): the chunks that this task hasn't seen before."""
     chunk = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int64()), ("data", pa.binary())]))
@@ -86,8 +95,8 @@ def _chunker(tokenizer: str, end_id: int):
         end, seen = np.array([end_id], dtype="<u4"), set()
         for batch in batches:
             cols: tuple[list, list, list, list] = ([], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([enc.ids(text.as_py()), end])
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate([own, end])
                 digests, fresh, at = [], [], 0
                 for p in cut_points(ids):
                     raw = ids[at:p].tobytes()
@@ -97,7 +106,7 @@ def _chunker(tokenizer: str, end_id: int):
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(d)
-                        fresh.append({"digest": d, "n": p - at, "data": pack.compress(raw)})
+                        fresh.append({"digest": d, "n": p - at, "data": squeeze(pack, raw)})
                     at = p
                 for c, x in zip(cols, (doc_id, len(ids), b"".join(digests), fresh), strict=True):
                     c.append(x)
@@ -179,6 +188,7 @@ def write_store(
     packs = materialise(chunks.mapInArrow(_pack_writer(folder), _FILE_DDL), "token_packs").collect()
     ordered = cut.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     recipes = materialise(ordered.mapInArrow(_recipe_writer(folder), _FILE_DDL), "token_recipes").orderBy("ordinal").collect()
+    remove(spark, cut)  # both kinds of files are written
     rows = lambda found: [{"path": r["path"], "items": r["items"], "tokens": r["tokens"], "root": bytes(r["root"]).hex()} for r in found]
     manifest = {"end_id": end_id, "tokenizer": tokenizer, "packs": rows(packs), "recipes": rows(recipes)}
     manifest["root"] = _manifest_root(manifest)
@@ -257,7 +267,7 @@ def _assembler(batches):
         rows, size = [], 0
         for doc_id, start, n, root, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             parts.sort(key=lambda p: p["at"])
-            raw = [unpack.decompress(p["data"]) for p in parts]
+            raw = [unsqueeze(unpack, p["data"]) for p in parts]
             digests = [hashlib.sha256(x).digest() for x in raw]
             if merkle(digests) != root or sum(map(len, raw)) != 4 * n:
                 raise StoreError(f"document {doc_id}: the chunks don't match its root")
@@ -290,7 +300,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     chunks = spark.createDataFrame(packs, "path string, items long, root binary").repartition(max(1, len(packs)))
     chunks = chunks.mapInArrow(_pack_reader(folder), "digest binary, n long, data binary").select("digest", "data")
     refs = docs.select("doc_id", "start", "n_tokens", "file", "row", "root", F.posexplode("digests").alias("at", "digest"))
-    met = refs.join(chunks, "digest", "left").groupBy("file", "row").agg(
+    # the planner takes chunks for small, as the list of packs is; they grow with the input and are never broadcast
+    met = refs.join(chunks.hint("merge"), "digest", "left").groupBy("file", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"),
         F.collect_list(F.struct("at", "data")).alias("parts"),
     )
