@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import compress
+from operator import add
+
 import numpy as np
 
 #: A special token of the file: it parts chunks that are encoded in one call, as chunks are parted anyway.
@@ -32,7 +35,9 @@ class TextEncoder:
     remembered, up to a fixed number of chunks.
     """
 
-    LIMIT = 700_000
+    LIMIT = 500_000
+    #: Words without their marks, remembered apart, as they come back more often than chunks do.
+    WORDS = 700_000
     #: Bytes of text whose chunks are looked up together, and chunks in a call.
     STEP, CALL = 4 << 20, 2000
 
@@ -45,56 +50,63 @@ class TextEncoder:
         #: which ids end a word
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids(m).tobytes() for m in MARKS}
         self.words: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: set[bytes]) -> None:
-        known, words = self.known, self.words
-        new = [c for c in chunks if c not in known]
+        known = self.known
+        new = list(chunks.difference(known))
         if len(known) + len(new) > self.LIMIT:
             known.clear()
-            words.clear()
             new = list(chunks)
-        parts, rest, missing = [], [], set()
-        for c in new:
-            # a run of letters is one word whatever its case, and a mark after it another
-            s = c.decode("utf-8", "replace").lower()
-            if s.isalpha():
-                head, tail = s, ""
-            elif s[-1] in MARKS and s[:-1].isalpha():
-                head, tail = s[:-1], s[-1]
-            else:
-                rest.append(c)
-                continue
-            if "\u03c2" in head or "\u03c3" in head:  # a final sigma depends on what follows
-                rest.append(c)
-                continue
-            parts.append((c, head, tail))
-            if head not in words:
-                missing.add(head)
-            if tail and tail not in words:
-                missing.add(tail)
-        order = list(missing)
-        for i in range(0, len(order), self.CALL):
-            some = order[i : i + self.CALL]
+        # a run of letters is one word whatever its case, and a mark after it another
+        text = b" ".join(new).decode("utf-8", "replace").lower()
+        low = text.split(" ") if new else []
+        tails = [self.marks.get(s[-1:], b"") for s in low]
+        heads = [s[:-1] if t else s for s, t in zip(low, tails, strict=True)]
+        plain = list(map(str.isalpha, heads))
+        if "\u03c2" in text or "\u03c3" in text:  # a final sigma depends on what follows
+            plain = [ok and "\u03c2" not in h and "\u03c3" not in h for ok, h in zip(plain, heads, strict=True)]
+        odd = self._learn_words(set(compress(heads, plain)))
+        if odd:
+            plain = [ok and h not in odd for ok, h in zip(plain, heads, strict=True)]
+        ids = map(self.words.__getitem__, compress(heads, plain))
+        known.update(zip(compress(new, plain), map(add, ids, compress(tails, plain)), strict=True))
+        self._learn_whole([c for c, ok in zip(new, plain, strict=True) if not ok])
+
+    def _learn_words(self, heads: set[str]) -> set[str]:
+        """Remember the ids of words; those that the library doesn't take for one word are returned."""
+        words, odd = self.words, set()
+        missing = list(heads.difference(words))
+        if len(words) + len(missing) > self.WORDS:
+            words.clear()
+            missing = list(heads)
+        for i in range(0, len(missing), self.CALL):
+            some = missing[i : i + self.CALL]
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
-                raise ValueError("words that run together")
-            words.update(zip(some, _cut(ids, [0, *ends[:-1].tolist()], ends.tolist()), strict=True))
-        for c, head, tail in parts:
-            known[c] = words[head] + words[tail] if tail else words[head]
+                each = [self._ids(w) for w in some]
+                good = [int(self.ends[x].sum()) == 1 for x in each]
+                odd.update(w for w, ok in zip(some, good, strict=True) if not ok)
+                words.update((w, x.tobytes()) for w, x, ok in zip(some, each, good, strict=True) if ok)
+            else:
+                words.update(zip(some, _cut(ids, [0, *ends[:-1].tolist()], ends.tolist()), strict=True))
+        return odd
+
+    def _learn_whole(self, rest: list[bytes]) -> None:
+        known, alone = self.known, [c for c in rest if b"<|" in c]
         plain = [c for c in rest if b"<|" not in c]
         for i in range(0, len(plain), self.CALL):
             some = plain[i : i + self.CALL]
             ids = self._ids(PART.join([c.decode("utf-8", "replace") for c in some]))
             cuts = np.flatnonzero(ids == self.part)
             if len(cuts) != len(some) - 1:
-                raise ValueError("chunks that run together")
-            known.update(zip(some, _cut(ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]), strict=True))
-        for c in rest:
-            if b"<|" in c:
-                known[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
+                alone += some
+            else:
+                known.update(zip(some, _cut(ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]), strict=True))
+        known.update((c, self._ids(c.decode("utf-8", "replace")).tobytes()) for c in alone)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")

@@ -56,9 +56,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     v = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     v ^= v >> np.uint64(29)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(min(WINDOW, n)):
-        h[k:] = h[k:] * np.uint64(0xD6E8FEB86659FD93) + v[: n - k] if k else v.copy()
+    h, width, power = v, 1, 0xD6E8FEB86659FD93
+    while width < WINDOW:  # a power of two: windows of twice the width from two of the width
+        wide = h.copy()
+        wide[width:] += h[:-width] * np.uint64(power)
+        h, width, power = wide, 2 * width, power * power % (1 << 64)
     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     ends, at = [], 0
     for p in (np.flatnonzero(h % np.uint64(MEAN) == 0) + 1).tolist():
