@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from itertools import compress
 from operator import add
 
@@ -42,6 +43,8 @@ class TextEncoder:
     STEP, CALL = 4 << 20, 2000
 
     def __init__(self, name: str):
+        # calls are of one text, for which a pool of threads would only spin beside the other workers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))

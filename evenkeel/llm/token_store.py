@@ -6,7 +6,8 @@ in files in ascending doc_id order.  The Merkle root of each recipe, of each rec
 and that of all of them in the manifest, verify what is read back.
 
 Files (integers little-endian):
-* ``chunks-*.pack``: for each chunk digest (32 bytes), n_ids u32, size u32, the byte planes of the ids u32, zstd-compressed.
+* ``chunks-*.pack``: for each chunk digest (32 bytes), n_ids u32, size u32, and the ids' byte planes
+  (see squeeze), each a zstd frame without magic number.
 * ``recipes-*.rec``: for each document has_id u8, doc_id i64, n_tokens u64, n_chunks u32, Merkle root (32 bytes), digests.
 * ``MANIFEST.json``: files in order with counts and roots, and the root over these.
 """
@@ -78,13 +79,34 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS))
+
+
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+
 def squeeze(pack, raw: bytes) -> bytes:
-    """Ids compressed by their byte planes, of which the upper ones are all but empty."""
-    return pack.compress(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4).T).tobytes())
+    """The byte planes of ids, each compressed with a code of its own; upper planes without a bit are left out."""
+    planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4).T)
+    used = max(1, int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1)
+    parts = [pack.compress(p.tobytes()) for p in planes[:used]]
+    return struct.pack(f"<B{used - 1}H", used, *map(len, parts[:-1])) + b"".join(parts)  # a plane has MOST bytes at most
 
 
 def unsqueeze(unpack, data: bytes) -> bytes:
-    return np.ascontiguousarray(np.frombuffer(unpack.decompress(data), np.uint8).reshape(4, -1).T).tobytes()
+    used = data[0]
+    sizes = struct.unpack_from(f"<{used - 1}H", data, 1)
+    at, out = 1 + 2 * (used - 1), []
+    for k in range(used):
+        end = at + sizes[k] if k < used - 1 else len(data)
+        out.append(np.frombuffer(unpack.decompress(data[at:end]), np.uint8))
+        at = end
+    planes = np.zeros((len(out[0]), 4), dtype=np.uint8)
+    for k, p in enumerate(out):
+        planes[:, k] = p
+    return planes.tobytes()
 
 
 def _chunker(tokenizer: str, end_id: int):
@@ -93,7 +115,7 @@ def _chunker(tokenizer: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("chunks", chunk)])
 
     def run(batches):
-        enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
+        enc, pack = encoder(tokenizer), compressor()
         end, seen = np.array([end_id], dtype="<u4"), set()
         for batch in batches:
             cols: tuple[list, list, list, list] = ([], [], [], [])
@@ -263,7 +285,7 @@ def _pack_reader(folder: str):
 
 
 def _assembler(batches):
-    unpack = zstandard.ZstdDecompressor()
+    unpack = decompressor()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     for batch in batches:
         rows, size = [], 0
@@ -302,9 +324,11 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     chunks = spark.createDataFrame(packs, "path string, items long, root binary").repartition(max(1, len(packs)))
     chunks = chunks.mapInArrow(_pack_reader(folder), "digest binary, n long, data binary").select("digest", "data")
     refs = docs.select("doc_id", "start", "n_tokens", "file", "row", "root", F.posexplode("digests").alias("at", "digest"))
+    once = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)  # noqa: E731  # a document's values travel with its first chunk
+    refs = refs.select(*map(once, ("doc_id", "start", "n_tokens", "root")), "file", "row", "at", "digest")
     # the planner takes chunks for small, as the list of packs is; they grow with the input and are never broadcast
     met = refs.join(chunks.hint("merge"), "digest", "left").groupBy("file", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "start", "n_tokens", "root")],
         F.collect_list(F.struct("at", "data")).alias("parts"),
     )
     return met.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(_assembler, "doc_id long, start long, n_tokens long, ids binary")
