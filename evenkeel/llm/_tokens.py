@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-from itertools import compress
-from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A special token of the file: it parts chunks that are encoded in one call, as chunks are parted anyway.
 PART = "<|startoftext|>"
@@ -21,6 +21,8 @@ def vocabulary(name: str) -> str:
 
 #: Marks that follow a word.
 MARKS = ",.!?;:"
+#: A word of Latin letters whose lower case has one letter for each, and a mark at most.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[,.!?;:]?$"
 
 
 def _cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
@@ -28,19 +30,36 @@ def _cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
     return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a pool one after the other, and their ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)], ends
+
+
+def _pooled(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ids as one pool, and their sizes."""
+    return np.frombuffer(b"".join(pieces), dtype="<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+
+
+def _last_bytes(words: pa.LargeStringArray) -> np.ndarray:
+    """The last byte of each of some strings, none of them empty."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset + 1 : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets - 1]
+
+
 class TextEncoder:
     """Whole texts to ids by the tokenizers library.
 
     The file's rules never join characters across white space, so that the ids of a text are those of its
-    chunks between ASCII white space.  Each chunk that is new is encoded by the library, many in a call, and
-    remembered, up to a fixed number of chunks.
+    chunks between ASCII white space.  A few MB of texts are cut, and their chunks numbered, in Arrow; each
+    word that is new is encoded by the library, many in a call, and remembered, up to a fixed number of words.
     """
 
-    LIMIT = 500_000
-    #: Words without their marks, remembered apart, as they come back more often than chunks do.
-    WORDS = 700_000
+    #: Words without their marks, and chunks that are no such words, that are remembered.
+    WORDS, LIMIT = 500_000, 200_000
     #: Bytes of text whose chunks are looked up together, and chunks in a call.
-    STEP, CALL = 4 << 20, 2000
+    STEP, CALL = 8 << 20, 2000
 
     def __init__(self, name: str):
         # calls are of one text, for which a pool of threads would only spin beside the other workers
@@ -53,54 +72,39 @@ class TextEncoder:
         #: which ids end a word
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._ids(m).tobytes() for m in MARKS}
-        self.words: dict[str, bytes] = {}
+        #: the one id of a mark, by its byte
+        self.marks = np.zeros(256, dtype="<u4")
+        for m in MARKS:
+            (self.marks[ord(m)],) = self._ids(m)
+        self.words: dict[str, bytes | None] = {}
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        known = self.known
-        new = list(chunks.difference(known))
-        if len(known) + len(new) > self.LIMIT:
-            known.clear()
-            new = list(chunks)
-        # a run of letters is one word whatever its case, and a mark after it another
-        text = b" ".join(new).decode("utf-8", "replace").lower()
-        low = text.split(" ") if new else []
-        tails = [self.marks.get(s[-1:], b"") for s in low]
-        heads = [s[:-1] if t else s for s, t in zip(low, tails, strict=True)]
-        plain = list(map(str.isalpha, heads))
-        if "\u03c2" in text or "\u03c3" in text:  # a final sigma depends on what follows
-            plain = [ok and "\u03c2" not in h and "\u03c3" not in h for ok, h in zip(plain, heads, strict=True)]
-        odd = self._learn_words(set(compress(heads, plain)))
-        if odd:
-            plain = [ok and h not in odd for ok, h in zip(plain, heads, strict=True)]
-        ids = map(self.words.__getitem__, compress(heads, plain))
-        known.update(zip(compress(new, plain), map(add, ids, compress(tails, plain)), strict=True))
-        self._learn_whole([c for c, ok in zip(new, plain, strict=True) if not ok])
-
-    def _learn_words(self, heads: set[str]) -> set[str]:
-        """Remember the ids of words; those that the library doesn't take for one word are returned."""
-        words, odd = self.words, set()
-        missing = list(heads.difference(words))
+    def _learn_words(self, heads: list[str]) -> None:
+        """Remember the ids of words, or None for those that the library doesn't take for one word."""
+        words = self.words
+        missing = [h for h in heads if h not in words]
         if len(words) + len(missing) > self.WORDS:
             words.clear()
-            missing = list(heads)
+            missing = heads
         for i in range(0, len(missing), self.CALL):
             some = missing[i : i + self.CALL]
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
-                each = [self._ids(w) for w in some]
-                good = [int(self.ends[x].sum()) == 1 for x in each]
-                odd.update(w for w, ok in zip(some, good, strict=True) if not ok)
-                words.update((w, x.tobytes()) for w, x, ok in zip(some, each, good, strict=True) if ok)
-            else:
+            if len(ends) == len(some):
                 words.update(zip(some, _cut(ids, [0, *ends[:-1].tolist()], ends.tolist()), strict=True))
-        return odd
+            else:
+                each = [self._ids(w) for w in some]
+                words.update((w, x.tobytes() if int(self.ends[x].sum()) == 1 else None) for w, x in zip(some, each, strict=True))
 
-    def _learn_whole(self, rest: list[bytes]) -> None:
-        known, alone = self.known, [c for c in rest if b"<|" in c]
-        plain = [c for c in rest if b"<|" not in c]
+    def _learn_whole(self, chunks: list[bytes]) -> None:
+        """Remember the ids of chunks that are no plain words."""
+        known = self.known
+        missing = [c for c in chunks if c not in known]
+        if len(known) + len(missing) > self.LIMIT:
+            known.clear()
+            missing = chunks
+        alone = [c for c in missing if b"<|" in c]
+        plain = [c for c in missing if b"<|" not in c]
         for i in range(0, len(plain), self.CALL):
             some = plain[i : i + self.CALL]
             ids = self._ids(PART.join([c.decode("utf-8", "replace") for c in some]))
@@ -111,30 +115,70 @@ class TextEncoder:
                 known.update(zip(some, _cut(ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]), strict=True))
         known.update((c, self._ids(c.decode("utf-8", "replace")).tobytes()) for c in alone)
 
+    def _look_up(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different chunks: a pool, and where each chunk's piece starts in it and its size."""
+        starts, sizes = np.zeros(len(chunks), dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+        plain = np.flatnonzero(pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False))
+        # a run of letters is one word whatever its case, and a mark after it another
+        low = pc.utf8_lower(chunks.take(pa.array(plain)))
+        cut = pc.utf8_rtrim(low, MARKS)
+        marked = pc.not_equal(pc.binary_length(low), pc.binary_length(cut)).to_numpy(zero_copy_only=False)
+        heads = cut.dictionary_encode()
+        names, number = heads.dictionary.to_pylist(), heads.indices.to_numpy()
+        self._learn_words(names)
+        ids = [self.words[w] for w in names]
+        odd = np.fromiter((x is None for x in ids), bool, len(ids))
+        pool, size = _pooled([x or b"" for x in ids])
+        start, size = (np.cumsum(size) - size)[number], size[number]
+        # one place more for a mark: it is overwritten, whatever the pool has there
+        pool, ends = _gather(np.append(pool, np.zeros(1, dtype="<u4")), start, size + marked)
+        pool[ends[marked] - 1] = self.marks[_last_bytes(low)[marked]]
+        starts[plain], sizes[plain] = ends - size - marked, size + marked
+        rest = np.ones(len(chunks), dtype=bool)
+        rest[plain[~odd[number]]] = False
+        others = np.flatnonzero(rest)
+        raw = chunks.take(pa.array(others)).view(pa.large_binary()).to_pylist()
+        self._learn_whole(raw)
+        more, size = _pooled([self.known[c] for c in raw])
+        starts[others], sizes[others] = len(pool) + np.cumsum(size) - size, size
+        return np.concatenate([pool, more]), starts, sizes
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode(self, texts: list[bytes | None]):
         """Ids of each text, in order; null is empty."""
-        group: list[list[bytes]] = []
+        group: list[bytes] = []
         size = 0
         for text in texts:
-            group.append((text or b"").split())
+            group.append(text or b"")
             size += len(text or b"")
             if size >= self.STEP:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[bytes]]):
-        self._learn(set().union(*group))
-        for chunks in group:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<u4")
+    def _group(self, group: list[bytes]):
+        cut = pc.ascii_split_whitespace(pa.array(group, pa.large_binary()).view(pa.large_string()))
+        chunks = cut.values.dictionary_encode()
+        pool, starts, sizes = self._look_up(chunks.dictionary)
+        at = chunks.indices.to_numpy()
+        ids, ends = _gather(pool, starts[at], sizes[at])
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()].tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b]
 
     def ids(self, text: bytes | None) -> np.ndarray:
         return next(self.encode([text]))
 
 
+def slices(batches, rows: int = 2500):
+    """Record batches of fewer rows, so that a worker holds less of its output at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import text_bytes
-from ._tokens import encoder
+from ._tokens import encoder, slices
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -38,7 +38,7 @@ def _packer(tokenizer: str, end_id: int, most: int, batch_tokens: int):
         end = np.array([end_id], dtype="<u4")
         base = TaskContext.get().partitionId() << 33
         made, filled = 0, [0] * most.bit_length()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate([own, end])

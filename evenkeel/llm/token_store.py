@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import filesystem, materialise, remove, scratch_path, text_bytes
-from ._tokens import encoder
+from ._tokens import encoder, slices
 
 #: Ids that the rolling hash sees, and the mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
@@ -117,7 +117,7 @@ def _chunker(tokenizer: str, end_id: int):
     def run(batches):
         enc, pack = encoder(tokenizer), compressor()
         end, seen = np.array([end_id], dtype="<u4"), set()
-        for batch in batches:
+        for batch in slices(batches):
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate([own, end])
