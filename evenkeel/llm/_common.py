@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,18 @@ def remove(spark: SparkSession, written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Fewer rows in a record batch, where whole texts travel, for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     """As materialise, with the rows of a key in one bucket: later joins and groupings by it need no exchange."""
     spark = df.sparkSession

@@ -34,7 +34,10 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     """The pieces of a pool one after the other, and their ends."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)], ends
+    wide = np.int32 if total + len(pool) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - sizes)).astype(wide), sizes)
+    at += np.arange(total, dtype=wide)
+    return pool[at], ends
 
 
 def _pooled(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +62,18 @@ class TextEncoder:
     #: Words without their marks, and chunks that are no such words, that are remembered.
     WORDS, LIMIT = 500_000, 200_000
     #: Bytes of text whose chunks are looked up together, and chunks in a call.
-    STEP, CALL = 8 << 20, 2000
+    STEP, CALL = 4 << 20, 2000
 
     def __init__(self, name: str):
         # calls are of one text, for which a pool of threads would only spin beside the other workers
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
+        #: the same model for plain words in lower case, on which the file's normaliser and pattern have no effect
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.part = self.tokenizer.token_to_id(PART)
         vocab = self.tokenizer.get_vocab()
         #: which ids end a word
@@ -88,7 +95,7 @@ class TextEncoder:
             missing = heads
         for i in range(0, len(missing), self.CALL):
             some = missing[i : i + self.CALL]
-            ids = self._ids(" ".join(some))
+            ids = self._ids(" ".join(some), self.bare)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 words.update(zip(some, _cut(ids, [0, *ends[:-1].tolist()], ends.tolist()), strict=True))
@@ -143,8 +150,8 @@ class TextEncoder:
         starts[others], sizes[others] = len(pool) + np.cumsum(size) - size, size
         return np.concatenate([pool, more]), starts, sizes
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode(self, texts: list[bytes | None]):
         """Ids of each text, in order; null is empty."""
@@ -172,11 +179,12 @@ class TextEncoder:
         return next(self.encode([text]))
 
 
-def slices(batches, rows: int = 2500):
+def slices(batches, rows: int = 1250):
     """Record batches of fewer rows, so that a worker holds less of its output at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+            pa.default_memory_pool().release_unused()
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, remove, scratch_path, text_bytes
+from ._common import arrow_rows, filesystem, materialise, remove, scratch_path, text_bytes
 from ._tokens import encoder, slices
 
 #: Ids that the rolling hash sees, and the mean, least and most ids of a chunk.
@@ -49,26 +49,41 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last WINDOW ids is 0 modulo MEAN,
-    no chunk under LEAST ids but the last, none above MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    v = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    v ^= v >> np.uint64(29)
-    h, width, power = v, 1, 0xD6E8FEB86659FD93
+def cut_streams(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of id streams that lie one after the other: where the rolling hash of the last WINDOW ids
+    is 0 modulo MEAN, no chunk under LEAST ids but a stream's last, none above MOST.
+
+    All streams are hashed at once: a window that begins in the stream before ends within LEAST ids of its own
+    stream's start, where nothing is cut.
+    """
+    h = ids.astype(np.uint64)
+    h += np.uint64(1)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    width, power = 1, 0xD6E8FEB86659FD93
     while width < WINDOW:  # a power of two: windows of twice the width from two of the width
-        wide = h.copy()
-        wide[width:] += h[:-width] * np.uint64(power)
-        h, width, power = wide, 2 * width, power * power % (1 << 64)
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        h[width:] += h[:-width] * np.uint64(power)
+        width, power = 2 * width, power * power % (1 << 64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h >>= np.uint64(40)
+    places = np.flatnonzero(h % np.uint64(MEAN) == 0) + 1
+    bounds = [*np.searchsorted(places, starts).tolist(), len(places)]
+    places, starts = places.tolist(), [*(int(x) for x in starts), len(ids)]
+    return [_ends([p - a for p in places[i:j]], b - a) for a, b, i, j in zip(starts, starts[1:], bounds, bounds[1:])]
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cut_streams(ids, np.zeros(1, dtype=np.int64))[0]
+
+
+def _ends(places: list[int], n: int) -> list[int]:
     ends, at = [], 0
-    for p in (np.flatnonzero(h % np.uint64(MEAN) == 0) + 1).tolist():
+    for p in places:
         while p - at > MOST:
             at += MOST
             ends.append(at)
-        if p - at >= LEAST:
+        if LEAST <= p - at and p <= n:
             at = p
             ends.append(at)
     while n - at > MOST:
@@ -89,9 +104,9 @@ def decompressor() -> zstandard.ZstdDecompressor:
 
 def squeeze(pack, raw: bytes) -> bytes:
     """The byte planes of ids, each compressed with a code of its own; upper planes without a bit are left out."""
-    planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4).T)
-    used = max(1, int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1)
-    parts = [pack.compress(p.tobytes()) for p in planes[:used]]
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, 4)
+    used = max(1, (int(np.frombuffer(raw, "<u4").max(initial=0)).bit_length() + 7) // 8)
+    parts = [pack.compress(planes[:, k].tobytes()) for k in range(used)]
     return struct.pack(f"<B{used - 1}H", used, *map(len, parts[:-1])) + b"".join(parts)  # a plane has MOST bytes at most
 
 
@@ -119,11 +134,14 @@ def _chunker(tokenizer: str, end_id: int):
         end, seen = np.array([end_id], dtype="<u4"), set()
         for batch in slices(batches):
             cols: tuple[list, list, list, list] = ([], [], [], [])
-            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.concatenate([own, end])
+            pieces = [x for own in enc.encode(batch.column(1).to_pylist()) for x in (own, end)]
+            stream = np.concatenate(pieces)
+            sizes = [len(x) + 1 for x in pieces[::2]]
+            starts = np.cumsum(sizes) - sizes
+            for doc_id, a, n, ends in zip(batch.column(0).to_pylist(), starts.tolist(), sizes, cut_streams(stream, starts), strict=True):
                 digests, fresh, at = [], [], 0
-                for p in cut_points(ids):
-                    raw = ids[at:p].tobytes()
+                for p in ends:
+                    raw = stream[a + at : a + p].tobytes()
                     d = hashlib.sha256(raw).digest()
                     digests.append(d)
                     if d not in seen:
@@ -132,7 +150,7 @@ def _chunker(tokenizer: str, end_id: int):
                         seen.add(d)
                         fresh.append({"digest": d, "n": p - at, "data": squeeze(pack, raw)})
                     at = p
-                for c, x in zip(cols, (doc_id, len(ids), b"".join(digests), fresh), strict=True):
+                for c, x in zip(cols, (doc_id, n, b"".join(digests), fresh), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -207,7 +225,8 @@ def write_store(
     cut = src.mapInArrow(
         _chunker(tokenizer, end_id), "doc_id long, n_tokens long, digests binary, chunks array<struct<digest: binary, n: long, data: binary>>"
     )
-    cut = materialise(cut, "token_chunks")
+    with arrow_rows(spark, 1000):
+        cut = materialise(cut, "token_chunks")
     chunks = cut.select(F.explode("chunks").alias("c")).select("c.*").repartition("digest")
     packs = materialise(chunks.mapInArrow(_pack_writer(folder), _FILE_DDL), "token_packs").collect()
     ordered = cut.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
