@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise_bucketed, text_bytes
-from ._tokens import vocabulary
+from ._common import arrow_rows, materialise_bucketed, text_bytes
+from ._tokens import slices, vocabulary
 
 #: Bytes of text after which a block is closed; a longer text is a block of its own.
 BLOCK_BYTES = 64 << 20
@@ -62,7 +62,7 @@ def _blocks(batches):
         row = {"block": base + made, "doc_ids": ids, "sizes": [len(p) for p in parts], "seq": pack.compress(planes), "words": [w.encode() for w in words]}
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_py() or b""
             if ids and size + len(raw) > BLOCK_BYTES:
@@ -155,7 +155,7 @@ def _assembler(vocab: str):
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 1):
             for k in range(batch.num_rows):
                 doc_ids, sizes, parts = (batch.column(i)[k].as_py() for i in (0, 1, 3))
                 planes = np.frombuffer(unpack.decompress(batch.column(2)[k].as_py()), dtype=np.uint8)
@@ -189,7 +189,8 @@ def bpe_encode(docs: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken", text
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     ddl = "block long, doc_ids array<long>, sizes array<long>, seq binary, words array<binary>"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise_bucketed(src.mapInArrow(_blocks, ddl), "bpe_blocks", parts, "block")
+    with arrow_rows(docs.sparkSession, 1000):
+        blocks = materialise_bucketed(src.mapInArrow(_blocks, ddl), "bpe_blocks", parts, "block")
     words = blocks.select("block", F.posexplode("words").alias("at", "word")).select("word", "block", "at")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(
         _word_encoder(vocab), "block long, ats binary, lens binary, ids binary"
