@@ -206,7 +206,7 @@ def bpe_decode(encoded: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken") -
 
     def run(batches):
         table = TokenBytes(read_ranks(vocabulary(vocab)))
-        for batch in batches:
+        for batch in slices(batches, 500):
             text = [table.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], schema=schema)
 
