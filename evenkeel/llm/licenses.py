@@ -7,6 +7,8 @@ what it matches out of the sequence.  Built-in functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,23 @@ def rule_pattern(parts: tuple[str, ...]) -> str:
     return "," + ",(?:[a-z0-9_]+,)*?".join(f"{p}" for p in parts) + ","
 
 
+#: References to a GNU licence; "or any later version" belongs to the nearest one before it.
+_GNU = tuple(i for i, _ in SENTENCES if re.fullmatch(r"[al]?gpl[23]?_ref", i))
+
+
+def own_parts(parts: tuple[str, ...]) -> str:
+    """Over the same sequence: the parts in order, each the first of its kind, with what lies between in groups.
+
+    Nothing between is another start of the rule, and for a later version, no other GNU licence.  A match ends before
+    its last comma, and the groups put in its place leave the rest of the sequence as it was.
+    """
+    out = f",{parts[0]}"
+    for part in parts[1:]:
+        stop = "|".join(dict.fromkeys((parts[0], part, *(_GNU if parts[-1].endswith("_later") else ()))))
+        out += f"((?:,(?!(?:{stop}),)[a-z0-9_]+)*+),{part}"
+    return out + "(?=,)"
+
+
 def _sentences(text: Column, lines: bool) -> Column:
     """Normalised sentences; with lines, a line end ends a sentence too."""
     if not lines:
@@ -120,14 +139,15 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     ids = ids.select("doc_id", F.greatest("n", F.lit(0)).cast("long").alias("n_hints"), both.alias("ids"))
     seq = F.when(F.size("ids") > 0, F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     ids = ids.select("doc_id", "n_hints", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"), seq.alias("seq"))
-    # consecutive identifiers share a comma, so that a rule removes its parts and leaves one; what lies between goes with them
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(p)).alias("p")) for n, p in RULES])
+    # a rule takes its own parts out; what lies between stays for the rules after it
+    between = lambda p: "".join(f"${k}" for k in range(1, len(p)))
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(own_parts(p)).alias("p"), F.lit(between(p)).alias("b")) for n, p in RULES])
     start = F.struct(F.col("seq").alias("seq"), F.array().cast("array<string>").alias("out"))
 
     def apply(acc, rule):
         hit = F.call_function("rlike", acc["seq"], rule["p"])
         return F.struct(
-            F.when(hit, F.call_function("regexp_replace", acc["seq"], rule["p"], F.lit(","))).otherwise(acc["seq"]).alias("seq"),
+            F.when(hit, F.call_function("regexp_replace", acc["seq"], rule["p"], rule["b"])).otherwise(acc["seq"]).alias("seq"),
             F.when(hit, F.concat(acc["out"], F.array(rule["name"]))).otherwise(acc["out"]).alias("out"),
         )
 
@@ -136,7 +156,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def oracle(table: str = "documents") -> str:
-    """The same rows in DuckDB SQL, with one step for each rule, but for known sentences without a word of HINT."""
+    """The same rows in DuckDB SQL, with one step for each rule, but for known sentences without a word of HINT and for sentences
+    between the parts of a rule, which it drops."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     norm = lambda t: f"list_transform(string_split_regex(lower({t}), {q(_END)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
     case = "CASE " + " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(i)}" for i, p in SENTENCES) + " END"

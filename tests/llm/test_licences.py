@@ -27,3 +27,22 @@ def test_sentences_without_the_word_licence(spark):
     got = found(spark, "Released under the BSD 3-Clause.", "Published by simplified BSD", "This work is available under CC BY-SA 4.0.", "Published under CC-BY-SA 4.0.", "Written by BSD users.")
     assert [r.licences for r in got] == ["BSD-3-Clause", "BSD-2-Clause", "CC-BY-SA-4.0", "CC-BY-SA-4.0", ""]
     assert [r.n_hints for r in got] == [1, 1, 1, 1, 0]
+
+
+GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer. "
+ENDORSE = "Neither the name of the owner nor the names of others may be used to endorse or promote products derived from this software. "
+DISCLAIMER = "This software is provided by the owner as is and any express or implied warranties are disclaimed. "
+LATER = "Either version 3 of the License, or (at your option) any later version. "
+
+
+def test_licences_between_the_parts_of_a_rule(spark):
+    mit, cc = "Released under the MIT License. ", "Licensed under CC BY 4.0. "
+    gpl3, gpl2 = "Licensed under the GNU General Public License version 3. ", "Licensed under the GNU General Public License version 2. "
+    bsd2, bsd3 = GRANT + SOURCE + BINARY + DISCLAIMER, GRANT + SOURCE + BINARY + ENDORSE + DISCLAIMER
+    got = found(spark, bsd2 + mit + bsd3, bsd3 + mit + bsd2, gpl3 + mit + cc + LATER, GRANT + mit + SOURCE + BINARY + cc + ENDORSE + DISCLAIMER, gpl2 + gpl3 + LATER, bsd2 + bsd2, "\n".join([GRANT + SOURCE] * 3000))
+    assert [set(r.licences.split(",")) - {""} for r in got] == [
+        {"BSD-3-Clause", "BSD-2-Clause", "MIT"}, {"BSD-3-Clause", "BSD-2-Clause", "MIT"}, {"GPL-3.0-or-later", "MIT", "CC-BY-4.0"},
+        {"BSD-3-Clause", "MIT", "CC-BY-4.0"}, {"GPL-3.0-or-later", "GPL-2.0"}, {"BSD-2-Clause"}, set(),
+    ]
