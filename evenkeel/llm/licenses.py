@@ -45,6 +45,30 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("reserved", r"(.* )?all rights reserved"),
 )
 
+# The standard notices of the GNU licences and the MPL, looked at before the others; the SQL does not know them.
+_TERMS = r"(.* )?(modify|redistribute|distribute|copy|use)( it| them| this [a-z]+)? (under|according to) (the )?terms( and conditions)? of (the )?"
+_VERSION_OF = r"(version [0-9]( [0-9])? of (the )?)?"
+_GPL, _FSF = r"gnu general public licen[sc]e", r"( as published by the free software foundation( inc)?)?"
+
+
+def _gpl(v: int) -> str:
+    return f"{_TERMS}(version {v}( 0)? of (the )?{_GPL}{_FSF}|{_GPL}{_FSF} (either )?(version |v )?{v}( 0)?( of the licen[sc]e)?{_FSF})"
+
+
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("agpl_notice", _TERMS + _VERSION_OF + r"gnu affero general public licen[sc]e.*"),
+    ("lgpl_notice", _TERMS + _VERSION_OF + r"gnu (lesser|library) general public licen[sc]e.*"),
+    ("gpl3_later_notice", _gpl(3) + r" or (at your option )?(any )?later( version)?.*"),
+    ("gpl2_later_notice", _gpl(2) + r" or (at your option )?(any )?later( version)?.*"),
+    ("gpl3_notice", _gpl(3) + r"( .*)?"),
+    ("gpl2_notice", _gpl(2) + r"( .*)?"),
+    ("gpl_notice", f"{_TERMS}{_GPL}( .*)?"),
+    ("gpl2_later", r"(.* )?either version 2( 0)? of the licen[sc]e or at your option any later version"),
+    ("gpl3_only", r"(only )?version 3( 0)? of the licen[sc]e( only)?"),
+    ("gpl2_only", r"(only )?version 2( 0)? of the licen[sc]e( only)?"),
+    ("mpl2_notice", r"(.* )?subject to (the terms( and conditions)? of )?(the )?mozilla public licen[sc]e( version| v)? 2( 0)?.*"),
+)
+
 # Rules in the order in which they are tried; other sentences may lie between those of a rule.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_disclaimer")),
@@ -74,6 +98,27 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("reserved",)),
 )
 
+# Rules with the notices; those that end with a version come first, while all that it may belong to is there.
+NOTICE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("GPL-3.0-or-later", ("gpl3_ref", "gpl_later")),
+    ("GPL-3.0-or-later", ("gpl3_notice", "gpl_later")),
+    ("GPL-3.0-or-later", ("gpl_notice", "gpl_later")),
+    ("GPL-2.0-or-later", ("gpl2_ref", "gpl2_later")),
+    ("GPL-2.0-or-later", ("gpl2_notice", "gpl2_later")),
+    ("GPL-2.0-or-later", ("gpl_notice", "gpl2_later")),
+    ("GPL-3.0", ("gpl_notice", "gpl3_only")),
+    ("GPL-2.0", ("gpl_notice", "gpl2_only")),
+    ("AGPL-3.0", ("agpl_notice",)),
+    ("LGPL", ("lgpl_notice",)),
+    ("GPL-3.0-or-later", ("gpl3_later_notice",)),
+    ("GPL-2.0-or-later", ("gpl2_later_notice",)),
+    ("GPL-3.0", ("gpl3_notice",)),
+    ("GPL-2.0", ("gpl2_notice",)),
+    ("GPL", ("gpl_notice",)),
+    ("MPL-2.0", ("mpl2_notice",)),
+    *(rule for rule in RULES if rule[1][-1] != "gpl_later"),
+)
+
 #: Words of most known sentences; the SQL looks only at sentences with one of them.
 HINT = r"licen[sc]|copyright|permission|redistribut|public domain|rights reserved|cc0|creative commons|warrant|endorse|later version"
 #: Every known sentence has one of these words, those that leave out the word licence too.
@@ -86,19 +131,19 @@ def rule_pattern(parts: tuple[str, ...]) -> str:
     return "," + ",(?:[a-z0-9_]+,)*?".join(f"{p}" for p in parts) + ","
 
 
-#: References to a GNU licence; "or any later version" belongs to the nearest one before it.
-_GNU = tuple(i for i, _ in SENTENCES if re.fullmatch(r"[al]?gpl[23]?_ref", i))
+#: References to a GNU licence; a sentence on its version alone belongs to the nearest one before it.
+_GNU = tuple(i for i, _ in NOTICES + SENTENCES if re.fullmatch(r"[al]?gpl[23]?(_later)?_(ref|notice)", i))
 
 
 def own_parts(parts: tuple[str, ...]) -> str:
     """Over the same sequence: the parts in order, each the first of its kind, with what lies between in groups.
 
-    Nothing between is another start of the rule, and for a later version, no other GNU licence.  A match ends before
+    Nothing between is another start of the rule, and for a version, no other GNU licence.  A match ends before
     its last comma, and the groups put in its place leave the rest of the sequence as it was.
     """
     out = f",{parts[0]}"
     for part in parts[1:]:
-        stop = "|".join(dict.fromkeys((parts[0], part, *(_GNU if parts[-1].endswith("_later") else ()))))
+        stop = "|".join(dict.fromkeys((parts[0], part, *(_GNU if parts[-1].endswith(("_later", "_only")) else ()))))
         out += f"((?:,(?!(?:{stop}),)[a-z0-9_]+)*+),{part}"
     return out + "(?=,)"
 
@@ -107,12 +152,12 @@ def _sentences(text: Column, lines: bool) -> Column:
     """Normalised sentences; with lines, a line end ends a sentence too."""
     if not lines:
         text = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*", " ")
-    parts = F.split(F.lower(text), _END)
+    parts = F.split(F.regexp_replace(F.lower(text), r"\bv\.[ \t\r]+(?=[0-9])", "v "), _END)  # the point of "v. 2.0" ends no sentence
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
 
 
 def _identify(sentences: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"^{p}$").alias("p")) for i, p in SENTENCES])
+    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"^{p}$").alias("p")) for i, p in NOTICES + SENTENCES])
     one = lambda s: F.get(F.filter(table, lambda k: F.call_function("rlike", s, k["p"])), F.lit(0))["id"]
     return F.filter(F.transform(F.filter(sentences, lambda s: s.rlike(HINTS)), one), lambda x: x.isNotNull())
 
@@ -141,7 +186,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     ids = ids.select("doc_id", "n_hints", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"), seq.alias("seq"))
     # a rule takes its own parts out; what lies between stays for the rules after it
     between = lambda p: "".join(f"${k}" for k in range(1, len(p)))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(own_parts(p)).alias("p"), F.lit(between(p)).alias("b")) for n, p in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(own_parts(p)).alias("p"), F.lit(between(p)).alias("b")) for n, p in NOTICE_RULES])
     start = F.struct(F.col("seq").alias("seq"), F.array().cast("array<string>").alias("out"))
 
     def apply(acc, rule):
@@ -156,8 +201,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def oracle(table: str = "documents") -> str:
-    """The same rows in DuckDB SQL, with one step for each rule, but for known sentences without a word of HINT and for sentences
-    between the parts of a rule, which it drops."""
+    """The same rows in DuckDB SQL, with one step for each rule, but for known sentences without a word of HINT, for sentences
+    between the parts of a rule, which it drops, and for NOTICES and "v. 2.0", which it does not know."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     norm = lambda t: f"list_transform(string_split_regex(lower({t}), {q(_END)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
     case = "CASE " + " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(i)}" for i, p in SENTENCES) + " END"

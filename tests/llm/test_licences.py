@@ -15,7 +15,7 @@ def found(spark, *texts):
     return [rows[i] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("name,pattern", licenses.SENTENCES)
+@pytest.mark.parametrize("name,pattern", licenses.NOTICES + licenses.SENTENCES)
 @settings(max_examples=60, deadline=None)
 @given(data=st.data())
 def test_each_known_sentence_has_a_hint(name, pattern, data):
@@ -46,3 +46,36 @@ def test_licences_between_the_parts_of_a_rule(spark):
         {"BSD-3-Clause", "BSD-2-Clause", "MIT"}, {"BSD-3-Clause", "BSD-2-Clause", "MIT"}, {"GPL-3.0-or-later", "MIT", "CC-BY-4.0"},
         {"BSD-3-Clause", "MIT", "CC-BY-4.0"}, {"GPL-3.0-or-later", "GPL-2.0"}, {"BSD-2-Clause"}, set(),
     ]
+
+
+FREE = "This {what} is free software{sep} you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\nthe Free Software Foundation{rest}"
+WARRANTY = "\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+LATER_OF = " either version {} of the License, or\n(at your option) any later version."
+NOTICES = [
+    (FREE.format(what="program", sep=":", name="General Public License", rest="," + LATER_OF.format(3)), "GPL-3.0-or-later"),
+    (FREE.format(what="program", sep=";", name="General Public License", rest=";" + LATER_OF.format(2)), "GPL-2.0-or-later"),
+    (FREE.format(what="program", sep=";", name="General Public License", rest="; version 2 of the License."), "GPL-2.0"),
+    (FREE.format(what="program", sep=";", name="General Public License version 2", rest="."), "GPL-2.0"),
+    (FREE.format(what="program", sep=";", name="General Public License", rest="."), "GPL"),
+    (FREE.format(what="library", sep=";", name="Lesser General Public License", rest=";" + LATER_OF.format("2.1")), "LGPL"),
+    (FREE.format(what="library", sep=";", name="Library General Public License", rest=";" + LATER_OF.format(2)), "LGPL"),
+    (FREE.format(what="program", sep=":", name="Lesser General Public License", rest="," + LATER_OF.format(3)), "LGPL"),
+    (FREE.format(what="program", sep=":", name="Affero General Public License", rest="," + LATER_OF.format(3)), "AGPL-3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Licensed under the Mozilla Public License, v. 2.0. Keep it.", "MPL-2.0"),
+    ("You may copy it under the terms of version 3 of the GNU General Public License.", "GPL-3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+]
+
+
+def test_standard_notices(spark):
+    texts = [n for n, _ in NOTICES]
+    commented = ["\n".join("# " + line for line in (n + WARRANTY).split("\n")) for n in texts]
+    got = [r.licences for r in found(spark, *texts, *[n + WARRANTY for n in texts], *commented)]
+    assert got == [name for _, name in NOTICES] * 3
+
+
+def test_a_version_belongs_to_the_nearest_gnu_licence(spark):
+    gpl2, lgpl, gpl2_later = "Licensed under the GNU General Public License version 2.\n", NOTICES[6][0] + "\n", NOTICES[1][0] + "\n"
+    got = found(spark, gpl2 + lgpl, gpl2 + gpl2_later, lgpl + gpl2_later)
+    assert [set(r.licences.split(",")) for r in got] == [{"GPL-2.0", "LGPL"}, {"GPL-2.0", "GPL-2.0-or-later"}, {"LGPL", "GPL-2.0-or-later"}]
