@@ -29,18 +29,20 @@ def as_table(spark: SparkSession, plan: Plan) -> DataFrame:
 
 def subset_near(items: list[tuple[int, int]], goal: int, within: int) -> list[int]:
     """Keys of (key, count) pairs whose counts sum to at most `goal` and at least goal - within, as near to goal as can be;
-    none if no subset does.  Sums are found by dynamic programming up to the goal."""
+    none if no subset does.  Sums are found by dynamic programming up to the goal: listed while they are few, as the bits
+    of a number beyond, which is exact too and takes items * goal / 64 steps and some goal / 8 bytes for each halving of items."""
     if goal <= 0:
         return []
+    items = [x for x in items if 0 < x[1] <= goal]
     reach: dict[int, tuple[int, int] | None] = {0: None}  # sum -> (sum before, position of the item)
     for i, (_, count) in enumerate(items):
-        if not 0 < count <= goal:
-            continue
         for total in sorted(reach, reverse=True):
             if total + count <= goal and total + count not in reach:
                 reach[total + count] = (total, i)
-        if goal in reach or len(reach) > 200_000:
+        if goal in reach:
             break
+        if len(reach) > max(1000, goal // 5000):  # from here on a number of that many bits is faster
+            return _subset_by_bits(items, goal, within)
     best = max(reach)
     if best == 0 or best < goal - within:
         return []
@@ -51,6 +53,34 @@ def subset_near(items: list[tuple[int, int]], goal: int, within: int) -> list[in
     return keys[::-1]
 
 
+def _reach(sums: int, items: list[tuple[int, int]], goal: int) -> int:
+    """Bit s of the result: the items, or some of them, bring a sum in `sums` to s, up to the goal; stops when that is met."""
+    mask = (1 << goal + 1) - 1
+    for _, count in items:
+        sums |= sums << count & mask
+        if sums >> goal:
+            break
+    return sums
+
+
+def _subset_by_bits(items: list[tuple[int, int]], goal: int, within: int) -> list[int]:
+    best = _reach(1, items, goal).bit_length() - 1
+    return _trace(1, items, best)[0] if best > 0 and best >= goal - within else []
+
+
+def _trace(sums: int, items: list[tuple[int, int]], total: int) -> tuple[list[int], int]:
+    """The keys that bring a sum in `sums` to `total`, each taken only if the items before do not reach it, and that sum."""
+    sums &= (1 << total + 1) - 1
+    if sums >> total:
+        return [], total
+    if len(items) == 1:
+        return [items[0][0]], total - items[0][1]
+    half = len(items) // 2
+    late, at = _trace(_reach(sums, items[:half], total), items[half:], total)
+    early, start = _trace(sums, items[:half], at)
+    return early + late, start
+
+
 class _State:
     def __init__(self, hist: Histogram):
         self.hist = {t: dict(k) for t, k in sorted(hist.items())}
