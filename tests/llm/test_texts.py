@@ -114,6 +114,15 @@ def test_spans_cover_each_window_once(letters, width):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_byte_bpe_over_many_rows_and_blocks(odd_docs):
+    whole = {(r["doc_id"], bytes(r["ids"])) for r in byte_bpe.bpe_encode(odd_docs).collect()}
+    docs = odd_docs.coalesce(1)
+    for row_bytes, block_bytes in ((1, 1 << 30), (1500, 4000), (1, 1)):
+        got = byte_bpe.bpe_encode(docs, decode=True, row_bytes=row_bytes, block_bytes=block_bytes).collect()
+        assert len(got) == odd_docs.count() and {(r["doc_id"], bytes(r["ids"])) for r in got} == whole
+        assert sorted(bytes(r["decoded"]) for r in got) == sorted((r["text"] or "").encode() for r in odd_docs.collect())
+
+
 def test_byte_bpe(odd_docs):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
