@@ -45,7 +45,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("reserved", r"(.* )?all rights reserved"),
 )
 
-# The standard notices of the GNU licences and the MPL, looked at before the others; the SQL does not know them.
+# The standard notices of the GNU licences and the MPL, looked at before the others.
 _TERMS = r"(.* )?(modify|redistribute|distribute|copy|use)( it| them| this [a-z]+)? (under|according to) (the )?terms( and conditions)? of (the )?"
 _VERSION_OF = r"(version [0-9]( [0-9])? of (the )?)?"
 _GPL, _FSF = r"gnu general public licen[sc]e", r"( as published by the free software foundation( inc)?)?"
@@ -69,6 +69,33 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("mpl2_notice", r"(.* )?subject to (the terms( and conditions)? of )?(the )?mozilla public licen[sc]e( version| v)? 2( 0)?.*"),
 )
 
+# Sentences from the full texts of licences.
+_CC = r"(.* )?accept and agree to be bound by the terms and conditions of this creative commons attribution "
+_CC_END = r" ?4 0 international public licen[sc]e.*"
+_GRANTS = r"(.* )?subject to the terms and conditions of this licen[sc]e each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable "
+BODIES: tuple[tuple[str, str], ...] = (
+    ("apache2_copyright", _GRANTS + r"copyright licen[sc]e to reproduce prepare derivative works of.*"),
+    ("apache2_patent", _GRANTS + r"except as stated in this section patent licen[sc]e to make have made use offer to sell sell import and otherwise transfer the work.*"),
+    ("gpl3_preamble", r"(.* )?the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+    ("agpl3_preamble", r"(.* )?the gnu affero general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works.*"),
+    ("gnu3_rights", r"(.* )?all rights granted under this licen[sc]e are granted for the term of copyright on the program and are irrevocable provided the stated conditions are met"),
+    ("gnu2_preamble", r"(.* )?the licen[sc]es for most software are designed to take away your freedom to share and change it"),
+    ("gpl2_contrast", r"by contrast the gnu general public licen[sc]e is intended to guarantee your freedom to share and change free software.*"),
+    ("lgpl2_contrast", r"by contrast the gnu general public licen[sc]es are intended to guarantee your freedom to share and change free software.*"),
+    ("lgpl3_body", r"(.* )?this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e.*"),
+    ("mpl2_grants", r"(.* )?each contributor hereby grants you a world wide royalty free non exclusive licen[sc]e"),
+    ("mpl2_source", r"(.* )?all distribution of covered software in source code form including any modifications that you create or to which you contribute must be under the terms of this licen[sc]e"),
+    ("cc_by_body", _CC[:-1] + _CC_END),
+    ("cc_by_sa_body", _CC + "share ?alike" + _CC_END),
+    ("cc_by_nd_body", _CC + "no ?derivatives" + _CC_END),
+    ("cc_by_nc_body", _CC + "non ?commercial" + _CC_END),
+    ("cc_by_nc_sa_body", _CC + "non ?commercial share ?alike" + _CC_END),
+    ("cc_by_nc_nd_body", _CC + "non ?commercial no ?derivatives" + _CC_END),
+    ("cc_by_nd_ref", _REF + r"(cc by nd|creative commons attribution no ?deriv[a-z]*) ?(licen[sc]e )?4 0.*"),
+)
+#: The table of sentences; the first that matches names a sentence.
+KNOWN = NOTICES + BODIES + SENTENCES
+
 # Rules in the order in which they are tried; other sentences may lie between those of a rule.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_disclaimer")),
@@ -116,23 +143,35 @@ NOTICE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0", ("gpl2_notice",)),
     ("GPL", ("gpl_notice",)),
     ("MPL-2.0", ("mpl2_notice",)),
+    ("Apache-2.0", ("apache2_copyright", "apache2_patent")),
+    ("AGPL-3.0", ("agpl3_preamble", "gnu3_rights")),
+    ("GPL-3.0", ("gpl3_preamble", "gnu3_rights")),
+    ("GPL-2.0", ("gnu2_preamble", "gpl2_contrast")),
+    ("LGPL", ("gnu2_preamble", "lgpl2_contrast")),
+    ("LGPL", ("lgpl3_body",)),
+    ("MPL-2.0", ("mpl2_grants", "mpl2_source")),
+    ("CC-BY-NC-ND-4.0", ("cc_by_nc_nd_body",)),
+    ("CC-BY-NC-SA-4.0", ("cc_by_nc_sa_body",)),
+    ("CC-BY-NC-4.0", ("cc_by_nc_body",)),
+    ("CC-BY-ND-4.0", ("cc_by_nd_body",)),
+    ("CC-BY-SA-4.0", ("cc_by_sa_body",)),
+    ("CC-BY-4.0", ("cc_by_body",)),
+    ("CC-BY-ND-4.0", ("cc_by_nd_ref",)),
     *(rule for rule in RULES if rule[1][-1] != "gpl_later"),
 )
 
-#: Words of most known sentences; the SQL looks only at sentences with one of them.
-HINT = r"licen[sc]|copyright|permission|redistribut|public domain|rights reserved|cc0|creative commons|warrant|endorse|later version"
 #: Every known sentence has one of these words, those that leave out the word licence too.
-HINTS = HINT + r"|bsd [23] clause|[23] clause bsd|new bsd|simplified bsd|cc by"
-_END = r"[.!?;:]+[ \t\r]+|\n+"
-
-
-def rule_pattern(parts: tuple[str, ...]) -> str:
-    """Over a sequence written as ``,a,b,c,``: the parts in order, the fewest others between them."""
-    return "," + ",(?:[a-z0-9_]+,)*?".join(f"{p}" for p in parts) + ","
+HINTS = (
+    r"licen[sc]|copyright|permission|redistribut|public domain|rights reserved|cc0|creative commons|warrant|endorse|later version"
+    r"|bsd [23] clause|[23] clause bsd|new bsd|simplified bsd|cc by"
+)
+# runs are taken whole from their first character, so that long ones cost no more than their length
+_END = r"(?<![.!?;:])[.!?;:]++[ \t\r]++|\n++"
+_WRAP = r"(?:(?<![ \t\r])[ \t\r]++)?+\n[ \t\r]*+"
 
 
 #: References to a GNU licence; a sentence on its version alone belongs to the nearest one before it.
-_GNU = tuple(i for i, _ in NOTICES + SENTENCES if re.fullmatch(r"[al]?gpl[23]?(_later)?_(ref|notice)", i))
+_GNU = tuple(i for i, _ in KNOWN if re.fullmatch(r"[al]?gpl[23]?(_later)?_(ref|notice)", i))
 
 
 def own_parts(parts: tuple[str, ...]) -> str:
@@ -151,24 +190,47 @@ def own_parts(parts: tuple[str, ...]) -> str:
 def _sentences(text: Column, lines: bool) -> Column:
     """Normalised sentences; with lines, a line end ends a sentence too."""
     if not lines:
-        text = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*", " ")
+        text = F.regexp_replace(text, _WRAP, " ")
     parts = F.split(F.regexp_replace(F.lower(text), r"\bv\.[ \t\r]+(?=[0-9])", "v "), _END)  # the point of "v. 2.0" ends no sentence
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
 
 
 def _identify(sentences: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"^{p}$").alias("p")) for i, p in NOTICES + SENTENCES])
+    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"^{p}$").alias("p")) for i, p in KNOWN])
     one = lambda s: F.get(F.filter(table, lambda k: F.call_function("rlike", s, k["p"])), F.lit(0))["id"]
     return F.filter(F.transform(F.filter(sentences, lambda s: s.rlike(HINTS)), one), lambda x: x.isNotNull())
 
 
+def match_rules(ids: Column) -> Column:
+    """The licences of a sequence of identifiers, comma-separated, in the order of the rules; empty for an empty or null one.
+
+    A rule takes its own parts out, wherever it matches; what lies between stays for the rules after it.  The
+    pattern never goes back over what it passed, so that a sequence may be of any length.
+    """
+    seq = F.when(F.size(ids) > 0, F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")))
+    between = lambda p: "".join(f"${k}" for k in range(1, len(p)))
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(own_parts(p)).alias("p"), F.lit(between(p)).alias("b")) for n, p in NOTICE_RULES])
+    start = F.struct(seq.alias("seq"), F.array().cast("array<string>").alias("out"))
+
+    def apply(acc, rule):
+        hit = F.call_function("rlike", acc["seq"], rule["p"])
+        return F.struct(
+            F.when(hit, F.call_function("regexp_replace", acc["seq"], rule["p"], rule["b"])).otherwise(acc["seq"]).alias("seq"),
+            F.when(hit, F.concat(acc["out"], F.array(rule["name"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    found = F.when(F.size(ids) > 0, F.array_join(F.array_distinct(F.aggregate(rules, start, apply)["out"]), ","))
+    return F.coalesce(found, F.lit(""))
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, sentence_ids and licences (both comma-separated, empty if none) and n_hints for each row.
 
     Sentences are taken line by line and across line ends, for those that are wrapped; the sequence is that
     of the way that knows more, the wrapped one of equals, then what only the other knows.  n_hints counts the
     sentences of the first kind that speak of licensing, known or not.  A null or empty text has none of
-    them.  Rows are judged by themselves; null and repeated ids are kept as they are.
+    them.  Rows are judged by themselves; null and repeated ids are kept as they are.  Only the id and text columns
+    are read, so that others may have any name; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.lower(text).rlike(HINTS.replace(" ", "[^a-z0-9]+")), text).alias("t"))
@@ -182,44 +244,41 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     rest = lambda x, y: F.concat(x, F.filter(y, lambda v: ~F.array_contains(x, v)))
     both = F.when(F.size("b") >= F.size("a"), rest(F.col("b"), F.col("a"))).otherwise(rest(F.col("a"), F.col("b")))
     ids = ids.select("doc_id", F.greatest("n", F.lit(0)).cast("long").alias("n_hints"), both.alias("ids"))
-    seq = F.when(F.size("ids") > 0, F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
-    ids = ids.select("doc_id", "n_hints", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"), seq.alias("seq"))
-    # a rule takes its own parts out; what lies between stays for the rules after it
-    between = lambda p: "".join(f"${k}" for k in range(1, len(p)))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(own_parts(p)).alias("p"), F.lit(between(p)).alias("b")) for n, p in NOTICE_RULES])
-    start = F.struct(F.col("seq").alias("seq"), F.array().cast("array<string>").alias("out"))
-
-    def apply(acc, rule):
-        hit = F.call_function("rlike", acc["seq"], rule["p"])
-        return F.struct(
-            F.when(hit, F.call_function("regexp_replace", acc["seq"], rule["p"], rule["b"])).otherwise(acc["seq"]).alias("seq"),
-            F.when(hit, F.concat(acc["out"], F.array(rule["name"]))).otherwise(acc["out"]).alias("out"),
-        )
-
-    found = F.when(F.col("seq").isNotNull(), F.array_join(F.array_distinct(F.aggregate(rules, start, apply)["out"]), ","))
-    return ids.select("doc_id", "n_hints", "sentence_ids", F.coalesce(found, F.lit("")).alias("licences"))
+    return ids.select("doc_id", "n_hints", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"), match_rules(F.col("ids")).alias("licences"))
 
 
 def oracle(table: str = "documents") -> str:
-    """The same rows in DuckDB SQL, with one step for each rule, but for known sentences without a word of HINT, for sentences
-    between the parts of a rule, which it drops, and for NOTICES and "v. 2.0", which it does not know."""
+    """The same rows in DuckDB SQL, by list functions: every sentence is compared with the whole table, and a rule looks for the
+    places of its parts in the list of identifiers."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    norm = lambda t: f"list_transform(string_split_regex(lower({t}), {q(_END)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
-    case = "CASE " + " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(i)}" for i, p in SENTENCES) + " END"
-    ident = lambda c: f"list_filter(list_transform(list_filter({c}, lambda s: regexp_matches(s, {q(HINT)})), lambda s: {case}), lambda x: x IS NOT NULL)"
+    version = rf"regexp_replace(lower({{}}), '\bv\.[ \t\r]+([0-9])', 'v \1', 'g')"
+    norm = lambda t: (
+        rf"list_transform(string_split_regex({version.format(t)}, '[.!?;:]+[ \t\r]+|\n+'), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
+    )
+    case = "CASE " + " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(i)}" for i, p in KNOWN) + " END"
+    ident = lambda c: f"list_filter(list_transform({c}, lambda s: {case}), lambda x: x IS NOT NULL)"
     sql = (
         f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}), "
-        f"s AS (SELECT doc_id, {norm('t')} AS s, {norm(f'''regexp_replace(t, {q(chr(91) + ' \t\r]*' + chr(10) + '[ \t\r]*')}, ' ', 'g')''')} AS w FROM t), "
-        f"i AS (SELECT doc_id, len(list_filter(s, lambda x: regexp_matches(x, {q(HINT)}))) AS n_hints, {ident('s')} AS a, {ident('w')} AS b FROM s), "
+        rf"s AS MATERIALIZED (SELECT doc_id, {norm('t')} AS s, {norm(r"regexp_replace(t, '[ \t\r]*\n[ \t\r]*', ' ', 'g')")} AS w FROM t), "
+        f"i AS MATERIALIZED (SELECT doc_id, len(list_filter(s, lambda x: regexp_matches(x, {q(HINTS)}))) AS n_hints, {ident('s')} AS a, {ident('w')} AS b FROM s), "
         "c AS (SELECT doc_id, n_hints, CASE WHEN len(b) >= len(a) THEN list_concat(b, list_filter(a, lambda x: NOT list_contains(b, x))) "
         "ELSE list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) END AS ids FROM i), "
-        "r0 AS (SELECT doc_id, n_hints, array_to_string(ids, ',') AS sentence_ids, ',' || array_to_string(ids, ',') || ',' AS seq, '' AS out FROM c)"
+        "r0 AS MATERIALIZED (SELECT doc_id, n_hints, array_to_string(ids, ',') AS sentence_ids, ids, CAST([] AS VARCHAR[]) AS out FROM c)"
     )
-    for k, (name, parts) in enumerate(RULES):
-        p = q(rule_pattern(parts))
-        known = f"list_contains(string_split(out, ','), {q(name)})"
+    for k, (name, parts) in enumerate(NOTICE_RULES):
+        # places of the first part, each with the place of the next one; then of each further part, the first before that
+        found = f"list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {q(parts[0])})"
+        found = f"list_transform({found}, lambda i: [i, coalesce(list_min(list_filter(range(i + 1, len(ids) + 1), lambda j: ids[j] = {q(parts[0])})), len(ids) + 1)])"
+        stops = "[" + ", ".join(map(q, _GNU)) + "]" if len(parts) > 1 and parts[-1].endswith(("_later", "_only")) else ""
+        for n, part in enumerate(parts[1:], 2):
+            at = f"list_min(list_filter(range(m[{n - 1 if n == 2 else n}] + 1, m[2]), lambda j: ids[j] = {q(part)}))"
+            found = f"list_filter(list_transform({found}, lambda m: list_append(m, {at})), lambda m: m[{n + 1}] IS NOT NULL)"
+            if stops:
+                found = f"list_filter({found}, lambda m: len(list_filter(range(m[{n - 1 if n == 2 else n}] + 1, m[{n + 1}]), lambda j: list_contains({stops}, ids[j]))) = 0)"
         sql += (
-            f", r{k + 1} AS (SELECT doc_id, n_hints, sentence_ids, regexp_replace(seq, {p}, ',', 'g') AS seq, "
-            f"CASE WHEN regexp_matches(seq, {p}) AND NOT {known} THEN out || CASE WHEN out = '' THEN '' ELSE ',' END || {q(name)} ELSE out END AS out FROM r{k})"
+            f", m{k} AS MATERIALIZED (SELECT *, CASE WHEN list_has_all(ids, [{', '.join(map(q, parts))}]) THEN {found} ELSE [] END AS m FROM r{k}), "
+            f"g{k} AS MATERIALIZED (SELECT *, flatten(list_transform(m, lambda x: list_concat([x[1]], x[3:]))) AS gone FROM m{k}), "
+            f"r{k + 1} AS MATERIALIZED (SELECT doc_id, n_hints, sentence_ids, CASE WHEN len(m) = 0 THEN ids ELSE list_filter(ids, lambda x, i: NOT list_contains(gone, i)) END AS ids, "
+            f"CASE WHEN len(m) > 0 AND NOT list_contains(out, {q(name)}) THEN list_append(out, {q(name)}) ELSE out END AS out FROM g{k})"
         )
-    return sql + f" SELECT doc_id, CAST(n_hints AS BIGINT) AS n_hints, sentence_ids, out AS licences FROM r{len(RULES)}"
+    return sql + f" SELECT doc_id, CAST(n_hints AS BIGINT) AS n_hints, sentence_ids, array_to_string(out, ',') AS licences FROM r{len(NOTICE_RULES)}"
