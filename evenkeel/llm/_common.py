@@ -8,7 +8,6 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -17,14 +16,17 @@ from xxhash import xxh3_64_intdigest
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
+_TABLES: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset and the session local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
         root = f"{base.rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
         _OWN[app] = root
@@ -34,6 +36,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, root: str) -> None:
     try:
+        while _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # the session is gone: what is left belongs to the folder's own clean-up
@@ -71,11 +75,14 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """As materialise, with the rows of a key in one bucket: later joins and groupings by it need no exchange."""
+    """As materialise, with the rows of a key in one bucket: later joins and groupings by it need no exchange.
+
+    The session's catalog has to name such a table; the name goes with the folder when the session ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"evenkeel_{name}_{path.rpartition('-')[2]}"
     df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    _TABLES.append(table)
     return spark.table(table)
 
 
@@ -86,6 +93,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold any character, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(docs: DataFrame):
+    """All columns of a table as one struct, so that no helper column can clash with theirs."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def text_bytes(col: str = "text"):
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(col).cast("string").cast("binary")
@@ -131,29 +148,24 @@ def window_hashes(word_hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4
     return mix(out)
 
 
-def batches_of(rows: list, arrow_schema: pa.Schema, size: int = 2000):
-    """Record batches from a list of dicts."""
-    for i in range(0, len(rows), size):
-        yield pa.RecordBatch.from_pylist(rows[i : i + size], schema=arrow_schema)
-
-
 def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
     """Connected components of an undirected graph (u bigint, v bigint): rows (node, root), root the smallest node.
 
-    Alternating large-star and small-star steps; hubs are joined back on their key, so that adaptive
-    execution can split them.  Every round is written to the shared folder.  Self loops keep a node.
+    Alternating large-star and small-star steps.  A hub's smallest neighbour is joined back by a key of its own, in an
+    exchange that adaptive execution can split.  Every round is written to the shared folder.  Self loops keep a node.
     """
     spark = edges.sparkSession
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, name)
     before = None
+    hub = F.col("u").bitwiseXOR(F.lit(1 << 40))  # another key than that of the sums, which would hold the join to their exchange
     for _ in range(limit):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(hub.alias("hub"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").withColumn("hub", hub).join(low, "hub").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.withColumn("hub", hub).join(low.select(hub.alias("hub"), "m"), "hub").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1_000_003)).first())
         if now == before:
