@@ -13,10 +13,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import whole_rows
+
+#: The base limits: words, and words in repeated windows for each hundred words.
+LEAST_WORDS, MOST_REPEATED = 50, 50
 _WS = r"[ \t\n\x0B\f\r]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbol_share", "upper_share", "mark_share", "digit_share", "stop_rate", "word_length", "dup_line_share", "repeat_share")
-_SPLIT = 26  # bits of a word's position; the rest of a packed number is hash
+_SPLIT = 31  # bits of a word's position, enough for any array; the rest of a packed number is hash
 
 
 def _let(value: Column, use) -> Column:
@@ -115,7 +119,10 @@ class Rule:
 
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 4, cuts: int = 48) -> Rule:
-    """Add the condition of greatest information gain until only low quality is covered."""
+    """Add the condition of greatest information gain until only low quality is covered, `most` at most.
+
+    Thresholds lie half way between neighbouring values; where there are more than `cuts` of them, they are `cuts` quantiles
+    of either kind of row instead."""
     chosen: list[Condition] = []
     inside = np.ones(len(bad), dtype=bool)
     while len(chosen) < most and (bad[inside] == False).any():  # noqa: E712
@@ -158,8 +165,9 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, most: int = 12, precision: float = 0.97, support: int = 3) -> list[Rule]:
-    """Ordered rules for rows of low quality.  `held` are the rows kept back for pruning; a rule must be right on
-    both parts at least that often, and cover `support` of those rows that earlier rules left."""
+    """Ordered rules for rows of low quality, `most` at most.  `held` are the rows kept back for pruning; a rule must be right
+    on both parts at least that often, and cover `support` of those rows that earlier rules left.  These bounds shape the
+    list that is learned; they leave out no document when it is applied."""
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
     sub = lambda mask: ({f: v[mask] for f, v in x.items()}, bad[mask])
@@ -176,7 +184,8 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, mos
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
-    """Learn from documents (doc_id, text) with a label (doc_id, quality 0 or 1), of those that pass the base limits.
+    """Learn from documents (doc_id, text) with a label (doc_id, quality 0 or 1), of those that pass the base limits: 12 rules
+    of 4 conditions at most.
 
     `most` bounds the labels that are used: those with the smallest hashes of their id, over the
     whole table.  Null ids and labels are left out; without labels of both kinds there is no rule.
@@ -184,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows at most
-    found = with_statistics(src.select("doc_id", "quality", "text"), F.col("text")).where(~base_failed()).select("doc_id", "quality", *FEATURES).collect()
+    # the base limits are applied here: as a filter they would be pushed below the join and computed for every document
+    found = with_statistics(src.select("doc_id", "quality", "text"), F.col("text")).select("doc_id", "quality", "n_words", "n_repeat_words", *FEATURES)
+    found = [r for r in found.collect() if r["n_words"] >= LEAST_WORDS and 100 * r["n_repeat_words"] <= MOST_REPEATED * r["n_words"]]
     found.sort(key=lambda r: (r["doc_id"], r["quality"]))
     if not found:
         return []
@@ -206,13 +217,14 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the rule that decided, for each row.
 
-    A null or empty text has no words and fails.  Rows are judged by themselves, repeated ones and null ids included.
+    A null or empty text has no words and fails.  Rows are judged by themselves, repeated ones and null ids included.  Only the
+    id and text columns are read, so that others may have any name; an empty table gives no rows.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out = with_statistics(src, F.col("text")).withColumn("base_failed", base_failed()).withColumn("rule", decision(rules))
@@ -220,7 +232,11 @@ def quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass the base limits and no rule, columns unchanged."""
+    """The documents that pass the base limits and no rule, columns unchanged.
+
+    Null and empty texts go.  Rows are judged by themselves, repeated ones and null ids included.  Whole rows travel in one
+    column, so that theirs may have any name; an empty table gives no rows, and without labels only the base limits hold.
+    """
     rules = fit(docs, labels)
-    kept = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t")), F.col("t"))
+    kept = with_statistics(docs.select(whole_rows(docs).alias("row"), F.col("text").alias("t")), F.col("t"))
     return kept.where(~base_failed() & decision(rules).isNull()).select("row.*")
