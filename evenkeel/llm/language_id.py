@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import text_bytes
+from ._common import text_bytes, whole_rows
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
-#: Characters scored at a time.
-PIECE = 1 << 20
+#: Characters in a piece of a text, and n-grams that are scored at a time.
+PIECE, BATCH = 1 << 20, 1 << 20
 
 
 def _grams(codes: np.ndarray, bits: int):
@@ -80,27 +81,43 @@ def _counter(bits: int):
 class LanguageModel:
     langs: list[str]
     bits: int
-    #: log probability of each bucket (row) in each language (column)
+    #: log probability in each language (row) of each bucket (column)
     logp: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Most probable language, the first by name of equals, and its probability among those learned."""
-        names, scores = [], []
-        for text in texts:
-            if not self.langs or text is None or not has_letter(text):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = np.zeros(len(self.langs))
-            for part, own in _pieces(text):
-                for g in _grams(_codes(part), self.bits):
-                    total += np.take(self.logp, g[:own], axis=0).sum(axis=0, dtype=np.float64)
-            total = np.exp(total - total.max())
-            k = int(total.argmax())
-            names.append(self.langs[k])
-            scores.append(float(total[k] / total.sum()))
+        """Most probable language, the first by name of equals, and its probability among those learned.
+
+        A batch is a sparse matrix of n-gram counts, a row for each piece of a text, stored by rows: its product with the
+        matrix of log probabilities is taken for the whole batch."""
+        known = [i for i, t in enumerate(texts) if self.langs and t is not None and has_letter(t)]
+        total = np.zeros((len(texts), len(self.langs)))
+        owners, columns, sizes, pending = [], [], [], 0
+        for i in known:
+            for part, own in _pieces(texts[i]):
+                grams = np.concatenate([g[:own] for g in _grams(_codes(part), self.bits)])
+                owners.append(i)
+                columns.append(grams)
+                sizes.append(len(grams))
+                pending += len(grams)
+                if pending >= BATCH:
+                    self._add(total, owners, columns, sizes)
+                    owners, columns, sizes, pending = [], [], [], 0
+        if owners:
+            self._add(total, owners, columns, sizes)
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if known:
+            odds = np.exp(total[known] - total[known].max(axis=1, keepdims=True))
+            best = odds.argmax(axis=1)
+            for i, k, score in zip(known, best.tolist(), (odds.max(axis=1) / odds.sum(axis=1)).tolist(), strict=True):
+                names[i], scores[i] = self.langs[k], score
         return names, scores
 
+    def _add(self, total: np.ndarray, owners: list[int], columns: list[np.ndarray], sizes: list[int]) -> None:
+        """Add to the rows `owners` of total the product of a sparse matrix in compressed rows with the log probabilities."""
+        at, starts = np.concatenate(columns), np.cumsum([0, *sizes[:-1]])
+        for lang in range(len(self.langs)):
+            np.add.at(total[:, lang], owners, np.add.reduceat(self.logp[lang][at], starts, dtype=np.float64))
+
 
 def train(labelled: DataFrame, bits: int = 16, most: int = 20_000, smoothing: float = 0.5) -> LanguageModel:
     """Learn from rows (key, lang, text); null languages are left out.
@@ -118,17 +135,18 @@ def train(labelled: DataFrame, bits: int = 16, most: int = 20_000, smoothing: fl
     column = {x: i for i, x in enumerate(langs)}
     for r in sums:
         counts[r["bucket"], column[r["lang"]]] += r["n"]
-    return LanguageModel(langs, bits, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    return LanguageModel(langs, bits, np.ascontiguousarray(np.log(counts / counts.sum(axis=0)).astype(np.float32).T))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep` with lang_pred and score for each row, by its text alone.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
+    A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.  Columns that are
+    not in `keep` may have any name; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*(F.col(c) for c in keep), text_bytes(text_col).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(keep)]) + ", lang_pred string, score double"
+    schema = StructType([*src.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         m = shared.value
@@ -139,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
             )
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(run, schema)
 
 
 def held_out():
@@ -153,7 +171,12 @@ def train_on(docs: DataFrame) -> LanguageModel:
 
 
 def language_stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose text is in a learned language with at least that probability, columns unchanged."""
-    names = docs.columns
-    scored = identify(docs, train_on(docs), keep=tuple(names))
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    """Documents whose text is in a learned language with at least that probability among those learned, columns unchanged.
+
+    Null texts and texts without a letter go; a text of more than a few words nearly always has one language far ahead of the
+    others, so that little else does.  Rows are judged by themselves, repeated ones and null ids included.  Whole rows
+    travel in one column, so that theirs may have any name; an empty table, or one without a label, gives no rows.
+    """
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("text"))
+    scored = identify(rows, train_on(docs), keep=("row",))
+    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import WordHasher, materialise, materialise_bucketed, mix, text_bytes, window_hashes
+from ._common import WordHasher, materialise, materialise_bucketed, mix, text_bytes, whole_rows, window_hashes
 
 GRAM = 8
 MOST = 28
@@ -286,13 +287,11 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     spans = whole.unionByName(parts.select("k1", "k2", "start", "cnt", "mask"))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "cnt", "mask")).alias("spans"))
     if carry:
-        whole_rows = _keyed(docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("row")), id_col, text_col, ("row",))
-        first, kind = "row", whole_rows.schema["row"].dataType.simpleString()
+        source, first = _keyed(docs.select(F.col(id_col), F.col(text_col), whole_rows(docs).alias("row")), id_col, text_col, ("row",)), "row"
     else:
-        whole_rows, first, kind = keyed, "doc_id", "bigint"
-    return whole_rows.join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(
-        _remover(width, first), f"{first} {kind}, n_words long, n_removed long, kept_text binary"
-    )
+        source, first = keyed, "doc_id"
+    schema = StructType([source.schema[first]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "binary")
+    return source.join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(_remover(width, first), schema)
 
 
 def substring_dedup_stage(docs: DataFrame, width: int = 35) -> DataFrame:

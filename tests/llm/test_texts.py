@@ -1,6 +1,8 @@
 """Operators on texts against brute force over odd rows."""
 
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evenkeel.llm import byte_bpe, language_id, licenses, ngram_join, packing, quality_rules, substring_dedup, token_store
@@ -65,6 +68,35 @@ def test_ngram_join_of_a_large_group(spark):
     assert {r.class_id for r in got} == {0} and [r.n_links for r in sorted(got, key=lambda r: r.doc_id)] == want
 
 
+@pytest.mark.parametrize("docs,size", [(1, 1 << 30), (3, 1 << 30), (40, 500)])
+def test_ngram_join_in_blocks_and_by_bands(spark, monkeypatch, docs, size):
+    """A chain of texts that each resemble the next ones alone, a family of near copies, and pairs: verified by block and by band."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+    chain = [" ".join(f"c{j}" for j in range(12 * i, 12 * i + 300)) for i in range(40)]
+    base = [f"w{i}" for i in range(300)]
+    family = [" ".join([*base[: 9 * i], f"x{i}", *base[9 * i + 1 :]]) for i in range(30)]
+    rows = list(enumerate(chain + family + [f"{t} end" for t in family[:5]] + chain[:3]))
+    got = sorted(ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    sets = [shingles(t) for _, t in rows]
+    assert [r.n_links for r in got] == [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    assert {r.class_id for r in got} == {0, 40}
+
+
+def test_stages_stand_any_column_name(spark, odd_docs):
+    """Extra columns with the names of outputs and helpers, and with odd characters."""
+    names = ["score", "lang_pred", "k_id", "row", "rep", "m_fp", "stays", "id", "words", "cls", "class_id", "n_links", "start", "mask", "spans", "kept_text", "n_removed",
+             "n_words", "n_repeat_words", "base_failed", "rule", "kept", "_t", "_w", "t", "k1", "k2", "text_", "a b", "c.d", "e`f", "batch_id", "offset"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    labels = spark.createDataFrame([(5, 1, 0), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    for stage in (language_id.language_stage, lambda d: quality_rules.quality_stage(d, labels), ngram_join.near_duplicate_stage, substring_dedup.substring_dedup_stage):
+        out, none = stage(docs), stage(docs.where(F.lit(False)))
+        assert out.columns == docs.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+        assert none.columns == docs.columns and none.collect() == []
+    assert packing.pack(docs).count() == packing.pack(odd_docs).count() and packing.pack(docs.where(F.lit(False))).collect() == []
+
+
 def test_near_duplicate_stage(odd_docs):
     kept = ngram_join.near_duplicate_stage(odd_docs)
     ids = Counter(r.doc_id for r in kept.collect())
@@ -188,6 +220,38 @@ def test_cuts_follow_content(ids, shift):
     assert all(s <= token_store.MOST for s in sizes) and all(s >= token_store.LEAST for s in sizes[:-1])
 
 
+def plain_grams(text, bits=16):
+    """Buckets of all n-grams of one to three characters, one by one."""
+    codes, whole = [ord(c) for c in text.lower()], (1 << 32) - 1
+    for order in (1, 2, 3):
+        for i in range(len(codes) - order + 1):
+            h = 0
+            for c in codes[i : i + order]:
+                h = (h ^ c) * 0x9E3779B1 & whole
+                h ^= h >> 15
+            yield ((h + order) * 0x85EBCA77 & whole) >> (32 - bits)
+
+
+def test_language_by_a_plain_naive_bayes(spark):
+    rng = random.Random(2)
+    letters = {"aa": "abcdé ", "bb": "bcdefß ", "cc": "cdefgж "}
+    rows = [(i, lang, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(5, 120)))) for i in range(60) for lang in [rng.choice(sorted(letters))]]
+    train_rows, asked = rows[:40], [t for _, _, t in rows[40:]] + ["b", "", None, "12", "日本 text", "bcd" * 400]
+    model = language_id.train(spark.createDataFrame(train_rows, "key long, lang string, text string"))
+    counts = {lang: Counter() for lang in letters}
+    for _, lang, t in train_rows:
+        counts[lang].update(plain_grams(t))
+    logp = {lang: (lambda b, c=c, n=sum(c.values()) + 0.5 * (1 << 16): math.log((c[b] + 0.5) / n)) for lang, c in counts.items()}
+    for t, name, score in zip(asked, *model.predict(asked), strict=True):
+        if t is None or not any(map(str.isalpha, t)):
+            assert (name, score) == ("und", 0.0)
+            continue
+        total = {lang: sum(map(f, plain_grams(t))) for lang, f in logp.items()}
+        best = max(sorted(total), key=total.get)
+        odds = 1 / sum(math.exp(x - total[best]) for x in total.values())
+        assert name == best and abs(score - odds) < 1e-3
+
+
 def test_language(odd_docs, spark):
     rows = [(i, t, lang, None, 1, "", "", 0, 0) for i in range(60) for lang, t in [("aa", "baba gagu bab"), ("bb", "zyx xyzzy wyx")][i % 2 :][:1]]
     docs = odd_docs.union(spark.createDataFrame(rows, odd_docs.schema))
