@@ -38,8 +38,7 @@ def _remove(spark: SparkSession, root: str) -> None:
     try:
         while _TABLES:
             spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, root)
     except Exception:  # the session is gone: what is left belongs to the folder's own clean-up
         pass
 
@@ -62,28 +61,60 @@ def remove(spark: SparkSession, written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def _table_name(name: str) -> str:
+    _TABLES.append(f"evenkeel_{name}_{uuid.uuid4().hex[:12]}")
+    return _TABLES[-1]
+
+
+def write_bucketed(df: DataFrame, path: str, name: str, buckets: int, *keys: str) -> str:
+    """Write a table whose rows of a key are in one bucket, sorted: later joins and groupings by it need no exchange.
+
+    The session's catalog has to name such a table; the name goes when the session ends or drop_table is called."""
+    table = _table_name(name)
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return table
+
+
+def open_bucketed(spark: SparkSession, path: str, name: str, ddl: str, buckets: int, key: str) -> str:
+    """Name a table that write_bucketed() left in a folder, in this session too."""
+    table = _table_name(name)
+    spark.sql(f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return table
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Take the name of a bucketed table out of the session's catalog; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _TABLES.remove(table)
+
+
+def materialise_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """As materialise, but bucketed by keys."""
+    return df.sparkSession.table(write_bucketed(df, scratch_path(df.sparkSession, name), name, buckets, *keys))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Fewer rows in a record batch, where whole texts travel, for the jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """As materialise, with the rows of a key in one bucket: later joins and groupings by it need no exchange.
-
-    The session's catalog has to name such a table; the name goes with the folder when the session ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    table = f"evenkeel_{name}_{path.rpartition('-')[2]}"
-    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    _TABLES.append(table)
-    return spark.table(table)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Fewer rows in a record batch, where whole texts travel, for the jobs that run inside."""
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
 
 
 def filesystem(uri: str):

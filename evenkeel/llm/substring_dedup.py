@@ -3,28 +3,33 @@
 A window is `width` consecutive words.  The windows of a text are cut into *spans*: maximal runs of
 consecutive windows whose smallest `GRAM`-word hash is the same, `MOST` windows at most.  Equal windows
 have equal smallest hashes, so all occurrences of a window meet under one key.  A batch becomes an
-immutable run of spans, bucketed and sorted by that key; a new batch is merge-joined with the
-runs before it, and runs of a level are compacted into one of the next level.
+immutable run of spans, bucketed and sorted by that key; it is merge-joined with the runs before it, and runs of a
+level are compacted into one of the next level.
 
-Which windows repeat follows from two exact steps: a span whose whole content occurs twice repeats
-in full; where one key has several contents, one occurrence of each content is expanded into its
-windows, whose full hashes are then counted.  A match needs the key and an independent 64-bit hash
-of all its words to be equal.
+Equal texts are one place in the index, found by their digest before anything else; a text that has copies repeats in full.
+What the index matches is verified on the words: a span whose words occur twice repeats in full; where one key
+has several contents, one occurrence of each is expanded into its windows, whose words are compared in turn.  Words are
+compared by a 128-bit BLAKE2 digest of them all, as texts are by their MD5.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
-from hashlib import sha256
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import WordHasher, materialise, materialise_bucketed, mix, text_bytes, whole_rows, window_hashes
+from ._common import (
+    WORD_PATTERN, WordHasher, delete, drop_table, materialise, materialise_bucketed, mix, open_bucketed, scratch_path, setting, text_bytes, whole_rows,
+    window_hashes, write_bucketed,
+)
 
 GRAM = 8
 MOST = 28
@@ -61,11 +66,10 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 
 def spans_of(words: np.ndarray, width: int):
-    """(key, content, start, count, inner) of each span of a text given by its word hashes; inner: it holds a window twice."""
+    """(key, start, count, inner) of each span of a text given by its word hashes; inner: it may hold a window twice."""
     n = len(words) - width + 1
     if n <= 0:
-        e = np.empty(0, dtype=np.uint64)
-        return e, e, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, dtype=np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     gram = min(GRAM, width)
     h = window_hashes(words, gram)
     reach, low, have = width - gram + 1, h, 1
@@ -84,24 +88,21 @@ def spans_of(words: np.ndarray, width: int):
         at = np.arange(n) - np.repeat(first, lens)
         first = np.flatnonzero(at % MOST == 0)
         lens = np.diff(np.append(first, n))
-    prefix, _ = _prefix(words)
-    inverse = _inverse_powers(len(words))
-    content = _range_hash(prefix, inverse, first, first + lens + width - 1)
     inner = np.zeros(len(first), dtype=bool)
     if len(np.unique(h)) < len(h):
+        prefix, _ = _prefix(words)
         start = np.arange(n)
-        whole = _range_hash(prefix, inverse, start, start + width)
+        whole = _range_hash(prefix, _inverse_powers(len(words)), start, start + width)
         span = np.repeat(np.arange(len(first)), lens)
         order = np.lexsort((whole, span))
         same = (whole[order][1:] == whole[order][:-1]) & (span[order][1:] == span[order][:-1])
         inner[span[order][1:][same]] = True
-    return low[first], content, first, lens, inner
+    return low[first], first, lens, inner
 
 
-_SPAN = pa.schema(
-    [("mhash", pa.int64()), ("shash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("cnt", pa.int8()), ("tie", pa.bool_())]
-)
-SPAN_DDL = "mhash long, shash long, k1 long, k2 long, start int, cnt tinyint, tie boolean"
+_SPAN = pa.schema([("mhash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("cnt", pa.int8()), ("tie", pa.bool_())])
+SPAN_DDL = "mhash long, k1 long, k2 long, start int, cnt tinyint, tie boolean"
+_PLACE = ("k1", "k2", "start")
 
 
 def _span_writer(width: int):
@@ -117,10 +118,10 @@ def _span_writer(width: int):
                     at.append(np.full(len(got[0]), i))
             if parts:
                 at = np.concatenate(at)
-                key, content, first, lens, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
+                key, first, lens, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(k1[at].astype(np.int64)), pa.array(k2[at].astype(np.int64)),
+                        pa.array(key.view(np.int64)), pa.array(k1[at].astype(np.int64)), pa.array(k2[at].astype(np.int64)),
                         pa.array(first.astype(np.int32)), pa.array(lens.astype(np.int8)), pa.array(inner),
                     ],
                     schema=_SPAN,
@@ -130,95 +131,218 @@ def _span_writer(width: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with the two halves of the text's digest as content address; equal texts share it."""
+    """Rows with the two halves of the text's digest as content address; equal texts share it, nulls too."""
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), *also)
     digest = F.md5("text")
     half = lambda a: F.coalesce(F.conv(F.substring(digest, a, 16), 16, -10).cast("long"), F.lit(0))
     return raw.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), "text", *also)
 
 
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """Each text once: k1, k2, copies and the other columns of one of its rows; bucketed by its address.
+
+    Copies are put together before the shuffle, so that a task sends a text once, however many rows have it."""
+    others = [c for c in keyed.columns if c not in ("k1", "k2")]
+    one = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in others])
+    return materialise_bucketed(one, "texts", int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2")
+
+
 @dataclass
 class SubstringIndex:
-    """Runs of spans in the shared folder, oldest first; each is immutable, bucketed and sorted by its key.
-    There are as many buckets as shuffle partitions, unless set.
+    """Runs of spans in a shared folder, each immutable, bucketed and sorted by its key, and what batches matched.
 
-    `add` probes a batch against all runs and itself and appends its run; when `fanout` runs of a level
-    exist they are compacted into one run of the next level.
+    The folder's last manifest names the runs and the matches, so that another session goes on where one ended; files
+    that it does not name belong to a step that did not end.  There are as many buckets as shuffle partitions, unless set;
+    width, buckets and fanout of an existing index are those it was made with.
     """
 
     spark: SparkSession
+    path: str
     width: int = 35
     buckets: int | None = None
     fanout: int = 4
-    runs: list[tuple[int, DataFrame]] = field(default_factory=list)
+    #: (level, folder) of each run, oldest first, and the folders with the matches of each batch
+    runs: list[tuple[int, str]] = field(default_factory=list)
+    adds: list[str] = field(default_factory=list)
+    #: the session's names of the runs' tables
+    _tables: dict[str, str] = field(default_factory=dict)
+    _version: int = 0
 
     def __post_init__(self) -> None:
-        if self.buckets is None:  # all runs must agree
+        if self.buckets is None:
             self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+        known = sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if known:
+            said = json.loads(self.spark.read.text(f"{self.path}/{known[-1]}", wholetext=True).first()[0])
+            self._version = int(known[-1][9:-5])
+            self.width, self.buckets, self.fanout, self.adds = said["width"], said["buckets"], said["fanout"], said["adds"]
+            self.runs = [(level, name) for level, name in said["runs"]]
+
+    def _commit(self) -> None:
+        """Write the next manifest; it counts once it has its name."""
+        self._version += 1
+        said = json.dumps({"width": self.width, "buckets": self.buckets, "fanout": self.fanout, "runs": self.runs, "adds": self.adds})
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        draft, final = make(f"{self.path}/.draft-{uuid.uuid4().hex}"), make(f"{self.path}/manifest-{self._version:08d}.json")
+        files = draft.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = files.create(draft, False)
+        out.write(said.encode())
+        out.close()
+        if not files.rename(draft, final):
+            raise RuntimeError(f"another writer made {final.getName()}")
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = open_bucketed(self.spark, f"{self.path}/{name}", "spans", SPAN_DDL, self.buckets, "mhash")
+        return self.spark.table(self._tables[name])
+
+    def _write(self, spans: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex[:12]}"
+        self._tables[name] = write_bucketed(spans, f"{self.path}/{name}", "spans", self.buckets, "mhash")
+        return name
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Take in a batch of different texts (k1, k2, text) and return the spans that it matched.
+
+        The batch's run is merge-joined with each run before it by their common bucketing: no run is shuffled.  The
+        matched spans are those of the batch whose key it or a run before has elsewhere, or that may hold a window
+        twice, and those of the runs whose key the batch has.  A text that was added before is the same place.
+        """
+        name = self._write(batch.select("k1", "k2", "text").mapInArrow(_span_writer(self.width), SPAN_DDL).repartition(self.buckets, "mhash"))
+        run, before = self.table(name), [self.table(n) for _, n in self.runs]
+        keys = run.groupBy("mhash").agg(F.count("*").alias("n"), F.max("tie").alias("t"))
+        hits = keys
+        for other in before:
+            has = other.select(F.col("mhash").alias("o")).distinct().withColumn("met", F.lit(True))
+            hits = hits.join(has, hits["mhash"] == has["o"], "left").select("mhash", "n", (F.col("t") | F.coalesce("met", F.lit(False))).alias("t"))
+        parts = [run.join(hits.where("n > 1 or t").select("mhash"), "mhash", "left_semi")]
+        parts += [other.join(keys.select("mhash"), "mhash", "left_semi") for other in before]
+        found = f"matches-{uuid.uuid4().hex[:12]}"
+        reduce(DataFrame.unionByName, parts).write.option("compression", "zstd").parquet(f"{self.path}/{found}")
+        self.runs.append((0, name))
+        self.adds.append(found)
+        self._commit()
+        self.compact()
+        return self._matches([found])
 
-    def _write(self, spans: DataFrame, level: int) -> None:
-        dealt = spans.repartition(self.buckets, "mhash")
-        self.runs.append((level, materialise_bucketed(dealt, "spans", self.buckets, "mhash")))
+    def _matches(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(SPAN_DDL).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def append(self, keyed: DataFrame) -> DataFrame:
-        """Write the run of a batch given as (doc_id, k1, k2, text); compaction follows where it is due."""
-        spans = keyed.select("k1", "k2", "text").mapInArrow(_span_writer(self.width), SPAN_DDL)
-        self._write(spans, 0)
-        run = self.runs[-1][1]
-        self.compact()
-        return run
+    def matches(self) -> DataFrame:
+        """The spans that any batch matched, once each."""
+        if not self.adds:
+            return self.spark.createDataFrame([], SPAN_DDL)
+        return self._matches(self.adds).distinct()
 
     def compact(self) -> None:
+        """Merge the runs of each level that has `fanout` of them, bucket by bucket and without a shuffle."""
         level = 0
         while any(n >= level for n, _ in self.runs):
-            due = [r for r in self.runs if r[0] == level]
+            due = [name for n, name in self.runs if n == level]
             if len(due) >= self.fanout:
+                # rows, unlike column batches, are united bucket by bucket
+                parts = [self.table(name).sortWithinPartitions("mhash") for name in due]
+                with setting(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+                    merged = self._write(reduce(DataFrame.unionByName, parts))
+                at = min(i for i, (n, _) in enumerate(self.runs) if n == level)
                 self.runs = [r for r in self.runs if r[0] != level]
-                self._write(reduce(DataFrame.unionByName, (r for _, r in due)), level + 1)
+                self.runs.insert(min(at, len(self.runs)), (level + 1, merged))
+                self._commit()
+                for name in due:
+                    drop_table(self.spark, self._tables.pop(name))
+                    delete(self.spark, f"{self.path}/{name}")
             level += 1
 
-    def shared(self) -> DataFrame:
-        """The spans of all runs whose key occurs more than once, or that hold a window twice.
+    def close(self) -> None:
+        """Forget the session's names of the runs; their files stay."""
+        while self._tables:
+            drop_table(self.spark, self._tables.popitem()[1])
+
+
+def _digests(words: list[bytes], starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """16 bytes for each range of words: a digest of all of them, one space apart."""
+    line = b" ".join(words)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    return b"".join([blake2b(line[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[starts + sizes] - 1).tolist(), strict=True)])
 
-        Each run is merge-joined with every other by their common bucketing: nothing is shuffled.
-        """
-        counts = [run.groupBy("mhash").agg(F.count("*").alias("n"), F.max("tie").alias("t")) for _, run in self.runs]
-        parts = []
-        for r, (_, run) in enumerate(self.runs):
-            keys = counts[r]
-            for s in range(len(self.runs)):
-                if s != r:
-                    other = counts[s].select(F.col("mhash").alias("o"), (F.col("n") > 0).alias("met"))
-                    keys = keys.join(other, keys["mhash"] == other["o"], "left").select(
-                        "mhash", "n", (F.col("t") | F.coalesce("met", F.lit(False))).alias("t")
-                    )
-            parts.append(run.join(keys.where("n > 1 or t").select("mhash"), "mhash", "left_semi"))
-        return reduce(DataFrame.unionByName, parts)
-
-
-def _expander(width: int):
-    """(text, spans) to the windows of those spans: (mhash, whash, k1, k2, start, bit, alone)."""
-    schema = pa.schema([("mhash", pa.int64()), ("whash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("bit", pa.int32()), ("alone", pa.bool_())])
+
+def _arrays(spans, *names: str) -> list[np.ndarray]:
+    return [spans.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _emit(parts: list[list[np.ndarray]], schema: pa.Schema, most: int = 50_000):
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []
+    for i in range(0, len(cols[0]) if cols else 0, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _digester(width: int, windows: bool):
+    """(k1, k2, text, spans) to the spans with the digest of their words (d1, d2), or to their windows, bit by bit."""
+    kinds = [("d1", pa.int64()), ("d2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32())]
+    schema = pa.schema([*kinds, ("bit", pa.int8()), ("alone", pa.bool_())] if windows else [("mhash", pa.int64()), *kinds, ("cnt", pa.int8()), ("tie", pa.bool_())])
 
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            done = []
-            for k1, k2, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = hasher.hashes((text or b"").split())
-                prefix, _ = _prefix(words)
-                inverse = _inverse_powers(len(words))
-                for s in spans:
-                    at = np.arange(s["start"], s["start"] + s["cnt"])
-                    h = _range_hash(prefix, inverse, at, at + width)
-                    done += [(s["mhash"], x, k1, k2, s["start"], i, s["n"] == 1) for i, x in enumerate(h.view(np.int64).tolist())]
-            for i in range(0, len(done), 20_000):
-                cols = list(zip(*done[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+            parts, held = [], 0
+            k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                words = (text.as_py() or b"").split()
+                start, cnt, kind = _arrays(spans.values, "start", "cnt", "alone" if windows else "tie")
+                cnt = cnt.astype(np.int64)
+                if windows:
+                    bit = np.arange(int(cnt.sum())) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+                    start, kind = np.repeat(start, cnt), np.repeat(kind, cnt)
+                    raw = _digests(words, start + bit, np.full(len(start), width))
+                else:
+                    raw = _digests(words, start, cnt + width - 1)
+                d = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+                place = [d[:, 0], d[:, 1], np.full(len(d), k1[i]), np.full(len(d), k2[i]), start]
+                parts.append([*place, bit, kind] if windows else [*_arrays(spans.values, "mhash"), *place, cnt, kind])
+                held += len(d)
+                if held >= 50_000:
+                    yield from _emit(parts, schema)
+                    parts, held = [], 0
+            yield from _emit(parts, schema)
 
     return run
 
 
+def _ask(texts: DataFrame, spans: DataFrame, *cols: str) -> DataFrame:
+    """k1, k2, text and the spans asked of it; texts stay in their buckets.  A text has no more spans than words."""
+    asked = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct(*cols)).alias("spans"))
+    return texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("k1", "k2", "text", "spans")
+
+
+def repeated_spans(texts: DataFrame, matched: DataFrame, width: int) -> DataFrame:
+    """k1, k2 and spans: an array of (start, cnt, mask), the windows of a text that occur at another place too, from the spans
+    that the index matched, verified on the words.  A mask has a bit for each such window; -1 stands for all `cnt`."""
+    said = _ask(texts, matched, "mhash", "start", "cnt", "tie").mapInArrow(
+        _digester(width, False), "mhash long, d1 long, d2 long, k1 long, k2 long, start int, cnt tinyint, tie boolean"
+    )
+    said = materialise(said, "spans_said")
+    same = ["mhash", "d1", "d2"]
+    found = materialise(said.groupBy(*same).agg(F.count("*").alias("n"), F.max("tie").alias("tie"), F.min(F.struct(*_PLACE, "cnt")).alias("at")), "spans_found")
+    # spans that repeat in full: all their places
+    whole = said.join(found.where("n > 1").select(*same), same, "left_semi").select(*_PLACE, "cnt").withColumn("mask", F.lit(-1))
+    # keys of several contents: one place of each content is expanded
+    several = found.groupBy("mhash").agg(F.count("*").alias("contents")).where("contents > 1").select("mhash")
+    mixed = found.join(several, "mhash", "left_semi").unionByName(found.where("tie and n = 1").join(several, "mhash", "left_anti"))
+    asked = mixed.select((F.col("n") == 1).alias("alone"), "at.*")
+    win = _ask(texts, asked, "start", "cnt", "alone").mapInArrow(
+        _digester(width, True), "d1 long, d2 long, k1 long, k2 long, start int, bit tinyint, alone boolean"
+    )
+    win = materialise(win, "windows")
+    again = win.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    parts = win.where("alone").join(again, ["d1", "d2"], "left_semi").groupBy(*_PLACE).agg(
+        F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.lit(MOST).cast("tinyint").alias("cnt")
+    )
+    spans = whole.unionByName(parts.select(*_PLACE, "cnt", "mask"))
+    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "cnt", "mask")).alias("spans"))
+
+
 def _remover(width: int, first: str = "doc_id"):
     def run(batches):
         for batch in batches:
@@ -249,63 +373,58 @@ def _remover(width: int, first: str = "doc_id"):
     return run
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 2, carry: bool = False) -> DataFrame:
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
+
+
+def substring_dedup(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 3, fanout: int = 2, carry: bool = False
+) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept_text (UTF-8 bytes of the kept words, joined by one space).
 
-    The rows arrive in `batches` batches, by a hash of their text; each becomes a run of the index
-    and is matched with the runs before it and itself.  A word goes if a window over it starts
-    anywhere else too, on either side of a match and within one text.  A null or empty text has no words; a
+    The different texts arrive in `batches` batches, by a hash; each becomes a run of the index and is matched with the
+    runs before it and itself, and `fanout` runs of a level are compacted into one.  A word goes if a window over
+    it starts anywhere else too, on either side of a match and within one text.  A null or empty text has no words; a
     text of fewer than `width` words loses none; repeated rows and equal texts repeat each other's
-    windows.  Only the id and text columns are read, unless `carry` asks for whole rows in a column `row`.
+    windows.  Only the id and text columns are read, so that others may have any name, unless `carry` asks for whole rows
+    in a column `row`: rows whose text has copies and is not shorter than a window, of which nothing is left, are then left
+    out.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
-    index = SubstringIndex(spark, width)
+    spark, first = docs.sparkSession, "row" if carry else "doc_id"
+    also = docs.select(F.col(id_col), F.col(text_col), whole_rows(docs).alias("row")) if carry else docs
+    keyed = _keyed(also, id_col, text_col, ("row",) if carry else ())
+    texts = distinct_texts(keyed)
+    index = SubstringIndex(spark, scratch_path(spark, "substring-index"), width, fanout=fanout)
     for b in range(batches):
-        index.append(keyed.where(F.pmod("k2", F.lit(batches)) == b))
-    shared = materialise(index.shared(), "spans_shared")
-    found = shared.groupBy("mhash", "shash").agg(
-        F.count("*").alias("n"), F.max("tie").alias("tie"), F.min(F.struct("k1", "k2", "start", "cnt")).alias("at")
-    )
-    found = materialise(found, "spans_found")
-    # spans that repeat in full: all their places
-    full = found.where("n > 1").select("mhash", "shash")
-    whole = shared.join(full, ["mhash", "shash"], "left_semi").select("k1", "k2", "start", "cnt").distinct().withColumn("mask", F.lit(-1))
-    # keys of several contents: one place of each content is expanded
-    several = found.groupBy("mhash").agg(F.count("*").alias("contents")).where("contents > 1").select("mhash")
-    mixed = found.join(several, "mhash", "left_semi").unionByName(found.where("tie and n = 1").join(several, "mhash", "left_anti"))
-    asked = mixed.select("mhash", "n", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("mhash", "start", "cnt", "n")).alias("spans"))
-    texts = keyed.join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-    win = texts.select("k1", "k2", "text", "spans").mapInArrow(
-        _expander(width), "mhash long, whash long, k1 long, k2 long, start int, bit int, alone boolean"
-    )
-    win = materialise(win, "windows")
-    again = win.groupBy("mhash", "whash").agg(F.count("*").alias("n")).where("n > 1").select("mhash", "whash")
-    parts = win.where("alone").join(again, ["mhash", "whash"], "left_semi").groupBy("k1", "k2", "start").agg(
-        F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.lit(MOST).cast("tinyint").alias("cnt")
-    )
-    spans = whole.unionByName(parts.select("k1", "k2", "start", "cnt", "mask"))
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "cnt", "mask")).alias("spans"))
-    if carry:
-        source, first = _keyed(docs.select(F.col(id_col), F.col(text_col), whole_rows(docs).alias("row")), id_col, text_col, ("row",)), "row"
-    else:
-        source, first = keyed, "doc_id"
-    schema = StructType([source.schema[first]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "binary")
-    return source.join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(_remover(width, first), schema)
+        index.add(texts.where(F.pmod("k2", F.lit(batches)) == b))
+    spans = repeated_spans(texts, materialise(index.matches(), "spans_matched"), width)
+    schema = StructType([texts.schema[first]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "binary")
+    alone = texts.where("copies = 1").join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(_remover(width, first), schema)
+    # a text with copies repeats in full: its rows need no text but where it is shorter than a window
+    short = F.col("n_words") < width
+    copied = texts.where("copies > 1").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "text", _n_words(F.col("text")).alias("n_words"))
+    words = F.array_join(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD_PATTERN), F.lit(0)), " ")
+    copied = copied.select("c1", "c2", "n_words", F.when(short, F.lit(0).cast("long")).otherwise(F.col("n_words")).alias("n_removed"), F.when(short, F.coalesce(words, F.lit(""))).otherwise("").cast("binary").alias("kept_text"))
+    rows = keyed.select("k1", "k2", first)
+    if carry:  # whole rows travel for the short ones alone; of the others nothing is left
+        rows, copied = keyed.where(_n_words(F.col("text")) < width).select("k1", "k2", first), copied.where("n_removed = 0")
+    again = rows.join(copied, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(first, "n_words", "n_removed", "kept_text")
+    return alone.unionByName(again)
 
 
 def substring_dedup_stage(docs: DataFrame, width: int = 35) -> DataFrame:
     """Documents without the repeated passages, columns kept: a text that loses words becomes its kept words, joined by
-    one space, with n_chars to match; texts that lose nothing stay as they are, and those that lose all of
-    their words go."""
+    one space, with n_chars to match; texts that lose nothing stay as they are, null and empty ones too, and those that
+    lose all of their words go.  Extra columns may have any name; an empty table gives no rows."""
     names = docs.columns
     out = substring_dedup(docs, width=width, carry=True)
     out = out.where("n_words = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text").cast("string")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(changed, F.length(F.col("kept_text").cast("string"))).otherwise(F.col("row.n_chars")).cast("long")}
-    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def substring_digest(df: DataFrame) -> DataFrame:
+    """The digest columns of substring_dedup's rows; one for each of them."""
     return df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -120,23 +120,57 @@ def test_substring_dedup(odd_docs, batches):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(expected)
 
 
-def test_compaction(odd_docs, spark):
-    index = substring_dedup.SubstringIndex(spark, 35, buckets=2, fanout=2)
-    keyed = substring_dedup._keyed(odd_docs, "doc_id", "text")
+SPAN = ("mhash", "k1", "k2", "start", "cnt")
+
+
+def texts_of(docs):
+    return substring_dedup._keyed(docs, "doc_id", "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
+def test_index_compacts_and_reopens(odd_docs, spark, tmp_path):
+    """Four batches, each in another object of the same folder: the runs merge, and the matches are those of one batch."""
+    texts = texts_of(odd_docs)
+    seen = []
     for b in range(4):
-        index.append(keyed.where(f"pmod(k2, 4) = {b}"))
-    assert [level for level, _ in index.runs] == [2]
-    whole = substring_dedup.SubstringIndex(spark, 35, buckets=2)
-    whole.append(keyed)
-    cols = ("mhash", "shash", "k1", "k2", "start", "cnt")
-    assert rows_of(index.shared(), *cols) == rows_of(whole.shared(), *cols) != []
+        index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 35, buckets=2, fanout=2)
+        index.add(texts.where(f"pmod(k2, 4) = {b}"))
+        seen.append([level for level, _ in index.runs])
+        index.close()
+    assert seen == [[0], [1], [1, 0], [2]]
+    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 99, buckets=7)
+    assert (index.width, index.buckets, index.fanout) == (35, 2, 2) and len(index.adds) == 4
+    whole = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/one", 35, buckets=2)
+    whole.add(texts)
+    assert rows_of(index.matches(), *SPAN) == rows_of(whole.matches(), *SPAN) != []
+    assert rows_of(index.table(index.runs[0][1]), *SPAN) == rows_of(whole.table(whole.runs[0][1]), *SPAN)
+    # a later batch meets the merged run, and only its keys are matched there
+    more = spark.createDataFrame([(1, "new words here " + odd_docs.where("doc_id = 10").first().text)], "doc_id long, text string")
+    got = index.add(texts_of(more))
+    masks = {(r.k1, r.k2): r.spans for r in substring_dedup.repeated_spans(texts.unionByName(texts_of(more)), got.distinct(), 35).collect()}
+    assert (more_key := tuple(texts_of(more).first())[:2]) in masks and len(masks) > 1 and more_key not in {tuple(r)[:2] for r in texts.collect()}
+
+
+def test_compaction_merges_without_a_shuffle(odd_docs, spark, tmp_path):
+    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 35, buckets=2, fanout=2)
+    for b in range(2):
+        index.add(texts_of(odd_docs).where(f"pmod(k2, 2) = {b}"))
+    (level, name), = index.runs
+    assert level == 1 and len(list((tmp_path / "log" / name).glob("part-*.parquet"))) == 2
+    assert [p.name for p in (tmp_path / "log").glob("run-*")] == [name]
+
+
+def test_digests_take_all_words():
+    words = [b"a", b"bc", b"", b"d" * 500, b"e"]
+    raw = substring_dedup._digests(words, np.array([0, 1, 0]), np.array([2, 4, 5]))
+    want = [hashlib.blake2b(b" ".join(words[a : a + n]), digest_size=16).digest() for a, n in ((0, 2), (1, 4), (0, 5))]
+    assert raw == b"".join(want)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=120), st.integers(9, 20))
 def test_spans_cover_each_window_once(letters, width):
     v = np.array(letters, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77)
-    key, content, start, count, _ = substring_dedup.spans_of(v, width)
+    key, start, count, _ = substring_dedup.spans_of(v, width)
     at = [int(s) + i for s, c in zip(start, count, strict=True) for i in range(c)]
     assert at == list(range(max(0, len(letters) - width + 1)))
     same = defaultdict(set)
