@@ -58,12 +58,41 @@ def dimension(text: Column) -> Column:
 def grid_cells(text: Column) -> Column:
     """A grid map, rows apart by pipes and cells by spaces, as an array of (i, j, node); -1 marks no cell."""
     rows = F.transform(
-        F.split(text, r"\|"),
+        F.filter(F.split(text, r"\|"), lambda r: F.trim(r) != ""),
         lambda r, i: F.transform(F.split(F.trim(r), " +"), lambda c, j: F.struct(i.alias("i"), j.alias("j"), c.cast("int").alias("node"))),
     )
     return F.filter(F.flatten(rows), lambda c: c["node"] >= 0)
 
 
+def grid_text(cells: Column, rows: Column, cols: Column) -> Column:
+    """The inverse of grid_cells: an array of (i, j, node) as rows that end with a pipe and cells that end with a space, -1 where there is none."""
+    at = lambda i, j: F.get(F.filter(cells, lambda c: (c["i"] == i) & (c["j"] == j)), F.lit(0))["node"]
+    number = lambda i, j: F.concat(F.coalesce(at(i, j), F.lit(-1)).cast("string"), F.lit(" "))
+    line = lambda i: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), cols - 1), lambda j: number(i, j)), ""), F.lit("|"))
+    return F.array_join(F.transform(F.sequence(F.lit(0), rows - 1), line), "")
+
+
+def grid_descriptor(text: Column) -> Column:
+    """``rows cols nodes missing flag`` as a struct; the flag says whether the short edge is the last column."""
+    parts = F.split(F.trim(text), " +")
+    names = ("rows", "cols", "nodes", "missing")
+    return F.struct(*[parts[i].cast("int").alias(n) for i, n in enumerate(names)], (parts[4] == "1").alias("short_col"))
+
+
+def route_text(key: Column, entries: Column) -> Column:
+    """A line of a routing table: a key and its (task, count) entries in order."""
+    item = lambda e: F.concat(F.lit(" [taskIndex = "), e["task"].cast("string"), F.lit(", count = "), e["count"].cast("string"), F.lit("]   "))
+    return F.concat(F.lit("key = "), key.cast("string"), F.lit(" , "), F.array_join(F.transform(entries, item), ""))
+
+
+def route_fields(line: Column) -> Column:
+    """The inverse of route_text: a struct of key and entries; null for other lines."""
+    find = lambda group: F.regexp_extract_all(line, F.lit(r"\[taskIndex = (\d+), count = (\d+)\]"), F.lit(group))
+    entries = F.transform(F.arrays_zip(find(1).alias("task"), find(2).alias("count")), lambda e: F.struct(e["task"].cast("int").alias("task"), e["count"].cast("long").alias("count")))
+    key = F.regexp_extract(line, r"^\s*key = (-?\d+) ,", 1)
+    return F.when(key != "", F.struct(key.cast("long").alias("key"), entries.alias("entries")))
+
+
 def round2(value: float) -> float:
     """Two decimals of the exact binary value, halves up."""
     return float(Decimal(value).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.grid import Grid
+from ..plans.grid import Grid, Piece
+from .joins import running_sum
 
 
 def grid_table(spark: SparkSession, grid: Grid) -> DataFrame:
@@ -41,6 +42,27 @@ def node_rows(r_cells: DataFrame, s_cells: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("r").alias("n_r"), F.sum("s").alias("n_s"))
 
 
+def with_position(rows: DataFrame, id_col: str) -> DataFrame:
+    """Add position: a row's place, from 0, in the order of a unique integer id."""
+    ids = rows.select(id_col, F.lit(1).alias("n"))
+    return rows.join(running_sum(ids, id_col, ["n"], 1 << 16).select(id_col, F.col("n_before").alias("position")), id_col)
+
+
+def held_rows(rows: DataFrame, pieces: list[Piece], side: str) -> DataFrame:
+    """Rows (with position) at each node that holds them after a change of the grid: node and how are added.
+
+    Pieces, some for each cell, cut the positions into ranges; a row finds its range among their ends."""
+    own = [p for p in pieces if p.side == side]
+    cuts = sorted({p.lo for p in own} | {p.hi for p in own})
+    none = F.array().cast("array<struct<node:int,how:string>>")
+    if not cuts:
+        return rows.select(*rows.columns, F.lit(None).cast("int").alias("node"), F.lit(None).cast("string").alias("how")).where(F.lit(False))
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("position")))
+    there = [[p for p in own if p.lo <= c < p.hi] for c in cuts]
+    holders = F.array(none, *[F.array(*[F.struct(F.lit(p.node).alias("node"), F.lit(p.how).alias("how")) for p in x]) if x else none for x in there])
+    return rows.withColumn("_h", F.explode(F.get(holders, at))).select(*rows.columns, "_h.node", "_h.how")
+
+
 def free_nodes(spark: SparkSession, pool: int, used: DataFrame) -> DataFrame:
     """Nodes of a pool that no cell uses."""
     return spark.range(pool).select(F.col("id").cast("int").alias("node")).join(used.select("node"), "node", "left_anti")

@@ -25,21 +25,24 @@ def band_join(r: DataFrame, s: DataFrame, r_key: str, s_key: str, width: int) ->
     return left.join(right, (left["_bucket"] == right["_bucket"]) & (F.abs(F.col(r_key) - F.col(s_key)) <= width)).drop("_bucket")
 
 
-def running_sum(df: DataFrame, key: str, values: list[str], bucket: int) -> DataFrame:
+def running_sum(df: DataFrame, key: str, values: list[str], bucket: int, levels: int = 2) -> DataFrame:
     """Sums of values over all rows with a smaller key.  Keys are unique.
 
-    Sums inside buckets of `bucket` keys are running; the totals of buckets, few against the rows, are summed in
-    turn, so that no task sees all rows.
+    Sums inside buckets of `bucket` keys are running; the totals of buckets are summed in the same way, `levels` times,
+    so that one task sees no more than a row for each bucket ** levels of the range of keys.
     """
     df = df.withColumn("_b", F.floor(F.col(key) / bucket))
     total = df.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_t_{v}") for v in values])
+    if levels > 1:
+        base = running_sum(total.withColumnRenamed("_b", "_k"), "_k", [f"_t_{v}" for v in values], bucket, levels - 1)
+        base = base.select(F.col("_k").alias("_b"), *[F.col(f"_t_{v}_before").alias(f"_t_{v}") for v in values])
+    else:
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        base = total.select("_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_t_{v}") for v in values])
     inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(base, "_b").select(
+    return df.join(base, "_b").select(
         *[c for c in df.columns if c != "_b"], *[(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_t_{v}")).alias(f"{v}_before") for v in values]
     )
-    return out
 
 
 def inequality_counts(r: DataFrame, s: DataFrame, key: str, bucket: int = 4096) -> DataFrame:

@@ -42,6 +42,18 @@ def quick_bounds(load: DataFrame, nodes: int) -> DataFrame:
     )
 
 
+def limits(load: DataFrame, nodes: int, rule: str = "") -> DataFrame:
+    """One row with target, to which a planner brings nodes, and trigger, above which they are overloaded.
+
+    ``quick`` takes the whole mean, ``band`` a tenth above it as both, the others the whole mean plus one."""
+    if rule in ("quick", "band"):
+        one = quick_bounds(load, nodes)
+        if rule == "quick":
+            return one.select(F.col("bl").alias("target"), F.col("ul").cast("double").alias("trigger"))
+        return one.select(F.floor("band_bl").cast("long").alias("target"), F.col("band_bl").alias("trigger"))
+    return bounds(load, nodes).select(F.col("bl").alias("target"), F.col("ul").cast("double").alias("trigger"))
+
+
 def overloaded(load: DataFrame, nodes: int) -> DataFrame:
     """Nodes above ul with what they hold above bl."""
     return load.crossJoin(bounds(load, nodes)).where("load > ul").select("task", "load", (F.col("load") - F.col("bl")).alias("excess"))

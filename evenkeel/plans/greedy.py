@@ -1,4 +1,4 @@
-"""Planners that decide step by step, over a collected histogram of nodes and keys (control state, not rows).
+"""Planners that decide step by step, over a collected histogram of overloaded nodes and their keys (control state, not rows).
 
 Histograms are ``{task: {key: count}}``; a plan is a list of (from_task, to_task, key, count).  Ids break ties in
 ascending order, and rows are conserved: what finds no room stays where it is.
@@ -10,17 +10,28 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.stats import node_load
 
 Histogram = dict[int, dict[int, int]]
 Plan = list[tuple[int, int, int, int]]
 PLAN_DDL = "from_task int, to_task int, key long, count long"
 
 
-def collect_histogram(hist: DataFrame, nodes: int) -> Histogram:
-    out: Histogram = {t: {} for t in range(nodes)}
-    for r in hist.select("task", "key", "count").orderBy("task", "key").toLocalIterator():
-        out.setdefault(r["task"], {})[r["key"]] = r["count"]
-    return out
+def collect_histogram(hist: DataFrame, nodes: int, routed: DataFrame | None = None) -> tuple[Histogram, dict[int, int]]:
+    """What the planners look at: keys of overloaded nodes and, of the others, those of `routed` (key); and the load of every node.
+
+    No other key can move, so that what is collected is bounded by the keys of overloaded nodes and the routing table."""
+    load = {r["task"]: r["load"] for r in node_load(hist, nodes).collect()}
+    _, ul = _limits(load)
+    part = hist.where(F.col("task").isin([t for t, n in load.items() if n > ul]))
+    if routed is not None:
+        part = part.unionByName(hist.join(routed.select("key").distinct(), "key", "left_semi").select(*hist.columns)).distinct()
+    out: Histogram = {t: {} for t in load}
+    for r in part.select("task", "key", "count").toLocalIterator():
+        out[r["task"]][r["key"]] = r["count"]
+    return out, load
 
 
 def as_table(spark: SparkSession, plan: Plan) -> DataFrame:
@@ -82,9 +93,9 @@ def _trace(sums: int, items: list[tuple[int, int]], total: int) -> tuple[list[in
 
 
 class _State:
-    def __init__(self, hist: Histogram):
-        self.hist = {t: dict(k) for t, k in sorted(hist.items())}
-        self.load = {t: sum(k.values()) for t, k in self.hist.items()}
+    def __init__(self, hist: Histogram, load: dict[int, int] | None = None):
+        self.hist = {t: dict(sorted(k.items())) for t, k in sorted(hist.items())}
+        self.load = {t: sum(k.values()) for t, k in self.hist.items()} if load is None else dict(sorted(load.items()))
         self.moves: dict[tuple[int, int, int], int] = defaultdict(int)
 
     def move(self, a: int, b: int, key: int, n: int) -> None:
@@ -102,12 +113,12 @@ class _State:
         return [(a, b, k, n) for (a, b, k), n in sorted(self.moves.items()) if n > 0]
 
 
-def _limits(hist: Histogram, theta: float = 0.01) -> tuple[int, int]:
-    mean = sum(sum(k.values()) for k in hist.values()) // len(hist) + 1
+def _limits(load: dict[int, int], theta: float = 0.01) -> tuple[int, int]:
+    mean = sum(load.values()) // len(load) + 1
     return mean, int(mean * (1 + theta) + 1)
 
 
-def split_last(hist: Histogram, routed: Iterable[int] = (), tolerance: int = 20, fit: int = 10) -> Plan:
+def split_last(hist: Histogram, routed: Iterable[int] = (), load: dict[int, int] | None = None, tolerance: int = 20, fit: int = 10) -> Plan:
     """Move whole keys where that is enough and split keys only for the rest.
 
     For each overloaded node: keys that a routing table already scatters go back to their hash owner or another
@@ -115,8 +126,8 @@ def split_last(hist: Histogram, routed: Iterable[int] = (), tolerance: int = 20,
     `tolerance`, is placed on the fullest nodes whose gap it meets within `fit`; what is still
     above the bound is split over the nodes in order.
     """
-    s = _State(hist)
-    bl, ul = _limits(hist)
+    s = _State(hist, load)
+    bl, ul = _limits(s.load)
     scattered = set(routed)
     over = [t for t in s.load if s.load[t] > ul]
     for a in over:
@@ -157,11 +168,11 @@ def _split(s: _State, over: Iterable[int], bl: int) -> None:
                     s.move(a, b, key, room)
 
 
-def first_fit(hist: Histogram, routed: Iterable[int] = ()) -> Plan:
+def first_fit(hist: Histogram, routed: Iterable[int] = (), load: dict[int, int] | None = None) -> Plan:
     """Like split_last without subset search: whole keys, routed ones first, to the first node with room; then splits.
     A remainder under a thousandth of the bound stays."""
-    s = _State(hist)
-    bl, ul = _limits(hist)
+    s = _State(hist, load)
+    bl, ul = _limits(s.load)
     scattered = set(routed)
     over = [t for t in s.load if s.load[t] > ul]
     for a in over:
@@ -175,44 +186,7 @@ def first_fit(hist: Histogram, routed: Iterable[int] = ()) -> Plan:
     return s.plan()
 
 
-def boundary_split(hist: Histogram, routed: Iterable[int] = ()) -> Plan:
-    """Routed keys first, then the others, in order of their ids; a key is split where a node reaches the bound."""
-    s = _State(hist)
-    bl, ul = _limits(hist)
-    scattered = set(routed)
-    for a in [t for t in s.load if s.load[t] > ul]:
-        for key in sorted(s.hist[a], key=lambda k: (k not in scattered, k)):
-            for b in sorted(s.load):
-                if b != a and s.load[b] < bl and s.load[a] > bl and key in s.hist[a]:
-                    s.move(a, b, key, min(s.hist[a][key], s.load[a] - bl, bl - s.load[b]))
-    return s.plan()
-
-
-def fill_to(hist: Histogram, bound: float, trigger: float) -> Plan:
-    """Nodes above the trigger come down to the bound in order of their keys; others are filled up to it in order."""
-    s = _State(hist)
-    low = int(bound)
-    for a in [t for t in s.load if s.load[t] > trigger]:
-        for key in sorted(s.hist[a]):
-            for b in sorted(s.load):
-                if b != a and s.load[b] < low and s.load[a] > low and key in s.hist[a]:
-                    s.move(a, b, key, min(s.hist[a][key], s.load[a] - low, low - s.load[b]))
-    return s.plan()
-
-
-def quick(hist: Histogram, theta: float = 0.01) -> Plan:
-    """Down and up to the whole mean, without the one that leaves room for all."""
-    mean = sum(sum(k.values()) for k in hist.values()) // len(hist)
-    return fill_to(hist, mean, int(mean * (1 + theta)))
-
-
-def band(hist: Histogram, theta: float = 0.1) -> Plan:
-    """The band join's bound, a tenth above the mean, is trigger and target."""
-    bound = sum(sum(k.values()) for k in hist.values()) / len(hist) * (1 + theta)
-    return fill_to(hist, bound, bound)
-
-
-PLANNERS = {"last": split_last, "fit": first_fit, "boundary": boundary_split, "quick": quick, "band": band}
+PLANNERS = {"last": split_last, "fit": first_fit}
 
 
 def after(hist: Histogram, plan: Plan) -> Histogram:

@@ -32,4 +32,4 @@ def length(x: Intervals) -> float:
 
 def rescale(x: Intervals, begin: float, end: float) -> Intervals:
     """From fractions of the whole to fractions of what a node holds."""
-    return [((a - begin) / (end - begin), (b - begin) / (end - begin)) for a, b in x]
+    return [((a - begin) / (end - begin), (b - begin) / (end - begin)) for a, b in intersect(x, [(begin, end)])]

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import fields, grid_cells, key_range, owner, same_text, side, to_text
+from .functions.columns import fields, grid_cells, grid_descriptor, grid_text, key_range, owner, same_text, side, to_text
 from .functions.hashing import Ring, ring_lookup
 from .operators import grid as gridop
 from .operators import joins, migrate, routing, stats
 from .plans import greedy, prefix_sum
-from .plans.grid import Grid, change_grid, merge_sends, overlaps, size_grid
+from .plans.grid import TARGET, TRIGGER, Grid, change_grid, grid_for, merge_sends, needs_resize, node_share, overlaps, pieces, resized, size_grid
 from .plans.intervals import length
-from .sources.files import last_by_key, zipf_counts
-from .streaming.joins import drain, file_stream, stream_band_join, stream_equi_join, stream_load
+from .session import scratch, written
+from .sources import control
+from .sources.files import last_by_key, write_metrics, zipf_counts
+from .streaming.joins import drain, file_stream, rebalance_each_batch, stream_band_join, stream_equi_join, stream_load
 
 NODES, BAND = 5, 10
 SIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 #: A short last column; grid rows and columns are chosen by functions of the row.
 GRID = Grid(4, 3, "col", 2)
+#: Rows that a node of the grids over tables holds.
+NODE_ROWS = 4096
 _SKEW = "CASE WHEN l_orderkey % 10 < 5 THEN 0 WHEN l_orderkey % 10 = 5 THEN 7 ELSE l_partkey % 50 END"
 
 
@@ -127,36 +133,58 @@ def utility_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # planners
 
 
+def _control(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The histogram and a plan for it, written once: control state that all later steps read."""
+    hist = written(_hist(spark, sf_dir), "histogram")
+    return hist, written(prefix_sum.plan_moves(hist, NODES, "first"), "plan")
+
+
+def _second(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The histogram after that plan and more rows at their hash owners, and the keys that the first plan routed."""
+    hist, plan = _control(spark, sf_dir)
+    more = stats.histogram(skewed(spark, sf_dir).where("l_linenumber <= 2"))
+    both = prefix_sum.histogram_after(hist, plan).unionByName(more).groupBy("task", "key").agg(F.sum("count").alias("count"))
+    return written(both, "histogram"), written(plan.select("key").distinct(), "routed")
+
+
+def _planned(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    return prefix_sum.plan_moves(written(_hist(spark, sf_dir), "histogram"), NODES, rule)
+
+
 def plan_split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_sum.plan_moves(_hist(spark, sf_dir), NODES, "random")
+    return _planned(spark, sf_dir, "random")
 
 
 def plan_split_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_sum.plan_moves(_hist(spark, sf_dir), NODES, "first")
+    return _planned(spark, sf_dir, "first")
 
 
-def _greedy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return greedy.as_table(spark, greedy.PLANNERS[name](greedy.collect_histogram(_hist(spark, sf_dir), NODES)))
+def plan_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir, "quick")
 
 
-def plan_split_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(spark, sf_dir, "last")
+def plan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir, "band")
 
 
-def plan_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(spark, sf_dir, "fit")
+def plan_boundary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second rebalance, which unloads the keys that the first one routed before the others."""
+    hist, routed = _second(spark, sf_dir)
+    return prefix_sum.plan_moves(hist, NODES, "boundary", routed)
 
 
-def plan_boundary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(spark, sf_dir, "boundary")
+def _greedy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    hist, routed = _second(spark, sf_dir)
+    part, load = greedy.collect_histogram(hist, NODES, routed)
+    return greedy.as_table(spark, greedy.PLANNERS[name](part, [r["key"] for r in routed.collect()], load))  # keys of a routing table
 
 
-def plan_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(spark, sf_dir, "quick")
+def plan_split_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "last")
 
 
-def plan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(spark, sf_dir, "band")
+def plan_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _greedy(spark, sf_dir, "fit")
 
 
 def end_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,17 +192,76 @@ def end_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_after_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.node_load(prefix_sum.histogram_after(_hist(spark, sf_dir), plan_split_first(spark, sf_dir)), NODES)
+    return stats.node_load(prefix_sum.histogram_after(*_control(spark, sf_dir)), NODES)
 
 
 def route_table_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_sum.route_table(_hist(spark, sf_dir), plan_split_first(spark, sf_dir))
+    return written(prefix_sum.route_table(*_control(spark, sf_dir)), "routes")
 
 
 def route_table_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.route_table_size(route_table_after(spark, sf_dir))
 
 
+def _route_log(spark: SparkSession, sf_dir: str) -> control.RouteLog:
+    """Two epochs: the table after the first plan, and after a second one, in which untouched routes are carried over."""
+    hist, plan = _control(spark, sf_dir)
+    log = control.RouteLog(spark, scratch(spark, "route-log"))
+    log.publish(1, prefix_sum.route_table(hist, plan))
+    hist, routed = _second(spark, sf_dir)
+    plan = written(prefix_sum.plan_moves(hist, NODES, "boundary", routed), "plan")
+    kept = plan.select("key").union(routed).distinct()
+    log.publish(2, prefix_sum.histogram_after(hist, plan).join(kept, "key", "left_semi"))
+    return log
+
+
+def routes_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _route_log(spark, sf_dir).history()
+
+
+def dest_pick_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row follows the version of the table that it carries."""
+    rows = skewed(spark, sf_dir).withColumn("epoch", F.when(F.col("l_linenumber") <= 2, 2).otherwise(1))
+    picked = routing.pick(rows, _route_log(spark, sf_dir).history(), _seq(), NODES, ("epoch", "key"))
+    return picked.groupBy("epoch", "key", "task", "routed").agg(F.count("*").alias("n_rows"))
+
+
+def route_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.route_lines(route_table_after(spark, sf_dir))
+
+
+def route_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routing table, written as text and read back."""
+    path = scratch(spark, "route-text")
+    control.write_routes(route_table_after(spark, sf_dir), path)
+    return control.read_routes(spark, path)
+
+
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = _hist(spark, sf_dir)
+    return control.load_lines(hist, stats.node_load(hist, NODES))
+
+
+def control_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of one rebalance, appended one by one and read back; times are written too but not returned."""
+    began = time.perf_counter()
+    hist, plan = _control(spark, sf_dir)
+    routes = written(prefix_sum.route_table(hist, plan), "routes")
+    took = (time.perf_counter() - began) * 1000
+    n_r, n_s = _counts(spark, sf_dir)
+    path = scratch(spark, "metrics")
+    found = {
+        "broadcast": routing.route_equi(skewed(spark, sf_dir), routes, _seq(), NODES).count(),
+        "migrateCount": stats.migrate_volume(stats.node_load(hist, NODES), NODES).first()[0],
+        "routeTableSize": stats.route_table_size(routes).first()[0],
+        "migVolume": plan.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0],
+        "statistics": node_share(n_r, n_s, GRID), "expinfo.r": n_r, "expinfo.s": n_s, "expinfo.nodes": GRID.nodes, "migrateTime": took,
+    }
+    for name, value in found.items():
+        write_metrics(spark.createDataFrame([(1, name, float(value))], "epoch int, name string, value double"), path)
+    return control.read_metrics(spark, path).where("name <> 'migrateTime'")
+
+
 # routing
 
 
@@ -197,16 +284,10 @@ def broadcast_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equi_join_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each skewed key over all nodes: every pair meets at one of them."""
     rows = skewed(spark, sf_dir)
-
-    def cut(s: str, p: str) -> DataFrame:
-        seq = F.col("l_partkey") + F.col("l_suppkey")
-        return rows.where(F.col("side") == s).select(
-            "key", "l_orderkey", seq.alias("seq"), F.col("l_partkey").alias(f"{p}_partkey"), F.col("l_linenumber").alias(f"{p}_linenumber")
-        )
-
-    met = routing.routed_equi_join(cut("R", "r"), cut("S", "s"), route_table_after(spark, sf_dir), F.col("seq"), NODES, ["key", "l_orderkey"])
-    return met.select("key", "l_orderkey", "r_partkey", "r_linenumber", "s_partkey", "s_linenumber")
+    r, s = rows.where("side = 'R'"), rows.where("side = 'S'")
+    return routing.routed_pair_counts(r, s, route_table_after(spark, sf_dir), _seq(), NODES)
 
 
 def band_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +295,24 @@ def band_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.band_fanout(rows, "l_orderkey", BAND, NODES).groupBy("task").agg(F.count("*").alias("n_probes"))
 
 
+def band_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the band router: every row is stored, those that pass their side's filter probe; keys under 100 are split."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("side", side(*SIDE)).withColumn("key", F.col("l_orderkey"))
+    keys = rows.where("key < 100").select("key").distinct()
+    entries = F.explode(F.array(*[F.struct(F.pmod(F.col("key") + d, F.lit(NODES)).cast("int").alias("task"), F.lit(n).cast("long").alias("count")) for d, n in ((0, 3), (1, 2))]))
+    routes = written(keys.withColumn("e", entries).select("key", "e.task", "e.count"), "routes")
+    r_passes = (F.col("side") == "R") & same_text(F.col("l_returnflag"), F.lit("r"))
+    s_passes = (F.col("side") == "S") & (F.col("l_quantity") > 48) & same_text(F.col("l_linestatus"), F.lit("o"))
+    sent = routing.route_band(rows.select("key", "side", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_linestatus"), routes, _seq(), NODES, BAND, r_passes | s_passes)
+    return sent.groupBy("task", "side", "role").agg(F.count("*").alias("n_messages"))
+
+
+def direct_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each node, dealt to it by number: all of them are in one partition."""
+    dealt = routing.by_task(skewed(spark, sf_dir).select("task"), NODES).select("task", F.spark_partition_id().alias("part"))
+    return dealt.groupBy("task").agg(F.count("*").alias("n_rows"), F.count_distinct("part").alias("n_parts"), F.min("part").alias("part"))
+
+
 # migration
 
 
@@ -221,23 +320,40 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def migration_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migrate.quotas(skewed(spark, sf_dir), plan_split_first(spark, sf_dir))
+    _, plan = _control(spark, sf_dir)
+    return migrate.quotas(migrate.side_counts(skewed(spark, sf_dir)), plan)
+
+
+def _moved(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
+    return migrate.migrate(skewed(spark, sf_dir), _control(spark, sf_dir)[1], _ORDER, newest)
 
 
 def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = migrate.migrate(skewed(spark, sf_dir), plan_split_first(spark, sf_dir), _ORDER)
-    return moved.where("task <> from_task").select(*SIDE, "side", "key", "from_task", F.col("task").alias("to_task"))
+    return _moved(spark, sf_dir).where("task <> from_task").select(*SIDE, "side", "key", "from_task", F.col("task").alias("to_task"))
+
+
+def migrated_rows_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(spark, sf_dir, True).where("task <> from_task").select(*SIDE, "side", "key", "from_task", F.col("task").alias("to_task"))
+
+
+def moved_per_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each node received in an epoch."""
+    return _moved(spark, sf_dir).where("task <> from_task").groupBy(F.lit(1).alias("epoch"), "task").agg(F.count("*").alias("n_rows"))
 
 
 def equi_join_after_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R where it now lies meets S at each node that holds its key."""
-    moved = migrate.migrate(skewed(spark, sf_dir), plan_split_first(spark, sf_dir), _ORDER)
-    holders = route_table_after(spark, sf_dir).select("key", F.col("task").alias("at"))
-    r = moved.where("side = 'R'").select("key", "task", "l_orderkey", F.col("l_partkey").alias("r_partkey"), F.col("l_linenumber").alias("r_linenumber"))
-    s = moved.where("side = 'S'").join(F.broadcast(holders), "key", "left").select(  # nodes times split keys
-        "key", F.coalesce("at", "task").alias("task"), "l_orderkey", F.col("l_partkey").alias("s_partkey"), F.col("l_linenumber").alias("s_linenumber")
-    )
-    return r.join(s, ["key", "l_orderkey", "task"]).select("key", "l_orderkey", "r_partkey", "r_linenumber", "s_partkey", "s_linenumber")
+    """Pairs of each skewed key once rows have moved: R where it now lies meets S at each node that holds its key."""
+    hist, plan = _control(spark, sf_dir)
+    moved = migrate.migrate(skewed(spark, sf_dir), plan, _ORDER)
+    return migrate.pairs_after(moved, written(prefix_sum.route_table(hist, plan), "routes"))
+
+
+def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with those that were sent anew and those that came meanwhile folded in."""
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    again = base.where("o_orderkey % 7 = 0").withColumn("o_orderstatus", F.lit("T"))
+    new = base.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("N")).unionByName(base.where("o_orderkey < 10").withColumn("o_orderkey", -F.col("o_orderkey") - 1))
+    return migrate.upsert(base, again, new, "o_orderkey")
 
 
 # grid
@@ -254,12 +370,36 @@ def matrix_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n_r long, n_s long, v long, best string, grid_rows int, grid_cols int, short string, last int, nodes int")
 
 
-def _orders_cells(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey", *cols), GRID, "R", F.col("o_orderkey"))
+def _counts(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    return table(spark, sf_dir, "orders").count(), table(spark, sf_dir, "customer").count()
+
 
+def _sized(spark: SparkSession, sf_dir: str) -> Grid:
+    """The grid for the tables' counts."""
+    return grid_for(*_counts(spark, sf_dir), NODE_ROWS)
 
-def _customer_cells(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return gridop.assign(table(spark, sf_dir, "customer").select("c_custkey", *cols), GRID, "S", F.col("c_custkey"))
+
+def matrix_size_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_r, n_s = _counts(spark, sf_dir)
+    g = size_grid(n_r, n_s, NODE_ROWS)
+    row = (n_r, n_s, NODE_ROWS, g["case"], g["rows"], g["cols"], g["short"], g["last"], g["nodes"])
+    return spark.createDataFrame([row], "n_r long, n_s long, v long, best string, grid_rows int, grid_cols int, short string, last int, nodes int")
+
+
+def matrix_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a node of the present grid holds, whether that is too much, and the grid that would take its place."""
+    n_r, n_s = _counts(spark, sf_dir)
+    new = resized(n_r, n_s, NODE_ROWS)
+    row = (node_share(n_r, n_s, GRID), needs_resize(n_r, n_s, GRID, NODE_ROWS), new.rows, new.cols, new.nodes)
+    return spark.createDataFrame([row], "load double, overloaded boolean, grid_rows int, grid_cols int, nodes int")
+
+
+def _orders_cells(spark: SparkSession, sf_dir: str, *cols: str, grid: Grid = GRID) -> DataFrame:
+    return gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey", *cols), grid, "R", F.col("o_orderkey"))
+
+
+def _customer_cells(spark: SparkSession, sf_dir: str, *cols: str, grid: Grid = GRID) -> DataFrame:
+    return gridop.assign(table(spark, sf_dir, "customer").select("c_custkey", *cols), grid, "S", F.col("c_custkey"))
 
 
 def grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,14 +407,16 @@ def grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_join_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = joins.grid_join(_orders_cells(spark, sf_dir, "o_custkey"), _customer_cells(spark, sf_dir, "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-    return met.select("o_orderkey", "c_custkey", "c_name")
+    grid = _sized(spark, sf_dir)
+    r, s = _orders_cells(spark, sf_dir, "o_custkey", grid=grid), _customer_cells(spark, sf_dir, "c_name", grid=grid)
+    return joins.grid_join(r, s, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
 
 
 def matrix_join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _sized(spark, sf_dir)
     near = (F.abs(F.col("o_custkey") - F.col("c_custkey")) <= 1) & (F.col("o_totalprice") > F.col("c_acctbal"))
-    met = joins.grid_join(_orders_cells(spark, sf_dir, "o_custkey", "o_totalprice"), _customer_cells(spark, sf_dir, "c_acctbal"), near)
-    return met.select("o_orderkey", "o_custkey", "c_custkey")
+    r, s = _orders_cells(spark, sf_dir, "o_custkey", "o_totalprice", grid=grid), _customer_cells(spark, sf_dir, "c_acctbal", grid=grid)
+    return joins.grid_join(r, s, near).select("o_orderkey", "o_custkey", "c_custkey")
 
 
 def matrix_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +437,35 @@ def matrix_mig_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "from_node int, to_node int, side string, fraction double")
 
 
+_CHANGED = Grid(3, 3, "col", 2)
+
+
+def _after_change(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, int]]]:
+    """Orders and customers at the nodes that hold them after a change of the grid, and the nodes' cells."""
+    n_r, n_s = _counts(spark, sf_dir)
+    plan = change_grid(_OLD, _CHANGED, n_r, n_s)
+    held = pieces(_OLD, plan, n_r, n_s)
+    r = gridop.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    s = gridop.with_position(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return gridop.held_rows(r, held, "R"), gridop.held_rows(s, held, "S"), {n: c for c, n in plan.nodes.items()}
+
+
+def matrix_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each cell of the new grid holds, by sends and discards alone."""
+    r, s, cells = _after_change(spark, sf_dir)
+    n = lambda side, how: F.count_if((F.col("side") == side) & (F.col("how") == "special" if how else F.col("how") != "special"))
+    both = r.select("node", "how", F.lit("R").alias("side")).unionByName(s.select("node", "how", F.lit("S").alias("side")))
+    per = both.groupBy("node").agg(n("R", False).alias("n_r"), n("S", False).alias("n_s"), n("R", True).alias("n_special"))
+    names = spark.createDataFrame([(k, *c) for k, c in cells.items()], "node int, i int, j int")
+    return names.join(per, "node").select("i", "j", "n_r", "n_s", "n_special")
+
+
+def matrix_join_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s, _ = _after_change(spark, sf_dir)
+    met = joins.grid_join(r.drop("how", "position"), s.drop("how", "position"), F.col("o_custkey") == F.col("c_custkey"))
+    return met.select("o_orderkey", "c_custkey", "c_name")
+
+
 def free_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridop.free_nodes(spark, 40, gridop.grid_table(spark, GRID))
 
@@ -304,6 +475,14 @@ def grid_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.explode(grid_cells(F.col("map"))).alias("c")).select("c.i", "c.j", "c.node")
 
 
+def grid_map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of the grid as text, by its cells, and the grid's descriptor."""
+    missing = GRID.rows * GRID.cols - GRID.nodes
+    shape = spark.createDataFrame([(f"{GRID.rows} {GRID.cols} {GRID.nodes} {missing} {int(GRID.short == 'col')}",)], "shape string").select(grid_descriptor(F.col("shape")).alias("d"))
+    cells = gridop.grid_table(spark, GRID).agg(F.collect_list(F.struct("i", "j", "node")).alias("cells"))  # one row, a cell for each node
+    return shape.crossJoin(cells).select(grid_text(F.col("cells"), F.col("d.rows"), F.col("d.cols")).alias("map"), "d.*")
+
+
 # streams
 
 
@@ -332,6 +511,20 @@ def stream_node_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream_load(rows), "stream-load", "complete")
 
 
+def stream_grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of orders to the cells of the grid."""
+    rows = file_stream(spark, sf_dir, "orders").select("o_orderkey")
+    return drain(gridop.assign(rows, GRID, "R", F.col("o_orderkey")).select("o_orderkey", "node", "special"), "stream-grid")
+
+
+def stream_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routing table that a controller has published when the stream has ended."""
+    rows = file_stream(spark, sf_dir, "lineitem").withColumn("key", F.expr(_SKEW)).select(owner(F.col("key"), NODES).alias("task"), "key")
+    log = control.RouteLog(spark, scratch(spark, "route-log"))
+    rebalance_each_batch(rows, NODES, "first", log)
+    return log.at(log.epochs()[-1])
+
+
 # utilities
 
 
@@ -355,10 +548,18 @@ def key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", key_range(F.col("c_custkey"), BAND).alias("k")).select("c_custkey", F.size("k").alias("n_keys"), F.array_min("k").alias("low"), F.array_max("k").alias("high"))
 
 
-def consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = Ring([f"node-{i}" for i in range(NODES)])
+def _ring(spark: SparkSession, sf_dir: str, replicas: int) -> DataFrame:
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
-    return ring_lookup(keys, ring, "key")
+    return ring_lookup(keys, Ring([f"node-{i}" for i in range(NODES)], replicas), "key")
+
+
+def consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ring(spark, sf_dir, 5)
+
+
+def consistent_hash_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring with one point for each server, by the additive hash."""
+    return _ring(spark, sf_dir, 0)
 
 
 QUERIES = {
@@ -375,6 +576,11 @@ QUERIES = {
     "matrix_load": matrix_load, "matrix_cell_overlap": matrix_cell_overlap, "matrix_mig_volume": matrix_mig_volume, "free_nodes": free_nodes, "grid_codec": grid_codec,
     "stream_equi_join": stream_equi, "stream_band_join": stream_band, "stream_node_load": stream_node_load,
     "zipf_counts": zipf, "pipe_roundtrip": pipe_roundtrip, "last_wins_by_key": last_wins_by_key, "key_ranges": key_ranges, "consistent_hash_ring": consistent_hash_ring,
+    "consistent_hash_plain": consistent_hash_plain, "routes_by_epoch": routes_by_epoch, "dest_pick_by_epoch": dest_pick_by_epoch, "route_table_text": route_table_text,
+    "route_table_file": route_table_file, "load_report": load_report, "control_metrics": control_metrics, "band_route": band_route, "direct_grouping": direct_grouping,
+    "migrated_rows_newest": migrated_rows_newest, "moved_per_task": moved_per_task, "merge_by_id": merge_by_id, "matrix_size_tables": matrix_size_tables,
+    "matrix_trigger": matrix_trigger, "matrix_after_change": matrix_after_change, "matrix_join_after_change": matrix_join_after_change, "grid_map_text": grid_map_text,
+    "stream_grid_assign": stream_grid_assign, "stream_rebalance": stream_rebalance,
 }
 
 # SQL
@@ -388,24 +594,39 @@ _HIST = (
 )
 
 
-def _plan(unload: str, fill: str) -> str:
+def _plan(unload: str, fill: str, give: str = "key", target: str = "bl", trigger: str = "ul", n: str = "") -> str:
+    """CTEs of a plan over hist, loads and lim; n tells a second plan's names from the first's."""
     return (
-        f"{_HIST}, don AS (SELECT task, load - bl AS excess FROM loads, lim WHERE load > ul), "
-        f"un AS (SELECT h.task, h.key, h.count, excess, coalesce(sum(h.count) OVER (PARTITION BY h.task ORDER BY {unload} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hist h JOIN don ON don.task = h.task), "
-        "am AS (SELECT task, key, least(count, excess - before) AS amount FROM un WHERE excess > before), "
-        "give AS (SELECT task, key, amount, sum(amount) OVER (ORDER BY task, key ROWS UNBOUNDED PRECEDING) AS hi FROM am), "
-        f"room AS (SELECT task, bl - load AS gap, sum(bl - load) OVER (ORDER BY {fill} ROWS UNBOUNDED PRECEDING) AS hi FROM loads, lim WHERE load < bl), "
-        "plan AS (SELECT g.task AS from_task, r.task AS to_task, g.key, CAST(least(g.hi, r.hi) - greatest(g.hi - g.amount, r.hi - r.gap) AS BIGINT) AS count "
-        "FROM give g JOIN room r ON g.hi - g.amount < r.hi AND r.hi - r.gap < g.hi)"
+        f"don{n} AS (SELECT task, load - {target} AS excess FROM loads{n}, lim{n} WHERE load > {trigger}), "
+        f"un{n} AS (SELECT h.*, excess, coalesce(sum(h.count) OVER (PARTITION BY h.task ORDER BY {unload} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hist{n} h JOIN don{n} d ON d.task = h.task), "
+        f"am{n} AS (SELECT *, least(count, excess - before) AS amount FROM un{n} WHERE excess > before), "
+        f"give{n} AS (SELECT task, key, amount, sum(amount) OVER (ORDER BY task, {give} ROWS UNBOUNDED PRECEDING) AS hi FROM am{n}), "
+        f"room{n} AS (SELECT task, {target} - load AS gap, sum({target} - load) OVER (ORDER BY {fill} ROWS UNBOUNDED PRECEDING) AS hi FROM loads{n}, lim{n} WHERE load < {target}), "
+        f"plan{n} AS (SELECT g.task AS from_task, r.task AS to_task, g.key, CAST(least(g.hi, r.hi) - greatest(g.hi - g.amount, r.hi - r.gap) AS BIGINT) AS count "
+        f"FROM give{n} g JOIN room{n} r ON g.hi - g.amount < r.hi AND r.hi - r.gap < g.hi)"
     )
 
 
-_RANDOM, _FIRST = _plan("h.key", "task"), _plan("h.count DESC, h.key", "load DESC, task")
+_RANDOM, _FIRST = f"{_HIST}, {_plan('h.key', 'task')}", f"{_HIST}, {_plan('h.count DESC, h.key', 'load DESC, task')}"
+_MEAN = f"qlim AS (SELECT CAST(total // {NODES} AS BIGINT) AS qbl, floor((total // {NODES}) * CAST(1.01 AS DOUBLE)) AS qul, total / {NODES} * CAST(1.1 AS DOUBLE) AS band_bl FROM lim)"
+_QUICK = f"{_HIST.replace('lim AS', 'lim0 AS')}, {_MEAN.replace('FROM lim', 'FROM lim0').replace('qlim AS', 'lim AS')}, {_plan('h.key', 'task', target='qbl', trigger='qul')}"
+_BANDED = f"{_HIST.replace('lim AS', 'lim0 AS')}, {_MEAN.replace('FROM lim', 'FROM lim0').replace('qlim AS', 'lim AS')}, {_plan('h.key', 'task', target='CAST(floor(band_bl) AS BIGINT)', trigger='band_bl')}"
 _AFTER = (
     f"{_FIRST}, moved AS (SELECT task, key, count FROM hist UNION ALL SELECT from_task, key, -count FROM plan UNION ALL SELECT to_task, key, count FROM plan), "
     "after AS (SELECT task, key, CAST(sum(count) AS BIGINT) AS count FROM moved GROUP BY task, key HAVING sum(count) > 0), "
     "routes AS (SELECT key, task, count FROM after WHERE key IN (SELECT key FROM plan))"
 )
+_SECOND = (
+    f"{_AFTER}, more AS (SELECT task, key, count FROM after UNION ALL SELECT task, key, count(*) FROM skewed WHERE l_linenumber <= 2 GROUP BY task, key), "
+    "hist2 AS (SELECT task, key, CAST(sum(count) AS BIGINT) AS count, CASE WHEN key IN (SELECT key FROM plan) THEN 0 ELSE 1 END AS late FROM more GROUP BY task, key), "
+    f"loads2 AS (SELECT CAST(n.task AS INTEGER) AS task, CAST(coalesce(sum(count), 0) AS BIGINT) AS load FROM range({NODES}) n(task) LEFT JOIN hist2 h ON h.task = n.task GROUP BY n.task), "
+    f"lim2 AS (SELECT bl, CAST(floor(bl * 1.01 + 1) AS BIGINT) AS ul FROM (SELECT CAST(sum(load) // {NODES} + 1 AS BIGINT) AS bl FROM loads2)), "
+    f"{_plan('h.late, h.key', 'task', 'late, key', n='2')}, "
+    "moved2 AS (SELECT task, key, count FROM hist2 UNION ALL SELECT from_task, key, -count FROM plan2 UNION ALL SELECT to_task, key, count FROM plan2), "
+    "after2 AS (SELECT task, key, CAST(sum(count) AS BIGINT) AS count FROM moved2 GROUP BY task, key HAVING sum(count) > 0), "
+    "routes2 AS (SELECT key, task, count FROM after2 WHERE key IN (SELECT key FROM plan UNION SELECT key FROM plan2)), "
+    "log AS (SELECT key, task, count, CAST(1 AS INTEGER) AS epoch FROM routes UNION ALL SELECT key, task, count, 2 FROM routes2)"
+)
 _CDF = (
     f"{_AFTER}, cdf AS (SELECT key, task, sum(count) OVER (PARTITION BY key ORDER BY count, task ROWS UNBOUNDED PRECEDING) AS hi, count, sum(count) OVER (PARTITION BY key) AS total FROM routes), "
     "picked AS (SELECT s.l_orderkey, s.l_partkey, s.l_suppkey, s.l_linenumber, s.side, s.key, c.task, TRUE AS routed FROM skewed s JOIN cdf c ON c.key = s.key "
@@ -420,7 +641,39 @@ _QUOTA = (
     "FROM mv m JOIN sd ON sd.task = m.from_task AND sd.key = m.key), "
     "quota AS (SELECT from_task, key, count, n_r, n_s, CAST(CASE WHEN n_r >= n_s THEN lq ELSE count - lq END AS BIGINT) AS quota_r, CAST(CASE WHEN n_r >= n_s THEN count - lq ELSE lq END AS BIGINT) AS quota_s FROM qa)"
 )
-_SIDES_JOIN = "SELECT r.key, r.l_orderkey, r.l_partkey AS r_partkey, r.l_linenumber AS r_linenumber, s.l_partkey AS s_partkey, s.l_linenumber AS s_linenumber FROM skewed r JOIN skewed s ON r.key = s.key AND r.l_orderkey = s.l_orderkey WHERE r.side = 'R' AND s.side = 'S'"
+_PAIRS = "SELECT r.key, CAST(r.n * s.n AS BIGINT) AS n_pairs FROM (SELECT key, count(*) AS n FROM skewed WHERE side = 'R' GROUP BY key) r JOIN (SELECT key, count(*) AS n FROM skewed WHERE side = 'S' GROUP BY key) s ON s.key = r.key"
+_LINE_TEXT = "'key = ' || key || ' , ' || string_agg(' [taskIndex = ' || task || ', count = ' || count || ']   ', '' ORDER BY count, task)"
+
+
+def _migrated(order: str) -> str:
+    return (
+        f"WITH {_QUOTA}, rk AS (SELECT s.*, q.quota_r, q.quota_s, row_number() OVER (PARTITION BY s.task, s.key, s.side ORDER BY {order}) AS n FROM skewed s JOIN quota q ON q.from_task = s.task AND q.key = s.key), "
+        "ps AS (SELECT *, CASE WHEN side = 'R' THEN n - 1 ELSE quota_r + n - 1 END AS p FROM rk WHERE n <= CASE WHEN side = 'R' THEN quota_r ELSE quota_s END), "
+        "tg AS (SELECT from_task, to_task, key, count, sum(count) OVER (PARTITION BY from_task, key ORDER BY to_task ROWS UNBOUNDED PRECEDING) AS hi FROM plan) "
+        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, side, ps.key, ps.task AS from_task, to_task FROM ps JOIN tg ON tg.from_task = ps.task AND tg.key = ps.key AND p < hi AND p >= hi - tg.count"
+    )
+
+
+def _hashed(text: str, additive: bool) -> str:
+    """The 32-bit string hash as nested expressions over unsigned numbers."""
+    shifted = lambda h, n: f"(CAST(floor((CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END) / {2 ** n}.0) AS BIGINT) & 4294967295)"
+    second = f"(h1 + {shifted('h1', 7)}) % 4294967296" if additive else f"xor(h1, {shifted('h1', 7)})"
+    return (
+        f"SELECT t, abs(CASE WHEN h5 >= 2147483648 THEN h5 - 4294967296 ELSE h5 END) AS h FROM (SELECT t, (h4 + h4 * 32) % 4294967296 AS h5 FROM (SELECT t, xor(h3, {shifted('h3', 17)}) AS h4 FROM "
+        f"(SELECT t, (h2 + h2 * 8) % 4294967296 AS h3 FROM (SELECT t, {second} AS h2 FROM (SELECT t, (h + h * 8192) % 4294967296 AS h1 FROM (SELECT t, "
+        f"list_reduce(list_transform(string_split(t, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM {text}))))))"
+    )
+
+
+def _ring_sql(replicas: int) -> str:
+    name = "'node-' || s || '&&VN' || v" if replicas else "'node-' || s"
+    return (
+        f"WITH names AS (SELECT {name} AS t, 'node-' || s AS server FROM range({NODES}) a(s), range({max(1, replicas)}) b(v)), keys AS (SELECT CAST(c_custkey AS VARCHAR) AS t FROM customer), "
+        f"texts AS (SELECT t FROM names UNION SELECT t FROM keys), hashes AS MATERIALIZED ({_hashed('texts', not replicas)}), points AS (SELECT h AS p, server FROM names JOIN hashes USING (t)) "
+        "SELECT t AS key, coalesce((SELECT arg_min(server, p) FROM points WHERE p >= h), (SELECT arg_min(server, p) FROM points)) AS server FROM keys JOIN hashes USING (t)"
+    )
+
+
 _EQUI = f"WITH li AS ({_L}) SELECT r.l_orderkey AS key, r.l_partkey AS r_partkey, r.l_suppkey AS r_suppkey, s.l_partkey AS s_partkey, s.l_suppkey AS s_suppkey FROM li r JOIN li s ON r.l_orderkey = s.l_orderkey WHERE r.side = 'R' AND s.side = 'S'"
 _BAND_ON = f"s.l_orderkey BETWEEN r.l_orderkey - {BAND} AND r.l_orderkey + {BAND}"
 _BAND_F = f"FROM (SELECT * FROM li WHERE side = 'R' AND l_returnflag = 'R') r JOIN (SELECT * FROM li WHERE side = 'S' AND l_quantity > 48 AND l_linestatus = 'O') s ON {_BAND_ON}"
@@ -433,16 +686,64 @@ _GRID_R = (
     f"ON o_orderkey % {GRID.rows} >= {GRID.last} AND (o_orderkey // {GRID.rows}) % {GRID.last} = c.i"
 )
 _GRID_S = f"SELECT c_custkey, c.node FROM customer JOIN (VALUES {', '.join(f'({n}, {j})' for n, i, j in _CELLS)}) c(node, j) ON c_custkey % {GRID.cols} = c.j"
-_SIZE = f"""WITH inp(n_r, n_s, v) AS (VALUES {', '.join(f'({a}, {b}, {c})' for a, b, c in _SIZES)}),
+def _sizes(inputs: str) -> str:
+    """CTEs that size the grid of each row (n_r, n_s, v); table h, k = 1."""
+    return f"""inp(n_r, n_s, v) AS ({inputs}),
 cases(ord, best, by_r, up) AS (VALUES (1, 'ru', TRUE, TRUE), (2, 'rl', TRUE, FALSE), (3, 'su', FALSE, TRUE), (4, 'sl', FALSE, FALSE)),
 a AS (SELECT n_r, n_s, v, ord, best, by_r, CAST(CASE WHEN by_r THEN n_r ELSE n_s END AS DOUBLE) AS p0, CAST(CASE WHEN by_r THEN n_s ELSE n_r END AS DOUBLE) AS a0, up FROM inp, cases),
 b AS (SELECT *, greatest(1, CASE WHEN up THEN ceil(p0 / (v / 2.0)) ELSE floor(p0 / (v / 2.0)) END) AS p FROM a),
 c AS (SELECT *, v - p0 / p AS rem FROM b), d AS (SELECT *, floor(a0 / rem) AS q0 FROM c WHERE rem > 0), e AS (SELECT *, a0 - q0 * rem AS surplus FROM d),
 f AS (SELECT *, CASE WHEN surplus <> 0 THEN ceil(p0 / (v - surplus)) ELSE p END AS lack, CASE WHEN surplus <> 0 THEN q0 + 1 ELSE q0 END AS q FROM e),
 g AS (SELECT *, p0 * q + (a0 - surplus) * p + CASE WHEN surplus <> 0 THEN surplus * lack ELSE 0 END AS cost FROM f),
-h AS (SELECT *, row_number() OVER (PARTITION BY n_r, n_s, v ORDER BY cost, ord) AS k FROM g)
-SELECT CAST(n_r AS BIGINT) AS n_r, CAST(n_s AS BIGINT) AS n_s, CAST(v AS BIGINT) AS v, best, CAST(CASE WHEN by_r THEN p ELSE q END AS INTEGER) AS grid_rows, CAST(CASE WHEN by_r THEN q ELSE p END AS INTEGER) AS grid_cols,
+h AS (SELECT *, row_number() OVER (PARTITION BY n_r, n_s, v ORDER BY cost, ord) AS k FROM g)"""
+
+
+_SIZE_COLS = """CAST(CASE WHEN by_r THEN p ELSE q END AS INTEGER) AS grid_rows, CAST(CASE WHEN by_r THEN q ELSE p END AS INTEGER) AS grid_cols"""
+_SIZE_ROWS = f"""SELECT CAST(n_r AS BIGINT) AS n_r, CAST(n_s AS BIGINT) AS n_s, CAST(v AS BIGINT) AS v, best, {_SIZE_COLS},
 CASE WHEN by_r THEN 'col' ELSE 'row' END AS short, CAST(lack AS INTEGER) AS last, CAST(p * q - (p - lack) AS INTEGER) AS nodes FROM h WHERE k = 1"""
+_COUNTED = "SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM customer), CAST({} AS DOUBLE)"
+_SIZE = f"WITH {_sizes('VALUES ' + ', '.join(f'({a}, {b}, {c})' for a, b, c in _SIZES))} {_SIZE_ROWS}"
+_TRIGGERED = (
+    f"WITH {_sizes(_COUNTED.format(TARGET * NODE_ROWS))}, now AS (SELECT n_r / CAST({GRID.rows} AS DOUBLE) + n_s / CAST({GRID.cols} AS DOUBLE) AS load FROM inp) "
+    f"SELECT load, load > CAST({TRIGGER * NODE_ROWS} AS DOUBLE) AS overloaded, {_SIZE_COLS}, CAST(p * q - (p - lack) AS INTEGER) AS nodes FROM h, now WHERE k = 1"
+)
+_SLICE = "CAST(floor(CAST({hi} AS DOUBLE) / {parts} * n) - floor(CAST({lo} AS DOUBLE) / {parts} * n) AS BIGINT)"
+_CHANGED_CELLS = (
+    f"WITH c AS (SELECT i, j FROM range({_CHANGED.rows}) a(i), range({_CHANGED.cols}) b(j) WHERE j < {_CHANGED.cols - 1} OR i < {_CHANGED.last}), "
+    f"r AS (SELECT i, j, {_SLICE.format(hi='(i + 1)', lo='i', parts=_CHANGED.rows)} AS n_r, "
+    f"CASE WHEN j = {_CHANGED.cols - 1} THEN {_SLICE.format(hi=f'({_CHANGED.last ** 2} + i + 1)', lo=f'({_CHANGED.last ** 2} + i)', parts=_CHANGED.rows * _CHANGED.last)} ELSE 0 END AS n_special FROM c, (SELECT count(*) AS n FROM orders)), "
+    f"s AS (SELECT i, j, {_SLICE.format(hi='(j + 1)', lo='j', parts=_CHANGED.cols)} AS n_s FROM c, (SELECT count(*) AS n FROM customer)) "
+    "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, n_r, n_s, n_special FROM r JOIN s USING (i, j)"
+)
+_BAND_ROUTE = (
+    f"WITH li AS ({_L}), m AS (SELECT side, l_orderkey AS k, l_partkey + l_suppkey AS seq, 'STORE' AS role FROM li UNION ALL "
+    f"SELECT side, unnest(range(greatest(l_orderkey - {BAND}, 0), l_orderkey + {BAND + 1})), l_partkey + l_suppkey, 'JOIN' FROM li WHERE CASE WHEN side = 'R' THEN l_returnflag = 'R' ELSE l_quantity > 48 AND l_linestatus = 'O' END), "
+    "split AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey < 100) "
+    f"SELECT CAST((CASE WHEN split.key IS NOT NULL AND (seq + k) % 5 < 2 THEN k + 1 ELSE k END) % {NODES} AS INTEGER) AS task, side, role, count(*) AS n_messages FROM m LEFT JOIN split ON split.key = m.k GROUP BY ALL"
+)
+_PICKED2 = (
+    f"WITH {_SECOND}, cdf AS (SELECT *, sum(count) OVER (PARTITION BY epoch, key ORDER BY count, task ROWS UNBOUNDED PRECEDING) AS hi, sum(count) OVER (PARTITION BY epoch, key) AS total FROM log), "
+    "rows AS (SELECT *, CAST(CASE WHEN l_linenumber <= 2 THEN 2 ELSE 1 END AS INTEGER) AS epoch FROM skewed), "
+    "hit AS (SELECT r.epoch, r.key, c.task, TRUE AS routed FROM rows r JOIN cdf c ON c.key = r.key AND c.epoch = r.epoch AND (r.l_partkey + r.l_suppkey) % c.total < c.hi AND (r.l_partkey + r.l_suppkey) % c.total >= c.hi - c.count "
+    "UNION ALL SELECT epoch, key, task, FALSE FROM rows r WHERE NOT EXISTS (SELECT 1 FROM log WHERE log.key = r.key AND log.epoch = r.epoch)) SELECT epoch, key, task, routed, count(*) AS n_rows FROM hit GROUP BY ALL"
+)
+_METRICS = (
+    f"WITH {_CDF}, n AS (SELECT (SELECT count(*) FROM orders) AS r, (SELECT count(*) FROM customer) AS s), "
+    f"v(name, value) AS (SELECT 'broadcast', CAST(count(*) AS DOUBLE) FROM sent UNION ALL SELECT 'migrateCount', coalesce(sum(floor(load - total / {NODES} * CAST(1.1 AS DOUBLE))), 0) FROM loads, lim WHERE load > total / {NODES} * CAST(1.1 AS DOUBLE) "
+    "UNION ALL SELECT 'routeTableSize', coalesce(sum(4 * (3 + 2 * (k - 1))), 0) FROM (SELECT count(*) AS k FROM routes GROUP BY key) UNION ALL SELECT 'migVolume', coalesce(sum(count), 0) FROM plan "
+    f"UNION ALL SELECT 'statistics', r / CAST({GRID.rows} AS DOUBLE) + s / CAST({GRID.cols} AS DOUBLE) FROM n UNION ALL SELECT 'expinfo.r', r FROM n UNION ALL SELECT 'expinfo.s', s FROM n UNION ALL SELECT 'expinfo.nodes', {GRID.nodes}) "
+    "SELECT CAST(1 AS INTEGER) AS epoch, name, CAST(value AS DOUBLE) AS value FROM v"
+)
+_MERGED = (
+    "WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus, 0 AS n FROM orders), u AS (SELECT * FROM b UNION ALL SELECT o_orderkey, o_custkey, 'T', 1 FROM b WHERE o_orderkey % 7 = 0 "
+    "UNION ALL SELECT o_orderkey, o_custkey, 'N', 2 FROM b WHERE o_orderkey % 5 = 0 UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, 2 FROM b WHERE o_orderkey < 10) "
+    "SELECT o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) AS k FROM u) WHERE k = 1"
+)
+_MAP = (
+    f"WITH cells(node, i, j) AS (VALUES {', '.join(f'({n}, {i}, {j})' for n, i, j in _CELLS)}), g AS (SELECT i, j, coalesce(node, -1) AS node FROM (SELECT i, j FROM range({GRID.rows}) a(i), range({GRID.cols}) b(j)) LEFT JOIN cells USING (i, j)), "
+    "l AS (SELECT i, string_agg(node || ' ', '' ORDER BY j) || '|' AS line FROM g GROUP BY i) "
+    f"SELECT string_agg(line, '' ORDER BY i) AS map, {GRID.rows} AS rows, {GRID.cols} AS cols, {GRID.nodes} AS nodes, {GRID.rows * GRID.cols - GRID.nodes} AS missing, {GRID.short == 'col'} AS short_col FROM l"
+)
 _OVERLAP = """WITH o AS (SELECT i, j FROM range(2) a(i), range(2) b(j)), n AS (SELECT i, j FROM range(4) a(i), range(2) b(j)),
 x AS (SELECT o.i AS old_i, o.j AS old_j, n.i AS new_i, n.j AS new_j, greatest(0, least((o.i + 1) / 2.0, (n.i + 1) / 4.0) - greatest(o.i / 2.0, n.i / 4.0)) * 1000 AS r, greatest(0, least((o.j + 1) / 2.0, (n.j + 1) / 2.0) - greatest(o.j / 2.0, n.j / 2.0)) * 600 AS s FROM o, n)
 SELECT CAST(old_i AS INTEGER) AS old_i, CAST(old_j AS INTEGER) AS old_j, CAST(new_i AS INTEGER) AS new_i, CAST(new_j AS INTEGER) AS new_j, CAST(r AS DOUBLE) AS r_rows, CAST(s AS DOUBLE) AS s_rows, CAST(r + s AS DOUBLE) AS total FROM x"""
@@ -472,14 +773,34 @@ ORACLES = {
     "dest_pick": f"WITH {_CDF} SELECT * FROM picked",
     "route_equi": f"WITH {_CDF} SELECT * FROM sent",
     "broadcast_count": f"WITH {_CDF} SELECT task, count(*) AS n_messages FROM sent GROUP BY task",
-    "equi_join_routed": f"WITH {_SKEWED} {_SIDES_JOIN}",
+    "equi_join_routed": f"WITH {_SKEWED} {_PAIRS}",
     "band_fanout": f"SELECT CAST(k % {NODES} AS INTEGER) AS task, count(*) AS n_probes FROM (SELECT unnest(range(greatest(l_orderkey - {BAND}, 0), l_orderkey + {BAND + 1})) AS k FROM lineitem) GROUP BY 1",
     "migration_quota": f"WITH {_QUOTA} SELECT * FROM quota",
-    "migrated_rows": f"WITH {_QUOTA}, rk AS (SELECT s.*, q.quota_r, q.quota_s, row_number() OVER (PARTITION BY s.task, s.key, s.side ORDER BY {', '.join(_ORDER)}) AS n FROM skewed s JOIN quota q ON q.from_task = s.task AND q.key = s.key), "
-    "ps AS (SELECT *, CASE WHEN side = 'R' THEN n - 1 ELSE quota_r + n - 1 END AS p FROM rk WHERE n <= CASE WHEN side = 'R' THEN quota_r ELSE quota_s END), "
-    "tg AS (SELECT from_task, to_task, key, count, sum(count) OVER (PARTITION BY from_task, key ORDER BY to_task ROWS UNBOUNDED PRECEDING) AS hi FROM plan) "
-    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, side, ps.key, ps.task AS from_task, to_task FROM ps JOIN tg ON tg.from_task = ps.task AND tg.key = ps.key AND p < hi AND p >= hi - tg.count",
-    "equi_join_after_migration": f"WITH {_SKEWED} {_SIDES_JOIN}",
+    "migrated_rows": _migrated(", ".join(_ORDER)),
+    "migrated_rows_newest": _migrated(", ".join(f"{c} DESC" for c in _ORDER)),
+    "moved_per_task": f"WITH {_FIRST} SELECT CAST(1 AS INTEGER) AS epoch, to_task AS task, CAST(sum(count) AS BIGINT) AS n_rows FROM plan GROUP BY to_task",
+    "plan_quick": f"WITH {_QUICK} SELECT * FROM plan",
+    "plan_band": f"WITH {_BANDED} SELECT * FROM plan",
+    "plan_boundary_split": f"WITH {_SECOND} SELECT * FROM plan2",
+    "routes_by_epoch": f"WITH {_SECOND} SELECT * FROM log",
+    "dest_pick_by_epoch": _PICKED2,
+    "route_table_text": f"WITH {_AFTER} SELECT key, {_LINE_TEXT} AS line FROM routes GROUP BY key",
+    "route_table_file": f"WITH {_AFTER} SELECT key, task, count FROM routes",
+    "load_report": f"WITH {_HIST} SELECT task, 'taskIndex = ' || task || ' , load = ' || load AS line FROM loads UNION ALL SELECT task, 'key = ' || key || ' , count = ' || count FROM hist",
+    "control_metrics": _METRICS,
+    "band_route": _BAND_ROUTE,
+    "direct_grouping": f"WITH {_SKEWED} SELECT task, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_parts, task AS part FROM skewed GROUP BY task",
+    "merge_by_id": _MERGED,
+    "matrix_size_tables": f"WITH {_sizes(_COUNTED.format(NODE_ROWS))} {_SIZE_ROWS}",
+    "matrix_trigger": _TRIGGERED,
+    "matrix_after_change": _CHANGED_CELLS,
+    "matrix_join_after_change": "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
+    "grid_map_text": _MAP,
+    "stream_grid_assign": _GRID_R,
+    "stream_rebalance": f"WITH {_AFTER} SELECT key, task, count FROM routes",
+    "consistent_hash_ring": _ring_sql(5),
+    "consistent_hash_plain": _ring_sql(0),
+    "equi_join_after_migration": f"WITH {_SKEWED} {_PAIRS}",
     "matrix_size": _SIZE,
     "grid_assign": _GRID_R,
     "matrix_join_equi": "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",

@@ -6,13 +6,15 @@ watermark is given.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import band_join
-from ..session import scratch
+from ..operators.stats import histogram
+from ..plans.prefix_sum import plan_moves, route_table
+from ..session import scratch, written
+from ..sources.control import RouteLog
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -55,11 +57,22 @@ def stream_load(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(F.count("*").alias("load"))
 
 
-def rebalance_each_batch(rows: DataFrame, plan: Callable[[DataFrame, int], None], name: str) -> None:
-    """Hand each micro-batch's histogram to a planner, as a controller's tick does."""
+def rebalance_each_batch(rows: DataFrame, nodes: int, rule: str, log: RouteLog, seconds: float | None = None) -> StreamingQuery:
+    """A controller on a tick: each micro-batch of rows (task, key) adds its histogram to those before, a plan is made of all of
+    them, and its routing table is published as the next epoch.  With seconds, ticks come that often until the query is
+    stopped by its caller; without, what is there is worked off.
+    """
     spark = rows.sparkSession
+    parts = scratch(spark, "histograms")
 
     def tick(batch: DataFrame, number: int) -> None:
-        plan(batch.groupBy("task", "key").agg(F.count("*").alias("count")), number)
-
-    rows.writeStream.foreachBatch(tick).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start().awaitTermination()
+        # a batch that is repeated after a failure replaces its own part and epoch
+        histogram(batch).write.mode("overwrite").parquet(f"{parts}/batch={number}")
+        hist = written(spark.read.schema("task int, key long, count long").parquet(parts).groupBy("task", "key").agg(F.sum("count").alias("count")), "histogram")
+        log.publish(number + 1, route_table(hist, written(plan_moves(hist, nodes, rule), "plan")))
+
+    out = rows.writeStream.foreachBatch(tick).option("checkpointLocation", scratch(spark, "controller"))
+    query = out.trigger(availableNow=True).start() if seconds is None else out.trigger(processingTime=f"{seconds} seconds").start()
+    if seconds is None:
+        query.awaitTermination()
+    return query
