@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -12,39 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from ..session import delete, scratch
+
 #: Words are maximal runs of other bytes than space and \x09-\x0D, which is how bytes.split() cuts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
 _TABLES: list[str] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset and the session local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
-        root = f"{base.rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
-        _OWN[app] = root
-        atexit.register(_remove, spark, root)
-    return _OWN[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
+def _forget(spark: SparkSession) -> None:
     try:
         while _TABLES:
             spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-        delete(spark, root)
-    except Exception:  # the session is gone: what is left belongs to the folder's own clean-up
+    except Exception:  # the session is gone, and its catalog with it
         pass
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that the driver and all executors share."""
+    return scratch(spark, name)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -57,11 +42,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, written: DataFrame) -> None:
     """Delete the files of a table from materialise() that nothing will read again."""
     for name in written.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+        delete(spark, name)
 
 
-def _table_name(name: str) -> str:
+def _table_name(spark: SparkSession, name: str) -> str:
+    if not _TABLES:
+        atexit.register(_forget, spark)
     _TABLES.append(f"evenkeel_{name}_{uuid.uuid4().hex[:12]}")
     return _TABLES[-1]
 
@@ -70,14 +56,14 @@ def write_bucketed(df: DataFrame, path: str, name: str, buckets: int, *keys: str
     """Write a table whose rows of a key are in one bucket, sorted: later joins and groupings by it need no exchange.
 
     The session's catalog has to name such a table; the name goes when the session ends or drop_table is called."""
-    table = _table_name(name)
+    table = _table_name(df.sparkSession, name)
     df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     return table
 
 
 def open_bucketed(spark: SparkSession, path: str, name: str, ddl: str, buckets: int, key: str) -> str:
     """Name a table that write_bucketed() left in a folder, in this session too."""
-    table = _table_name(name)
+    table = _table_name(spark, name)
     spark.sql(f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return table
 
@@ -93,12 +79,6 @@ def materialise_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) ->
     return df.sparkSession.table(write_bucketed(df, scratch_path(df.sparkSession, name), name, buckets, *keys))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A setting of the session for the jobs that run inside."""

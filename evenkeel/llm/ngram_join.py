@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import WORD_PATTERN, WordHasher, components, materialise, mix, text_bytes, whole_rows, window_hashes
 
 #: Texts and bytes of a verification block, about; a pair of blocks is what one task holds.
-BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 512, 2 << 20
 
 
 def choose_bands(threshold: float, recall: float = 0.999, most: int = 128) -> tuple[int, int]:

@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import delete
 from ._common import (
-    WORD_PATTERN, WordHasher, delete, drop_table, materialise, materialise_bucketed, mix, open_bucketed, scratch_path, setting, text_bytes, whole_rows,
+    WORD_PATTERN, WordHasher, drop_table, materialise, materialise_bucketed, mix, open_bucketed, scratch_path, setting, text_bytes, whole_rows,
     window_hashes, write_bucketed,
 )
 
