@@ -27,6 +27,8 @@ LEAST_REVISIT = 100
 #: Bytes of an archive after which a task starts another.
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 16
+#: Headers that the reader goes by.
+NEEDED = ("warc-type", "content-length", "warc-block-digest", "warc-payload-digest")
 
 
 class WarcError(ValueError):
@@ -37,13 +39,18 @@ def _b32(digest: bytes) -> str:
     return "sha256:" + base64.b32encode(digest).decode()
 
 
+def record_id(page_id: int | None, payload: bytes) -> str:
+    """The identifier of a response, which those that revisit it can tell from its page and their own payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{hashlib.sha256(payload).hexdigest()}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member: an HTTP response with its payload, or the response's head alone if it is revisited."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>" if revisit or page_id is None else record_id(page_id, payload)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", "".join(c for c in url or "" if c.isprintable())),
         ("Content-Type", "application/http; msgtype=response"),
@@ -52,7 +59,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
         ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", "" if refers_to is None else str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, payload)), ("X-Refers-To-Page-Id", "" if refers_to is None else str(refers_to))]
     head.append(("Content-Length", str(len(block))))
     raw = VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -93,7 +100,10 @@ class _Members:
                 self.raw = self.stream.read(READ_BYTES)
                 if not self.raw:
                     raise WarcError("the archive ends within a record")
-            out = self.z.decompress(self.raw, READ_BYTES)
+            try:
+                out = self.z.decompress(self.raw, READ_BYTES)
+            except zlib.error as e:
+                raise WarcError(f"a record that does not inflate: {e}") from e
             self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             if out:
                 return out
@@ -113,7 +123,11 @@ def read_records(stream) -> Iterator[Record]:
         lines = bytes(buf[:cut]).split(b"\r\n")
         if lines[0] != VERSION:
             raise WarcError(f"not a record: {lines[0][:40]!r}")
-        headers = {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
+        headers = {k.decode("utf-8", "replace").lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+        if missing := [n for n in NEEDED if n not in headers]:
+            raise WarcError(f"a record without {', '.join(missing)}")
+        if not headers["content-length"].isdecimal():
+            raise WarcError(f"a Content-Length of {headers['content-length'][:40]!r}")
         size = int(headers["content-length"])
         del buf[: cut + 4]
         while len(buf) < size + 4:
@@ -178,7 +192,12 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all archives in a manifest."""
+    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all archives in a manifest.
+
+    Of a revisit, length and digest are those of the payload that it refers to, and payload is empty; a page without an id has
+    a null page_id.  An empty manifest gives no rows; a damaged archive, or one with fewer records than the manifest says,
+    is an error.
+    """
     files = max(1, manifest.count())
     schema = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -215,5 +234,9 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
+    """All pages written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null and repeated ids, null htmls and ties are as write_warc says; extra columns are not read, and an empty table gives
+    no rows."""
     folder = scratch_path(pages.sparkSession, "warc")
     return read_warc(write_warc(pages, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
