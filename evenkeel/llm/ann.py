@@ -4,13 +4,19 @@ On a bounded sample the neighbour graph is cut into balanced parts with few edge
 network learns the part of a vector from the parts of its neighbours.  The network then places every
 row of the table in its most probable part and routes a query to its several most probable parts, where
 all rows are ranked by their exact cosine.  How many parts are asked is measured on the sample.
+
+There are as many parts as the rows need at `rows_per_part` each.  What one network cannot part so finely is parted again:
+each large part has a network of its own, learned by an executor from a bounded sample of its rows.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +25,8 @@ from ._common import materialise
 
 #: Candidate vectors that a task holds at once.
 CHUNK = 8192
+#: Parts that one network tells apart at most.
+MOST_PARTS = 128
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -118,11 +126,13 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
 
 
 def learn(sample: np.ndarray, parts: int, k: int = 10, recall: float = 0.97, nearest: int = 5) -> Router:
-    """Graph, partition and network of a sample, and the fewest parts to ask for that recall on it."""
+    """Graph, partition and network of a sample, and the fewest parts to ask for that recall on it.
+
+    A part has four vectors of the sample at least, so that a small sample has fewer parts, down to one."""
     x = unit(sample)
-    if len(x) < 4 * parts:
-        parts = 1
-    if parts == 1:
+    while parts > 1 and len(x) < 4 * parts:
+        parts //= 2
+    if parts <= 1:
         d = x.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, k)
@@ -135,20 +145,70 @@ def learn(sample: np.ndarray, parts: int, k: int = 10, recall: float = 0.97, nea
     target = 0.7 * target + 0.3 * np.eye(parts)[label]
     router = train_router(x[~test], target[~test])
     order = np.argsort(-router.logits(x), axis=1)
-    place = order[:, 0]
-    asked = np.flatnonzero(test)[:2000]
-    sims = x[asked] @ x.T
-    sims[np.arange(len(asked)), asked] = -np.inf
-    near = np.argpartition(-sims, nearest - 1, axis=1)[:, :nearest]
-    rank = np.argsort(order, axis=1)
-    need = rank[asked][np.arange(len(asked))[:, None], place[near]]
-    for probes in range(1, parts + 1):
-        if (need < probes).mean() >= recall:
-            break
-    router.probes = probes
+    place, rank = order[:, 0], np.argsort(order, axis=1)
+    asked = np.flatnonzero(test)
+    nearest = min(nearest, len(x) - 1)
+    need = np.empty((len(asked), nearest), dtype=np.int64)
+    for i in range(0, len(asked), 512):
+        at = asked[i : i + 512]
+        sims = x[at] @ x.T
+        sims[np.arange(len(at)), at] = -np.inf
+        near = np.argpartition(-sims, nearest - 1, axis=1)[:, :nearest]
+        need[i : i + 512] = rank[at][np.arange(len(at))[:, None], place[near]]
+    router.probes = next((n for n in range(1, parts) if (need < n).mean() >= recall), parts)
     return router
 
 
+@dataclass
+class Index:
+    """A router, and those of the parts that are parted again.  A cell is a part, or a part of a part."""
+
+    top: Router
+    below: dict[int, Router]
+
+    def cells(self, x: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of unit vectors: their most probable cell each, or all that a query asks."""
+        k = self.top.probes if probes else 1
+        order = np.argsort(-self.top.logits(x), axis=1, kind="stable")[:, :k]
+        rows, parts = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
+        out_r, out_c = [], []
+        for p in np.unique(parts):
+            at = rows[parts == p]
+            if (router := self.below.get(int(p))) is None:
+                out_r.append(at)
+                out_c.append(np.full(len(at), p * MOST_PARTS))
+            else:
+                near = np.argsort(-router.logits(x[at]), axis=1, kind="stable")[:, : router.probes if probes else 1]
+                out_r.append(np.repeat(at, near.shape[1]))
+                out_c.append((p * MOST_PARTS + near).ravel())
+        rows, cells = np.concatenate(out_r), np.concatenate(out_c)
+        order = np.lexsort((cells, rows))
+        return rows[order], cells[order]
+
+
+def parts_for(rows: int, rows_per_part: int) -> int:
+    """A power of two, so that a part has `rows_per_part` rows at most if one network can tell so many apart."""
+    return min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, rows / rows_per_part)))))
+
+
+def _learn_below(placed: DataFrame, sizes: dict[int, int], rows_per_part: int, sample: int, k: int, recall: float) -> dict[int, Router]:
+    """Routers of the parts with more than twice the rows that a part should have, each learned by an executor from some `sample`
+    of its vectors, those with the smallest hashes.  They are as many as parts at most, and of a fixed size each."""
+    big = {p: n for p, n in sizes.items() if n > 2 * rows_per_part}
+    if not big:
+        return {}
+    share = F.create_map(*[c for p, n in big.items() for c in (F.lit(p), F.lit(min(1.0, sample / n)))])
+    small = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 30)) < F.lit(1 << 30) * F.try_element_at(share, F.col("part"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        router = learn(np.array(frame["v"].tolist()), parts_for(big[part], rows_per_part), recall=recall, nearest=k)
+        return pd.DataFrame({"part": [part], "router": [pickle.dumps(router)]})
+
+    found = placed.where(F.col("part").isin(list(big)) & small).groupBy("part").applyInPandas(run, "part int, router binary")
+    return {r["part"]: pickle.loads(bytes(r["router"])) for r in found.collect()}
+
+
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part, v as doubles; repeated rows once."""
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -163,16 +223,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _router_pass(shared, probes: bool):
-    """Add parts (a list: the most probable ones, or the first) to batches whose last column is v."""
+    """Add cells (a list: those that a query asks, or the most probable one) to batches whose last column is v."""
 
     def run(batches):
-        router = shared.value
+        index = shared.value
         for batch in batches:
             if batch.num_rows:
-                k = router.probes if probes else 1
-                order = np.argsort(-router.logits(unit(_matrix(batch.column(batch.num_columns - 1)))), axis=1, kind="stable")[:, :k]
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, k), pa.int32()), pa.array(order.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=[*batch.schema.names, "parts"])
+                rows, cells = index.cells(unit(_matrix(batch.column(batch.num_columns - 1))), probes)
+                ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cells"])
 
     return run
 
@@ -188,7 +248,7 @@ def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _ranker(top: int):
-    """Rows (part, chunk, kind, key, ids, v) sorted by the first three: candidates are held, queries go through."""
+    """Rows (cell, chunk, kind, key, ids, v) sorted by the first three: candidates are held, queries go through."""
     schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def settle(cand, queries):
@@ -215,10 +275,10 @@ def _ranker(top: int):
     def run(batches):
         at, cand, queries = None, [], []
         for batch in batches:
-            for part, chunk, kind, key, ids, v in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (part, chunk) != at:
+            for cell, chunk, kind, key, ids, v in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (cell, chunk) != at:
                     yield from settle(cand, queries)
-                    at, cand, queries = (part, chunk), [], []
+                    at, cand, queries = (cell, chunk), [], []
                 if kind == 0:
                     cand.append((ids, v))
                 else:
@@ -231,15 +291,47 @@ def _ranker(top: int):
     return run
 
 
+def build_index(reps: DataFrame, rows: int, parts: int | None, rows_per_part: int, sample: int, recall: float, k: int) -> tuple[Index, DataFrame]:
+    """The index of distinct vectors (ids, v), learned from `sample` of them, and the vectors with their cell."""
+    spark = reps.sparkSession
+    seen = reps.orderBy(F.xxhash64("v"), "ids").limit(sample).select("v").collect()
+    index = Index(learn(np.array([r["v"] for r in seen]), parts or parts_for(rows, rows_per_part), recall=recall, nearest=k), {})
+    one = lambda shared: reps.mapInArrow(_router_pass(shared, False), "ids array<long>, v array<double>, cells array<int>").select(F.col("cells")[0].alias("cell"), "ids", "v")
+    placed = materialise(one(spark.sparkContext.broadcast(index)), "ann_index")
+    if parts is None and index.top.parts == MOST_PARTS:
+        part = F.floor(F.col("cell") / MOST_PARTS).cast("int")
+        sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # parts at most
+        index.below = _learn_below(placed.withColumn("part", part).select("part", "v"), sizes, rows_per_part, sample, k, recall)
+        if index.below:
+            placed = materialise(one(spark.sparkContext.broadcast(index)), "ann_index")
+    return index, placed
+
+
+def _search(placed: DataFrame, routed: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
+    """(key, vec_id, score): the `top` nearest of each query (key, v, cell) in each chunk of its cells."""
+    cand = placed.join(chunks, "cell").select(
+        "cell", F.pmod(F.xxhash64(F.col("ids")[0]), "chunks").cast("int").alias("chunk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), "ids", "v"
+    )
+    asked = routed.join(chunks, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "key", F.lit(None).cast("array<long>").alias("ids"), "v"
+    )
+    met = cand.unionByName(asked).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "kind")
+    return met.mapInArrow(_ranker(top), "key long, vec_id long, score double")
+
+
 def nearest_neighbours(
-    rows: DataFrame, every: int = 50, k: int = 5, parts: int = 32, sample: int = 6000, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding"
+    rows: DataFrame, every: int = 50, k: int = 5, parts: int | None = None, rows_per_part: int = 2048, sample: int = 6000, recall: float = 0.97,
+    id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """Rows query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`, its own row left out.
 
     Nearest by cosine, ties to the smaller id.  The partition is learned on the `sample` distinct vectors with the smallest
-    hashes; every row is indexed.  Vectors that are null, empty, zero or hold null or non-finite components
-    take no part, nor do rows without an id and vectors whose length isn't the most frequent one.  Equal vectors are
-    ranked once, for their k + 1 smallest ids.
+    hashes; every row is indexed.  Parts grow with the rows, unless set: a table of no more than `rows_per_part` distinct vectors is
+    one part, and parts that are too large are parted again.  A query whose cells hold fewer than k others is asked of all cells.
+
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id and
+    vectors whose length isn't the most frequent one.  Equal vectors are ranked once, for their k + 1 smallest ids, repeated
+    rows count once.  Only the id and vector columns are read, so that others may have any name; an empty table gives no rows.
     """
     spark = rows.sparkSession
     good = valid_vectors(rows, id_col, vec_col)
@@ -251,26 +343,20 @@ def nearest_neighbours(
     low = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     reps = good.withColumn("r", low).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     reps = materialise(reps.select("ids", "v"), "ann_vectors")
-    seen = reps.orderBy(F.xxhash64("v"), "ids").limit(sample).select("v").collect()
-    router = learn(np.array([r["v"] for r in seen]), parts, recall=recall, nearest=k)
-    shared = spark.sparkContext.broadcast(router)
-
-    placed = reps.mapInArrow(_router_pass(shared, False), "ids array<long>, v array<double>, parts array<int>")
-    placed = materialise(placed.select(F.col("parts")[0].alias("part"), "ids", "v"), "ann_index")
-    # one row for each part: a part of many rows is ranked in several chunks
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sizes = spark.createDataFrame(sizes.collect(), "part int, chunks int")
-    cand = placed.join(F.broadcast(sizes), "part").select(
-        "part", F.pmod(F.xxhash64(F.col("ids")[0]), "chunks").cast("int").alias("chunk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), "ids", "v"
-    )
+    total = reps.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
+    index, placed = build_index(reps, total["n"], parts, rows_per_part, sample, recall, k)
+    # a cell of many rows is ranked in several chunks; one row for each cell
+    chunks = placed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = materialise(chunks, "ann_cells")
     queries = good.where(F.col("vec_id") % every == 0)
-    asked = queries.groupBy("v").agg(F.min("vec_id").alias("key"))
-    routed = asked.select("key", "v").mapInArrow(_router_pass(shared, True), "key long, v array<double>, parts array<int>")
-    routed = routed.select("key", "v", F.explode("parts").alias("part")).join(F.broadcast(sizes), "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "key", F.lit(None).cast("array<long>").alias("ids"), "v"
-    )
-    met = cand.unionByName(routed).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "kind")
-    found = met.mapInArrow(_ranker(k + 1), "key long, vec_id long, score double")
+    asked = materialise(queries.groupBy("v").agg(F.min("vec_id").alias("key")), "ann_asked")
+    routed = asked.select("key", "v").mapInArrow(_router_pass(spark.sparkContext.broadcast(index), True), "key long, v array<double>, cells array<int>")
+    found = materialise(_search(placed, routed.select("key", "v", F.explode("cells").alias("cell")), chunks, k + 1), "ann_found")
+    enough = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, total["ids"])).select("key")
+    short = materialise(asked.join(enough, "key", "left_anti"), "ann_short")
+    if not short.isEmpty():
+        every_cell = F.explode(F.lit([r["cell"] for r in chunks.collect()]))  # some thousand numbers at most
+        found = found.join(enough, "key", "left_semi").unionByName(_search(placed, short.select("key", "v", every_cell.alias("cell")), chunks, k + 1))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
