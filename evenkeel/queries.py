@@ -17,7 +17,7 @@ from .plans.intervals import length
 from .session import scratch, written
 from .sources import control
 from .sources.files import last_by_key, write_metrics, zipf_counts
-from .streaming.joins import drain, file_stream, rebalance_each_batch, stream_band_join, stream_equi_join, stream_load
+from .streaming.joins import drain, drain_updates, file_stream, rebalance_each_batch, stream_band_join, stream_equi_join, stream_key_sides, stream_load
 
 NODES, BAND = 5, 10
 SIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -517,6 +517,12 @@ def stream_grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(gridop.assign(rows, GRID, "R", F.col("o_orderkey")).select("o_orderkey", "node", "special"), "stream-grid")
 
 
+def stream_key_side_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each skewed key on either side, from the state of a stream."""
+    rows = file_stream(spark, sf_dir, "lineitem").withColumn("side", side(*SIDE)).withColumn("key", F.expr(_SKEW))
+    return drain_updates(stream_key_sides(rows), "stream-sides", "key")
+
+
 def stream_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routing table that a controller has published when the stream has ended."""
     rows = file_stream(spark, sf_dir, "lineitem").withColumn("key", F.expr(_SKEW)).select(owner(F.col("key"), NODES).alias("task"), "key")
@@ -580,7 +586,7 @@ QUERIES = {
     "route_table_file": route_table_file, "load_report": load_report, "control_metrics": control_metrics, "band_route": band_route, "direct_grouping": direct_grouping,
     "migrated_rows_newest": migrated_rows_newest, "moved_per_task": moved_per_task, "merge_by_id": merge_by_id, "matrix_size_tables": matrix_size_tables,
     "matrix_trigger": matrix_trigger, "matrix_after_change": matrix_after_change, "matrix_join_after_change": matrix_join_after_change, "grid_map_text": grid_map_text,
-    "stream_grid_assign": stream_grid_assign, "stream_rebalance": stream_rebalance,
+    "stream_grid_assign": stream_grid_assign, "stream_rebalance": stream_rebalance, "stream_key_side_load": stream_key_side_load,
 }
 
 # SQL
@@ -797,6 +803,7 @@ ORACLES = {
     "matrix_join_after_change": "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "grid_map_text": _MAP,
     "stream_grid_assign": _GRID_R,
+    "stream_key_side_load": f"WITH {_SKEWED} SELECT key, count(*) FILTER (side = 'R') AS n_r, count(*) FILTER (side = 'S') AS n_s FROM skewed GROUP BY key",
     "stream_rebalance": f"WITH {_AFTER} SELECT key, task, count FROM routes",
     "consistent_hash_ring": _ring_sql(5),
     "consistent_hash_plain": _ring_sql(0),

@@ -59,3 +59,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def conf_int(spark: SparkSession, key: str, default: int | None = None) -> int:
+    """A setting of the session as a whole number."""
+    value = spark.conf.get(key, None if default is None else str(default))
+    if value is None:
+        raise KeyError(key)
+    return int(value)
+
+
+def parent_tasks(tasks: dict[str, int], *parents: str) -> int:
+    """Tasks of all parents of an operator: as many reports end an epoch."""
+    return sum(tasks[p] for p in parents)
+
+
+def memory_info(spark: SparkSession) -> dict[str, int]:
+    """Free and total MB of the driver's heap."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    return {"free_mb": runtime.freeMemory() >> 20, "total_mb": runtime.totalMemory() >> 20}

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import fields, owner, parse_pipe
 
 
-def read_pipe(spark: SparkSession, path: str, ddl: str, most: int | None = None) -> DataFrame:
-    """A pipe-separated table without a header; `most` caps what is loaded where the caller asks for it."""
-    rows = parse_pipe(spark.read.text(path).where(F.length(F.trim("value")) > 0), ddl)
+def read_pipe(spark: SparkSession, path: str, ddl: str, most: int | None = None, until_blank: bool = False) -> DataFrame:
+    """A pipe-separated table without a header; `most` caps what is loaded where the caller asks for it.
+
+    Blank lines are left out; with until_blank, so is all that follows the first one in the order of the files' lines."""
+    lines = spark.read.text(path)
+    blank = F.length(F.trim("value")) == 0
+    if until_blank:
+        lines = lines.withColumn("_n", F.monotonically_increasing_id())
+        first = lines.where(blank).agg(F.min("_n").alias("_end"))
+        lines = lines.crossJoin(F.broadcast(first)).where("_end is null or _n < _end").drop("_n", "_end")  # one row
+    rows = parse_pipe(lines.where(~blank), ddl)
     return rows if most is None else rows.limit(most)
 
 

@@ -6,15 +6,20 @@ watermark is given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.joins import band_join
 from ..operators.stats import histogram
 from ..plans.prefix_sum import plan_moves, route_table
 from ..session import scratch, written
 from ..sources.control import RouteLog
+from ..sources.files import last_by_key
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,6 +62,34 @@ def stream_load(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(F.count("*").alias("load"))
 
 
+def stream_key_sides(rows: DataFrame) -> DataFrame:
+    """Rows of each key (key, side) on either side, kept as state for the whole history; a key is told anew with each batch that has it."""
+
+    def count(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n_r, n_s = state.get if state.exists else (0, 0)
+        for frame in frames:
+            r = int((frame["side"] == "R").sum())
+            n_r, n_s = n_r + r, n_s + len(frame) - r
+        state.update((n_r, n_s))
+        yield pd.DataFrame({"key": [key[0]], "n_r": [n_r], "n_s": [n_s]})
+
+    out, kept = "key long, n_r long, n_s long", "n_r long, n_s long"
+    return rows.select("key", "side").groupBy("key").applyInPandasWithState(count, out, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def drain_updates(stream: DataFrame, name: str, key: str) -> DataFrame:
+    """Run a stream of updates over what is there and return the last row of each key."""
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return last_by_key(spark.read.schema(stream.schema.add("batch", "long")).parquet(out), key, F.col("batch")).drop("batch")
+
+
 def rebalance_each_batch(rows: DataFrame, nodes: int, rule: str, log: RouteLog, seconds: float | None = None) -> StreamingQuery:
     """A controller on a tick: each micro-batch of rows (task, key) adds its histogram to those before, a plan is made of all of
     them, and its routing table is published as the next epoch.  With seconds, ticks come that often until the query is

@@ -2,14 +2,17 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions.columns import dimension, grid_cells, grid_descriptor, grid_text, route_fields
 from evenkeel.functions.hashing import Ring, fnv32, fnv32_column, ring_lookup
 from evenkeel.operators import routing
 from evenkeel.operators.joins import running_sum
+from evenkeel.plans.grid import Grid
+from evenkeel.session import conf_int, memory_info, parent_tasks
 from evenkeel.sources import control, files
-from evenkeel.streaming.joins import rebalance_each_batch
+from evenkeel.streaming.joins import drain_updates, rebalance_each_batch, stream_key_sides
 
 
 def test_hash_in_built_in_functions(spark):
@@ -68,6 +71,30 @@ def test_controller_plans_over_all_batches(spark, tmp_path):
     assert sum(last.values()) == 300 and max(sum(n for (_, t), n in last.items() if t == task) for task in range(4)) <= 77
 
 
+def test_state_of_a_stream_over_batches(spark, tmp_path):
+    for part in ([(1, "R"), (1, "S"), (2, "S")], [(1, "R"), (3, None)]):
+        spark.createDataFrame(part, "key long, side string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    rows = spark.readStream.schema("key long, side string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = drain_updates(stream_key_sides(rows), "sides", "key")
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1), (2, 0, 1), (3, 0, 1)}
+
+
+def test_loader_that_ends_at_a_blank_line(spark, tmp_path):
+    (tmp_path / "t.tbl").write_text("1|x|\n2|y|\n\n3|z|\n")
+    path = f"file://{tmp_path}/t.tbl"
+    assert [r.k for r in files.read_pipe(spark, path, "k int, v string", until_blank=True).collect()] == [1, 2]
+    assert files.read_pipe(spark, path, "k int, v string").count() == 3
+    assert files.read_pipe(spark, path, "k int, v string", most=2).count() == 2
+
+
+def test_helpers_of_the_session(spark):
+    assert conf_int(spark, "spark.sql.shuffle.partitions") == 4 and conf_int(spark, "spark.evenkeel.none", 7) == 7
+    with pytest.raises(KeyError):
+        conf_int(spark, "spark.evenkeel.none")
+    assert parent_tasks({"source": 4, "router": 5}, "source", "router") == 9 and memory_info(spark)["total_mb"] > 0
+    assert str(Grid(2, 3, "col", 1)) == "0 1 2\n3 4 ."
+
+
 def test_rows_dealt_by_task_and_in_turn(spark):
     rows = spark.range(100).select((F.col("id") % 3).cast("int").alias("task"))
     parts = routing.by_task(rows, 3).select("task", F.spark_partition_id().alias("p")).distinct().collect()
