@@ -354,6 +354,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_store_round_trip(docs: DataFrame) -> DataFrame:
+    """All documents written to a store and read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text is the end id alone.  Repeated rows are stored one by one, their chunks once; rows without an id come
+    first.  Extra columns are not read, and an empty table gives no rows."""
     folder = scratch_path(docs.sparkSession, "tokens")
     write_store(docs, folder)
     back = read_store(docs.sparkSession, folder)

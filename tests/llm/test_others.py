@@ -179,18 +179,6 @@ def test_partition_is_balanced():
     assert size.min() > 0 and size.max() <= np.ceil(1.1 * 100)
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    before = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert tuple(out.columns) == corpus_pipeline.COLUMNS
-        assert 0 < out.count() <= before, name
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-
-
 def test_queries_are_registered():
     from evenkeel.llm.queries import QUERIES
 
