@@ -159,6 +159,12 @@ def window_hashes(word_hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4
     return mix(out)
 
 
+def own_exchange(col: str):
+    """An integer key under another value: a join by it exchanges both sides anew, whatever they are bucketed or summed by, so that
+    adaptive execution can split hot keys."""
+    return F.col(col).bitwiseXOR(F.lit(1 << 40))
+
+
 def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
     """Connected components of an undirected graph (u bigint, v bigint): rows (node, root), root the smallest node.
 
@@ -170,7 +176,7 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, name)
     before = None
-    hub = F.col("u").bitwiseXOR(F.lit(1 << 40))  # another key than that of the sums, which would hold the join to their exchange
+    hub = own_exchange("u")
     for _ in range(limit):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(hub.alias("hub"), F.least("u", "m").alias("m"))

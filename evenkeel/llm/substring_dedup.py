@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from ..session import delete
 from ._common import (
-    WORD_PATTERN, WordHasher, drop_table, materialise, materialise_bucketed, mix, open_bucketed, scratch_path, setting, text_bytes, whole_rows,
+    WORD_PATTERN, WordHasher, drop_table, materialise, materialise_bucketed, mix, open_bucketed, own_exchange, scratch_path, setting, text_bytes, whole_rows,
     window_hashes, write_bucketed,
 )
 
@@ -403,12 +403,13 @@ def substring_dedup(
     alone = texts.where("copies = 1").join(spans, ["k1", "k2"], "left").select(first, "text", "spans").mapInArrow(_remover(width, first), schema)
     # a text with copies repeats in full: its rows need no text but where it is shorter than a window
     short = F.col("n_words") < width
-    copied = texts.where("copies > 1").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "text", _n_words(F.col("text")).alias("n_words"))
+    copied = texts.where("copies > 1").select(own_exchange("k1").alias("c1"), F.col("k2").alias("c2"), "text", _n_words(F.col("text")).alias("n_words"))
     words = F.array_join(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD_PATTERN), F.lit(0)), " ")
     copied = copied.select("c1", "c2", "n_words", F.when(short, F.lit(0).cast("long")).otherwise(F.col("n_words")).alias("n_removed"), F.when(short, F.coalesce(words, F.lit(""))).otherwise("").cast("binary").alias("kept_text"))
-    rows = keyed.select("k1", "k2", first)
+    at = own_exchange("k1").alias("k1")
+    rows = keyed.select(at, "k2", first)
     if carry:  # whole rows travel for the short ones alone; of the others nothing is left
-        rows, copied = keyed.where(_n_words(F.col("text")) < width).select("k1", "k2", first), copied.where("n_removed = 0")
+        rows, copied = keyed.where(_n_words(F.col("text")) < width).select(at, "k2", first), copied.where("n_removed = 0")
     again = rows.join(copied, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(first, "n_words", "n_removed", "kept_text")
     return alone.unionByName(again)
 
