@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 from hashlib import blake2b
 
@@ -148,13 +148,24 @@ def distinct_texts(keyed: DataFrame) -> DataFrame:
     return materialise_bucketed(one, "texts", int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2")
 
 
+@dataclass
+class Run:
+    """An immutable run: a bucketed table of spans, and beside it, unsorted, the spans of its most frequent keys, whose list is
+    shorter than the number of buckets."""
+
+    level: int
+    name: str
+    hot: list[int]
+
+
 @dataclass
 class SubstringIndex:
     """Runs of spans in a shared folder, each immutable, bucketed and sorted by its key, and what batches matched.
 
     The folder's last manifest names the runs and the matches, so that another session goes on where one ended; files
     that it does not name belong to a step that did not end.  There are as many buckets as shuffle partitions, unless set;
-    width, buckets and fanout of an existing index are those it was made with.
+    a key with more rows than a bucket has on average (or than `most`) is kept apart, so that no bucket takes them all.  Width,
+    buckets and fanout of an existing index are those it was made with.
     """
 
     spark: SparkSession
@@ -162,8 +173,9 @@ class SubstringIndex:
     width: int = 35
     buckets: int | None = None
     fanout: int = 4
-    #: (level, folder) of each run, oldest first, and the folders with the matches of each batch
-    runs: list[tuple[int, str]] = field(default_factory=list)
+    most: int | None = None
+    #: runs, oldest first, and the folders with the matches of each batch
+    runs: list[Run] = field(default_factory=list)
     adds: list[str] = field(default_factory=list)
     #: the session's names of the runs' tables
     _tables: dict[str, str] = field(default_factory=dict)
@@ -180,12 +192,12 @@ class SubstringIndex:
             said = json.loads(self.spark.read.text(f"{self.path}/{known[-1]}", wholetext=True).first()[0])
             self._version = int(known[-1][9:-5])
             self.width, self.buckets, self.fanout, self.adds = said["width"], said["buckets"], said["fanout"], said["adds"]
-            self.runs = [(level, name) for level, name in said["runs"]]
+            self.runs = [Run(**run) for run in said["runs"]]
 
     def _commit(self) -> None:
         """Write the next manifest; it counts once it has its name."""
         self._version += 1
-        said = json.dumps({"width": self.width, "buckets": self.buckets, "fanout": self.fanout, "runs": self.runs, "adds": self.adds})
+        said = json.dumps({"width": self.width, "buckets": self.buckets, "fanout": self.fanout, "runs": list(map(asdict, self.runs)), "adds": self.adds})
         make = self.spark._jvm.org.apache.hadoop.fs.Path
         draft, final = make(f"{self.path}/.draft-{uuid.uuid4().hex}"), make(f"{self.path}/manifest-{self._version:08d}.json")
         files = draft.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -195,35 +207,71 @@ class SubstringIndex:
         if not files.rename(draft, final):
             raise RuntimeError(f"another writer made {final.getName()}")
 
-    def table(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = open_bucketed(self.spark, f"{self.path}/{name}", "spans", SPAN_DDL, self.buckets, "mhash")
-        return self.spark.table(self._tables[name])
+    def table(self, run: Run) -> DataFrame:
+        """The bucketed spans of a run."""
+        if run.name not in self._tables:
+            self._tables[run.name] = open_bucketed(self.spark, f"{self.path}/{run.name}", "spans", SPAN_DDL, self.buckets, "mhash")
+        return self.spark.table(self._tables[run.name])
 
-    def _write(self, spans: DataFrame) -> str:
-        name = f"run-{uuid.uuid4().hex[:12]}"
-        self._tables[name] = write_bucketed(spans, f"{self.path}/{name}", "spans", self.buckets, "mhash")
-        return name
+    def apart(self, run: Run) -> DataFrame:
+        """The spans of a run's frequent keys."""
+        if not run.hot:
+            return self.spark.createDataFrame([], SPAN_DDL)
+        return self.spark.read.schema(SPAN_DDL).parquet(f"{self.path}/{run.name}-apart")
+
+    def spans(self, run: Run) -> DataFrame:
+        """All spans of a run."""
+        return self.table(run).unionByName(self.apart(run)) if run.hot else self.table(run)
+
+    def _frequent(self, spans: DataFrame, rows: int) -> list[int]:
+        """Keys with more rows than a bucket has on average: fewer than buckets."""
+        limit = max(1, rows // self.buckets) if self.most is None else self.most
+        return sorted(r["mhash"] for r in spans.groupBy("mhash").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect())
+
+    def _write(self, level: int, bucketed: DataFrame, apart: DataFrame, hot: list[int]) -> Run:
+        run = Run(level, f"run-{uuid.uuid4().hex[:12]}", hot)
+        self._tables[run.name] = write_bucketed(bucketed, f"{self.path}/{run.name}", "spans", self.buckets, "mhash")
+        if hot:
+            apart.write.option("compression", "zstd").parquet(f"{self.path}/{run.name}-apart")
+        return run
+
+    def _first_run(self, batch: DataFrame) -> Run:
+        path = scratch_path(self.spark, "spans_raw")
+        batch.select("k1", "k2", "text").mapInArrow(_span_writer(self.width), SPAN_DDL).write.option("compression", "zstd").parquet(path)
+        raw = self.spark.read.schema(SPAN_DDL).parquet(path)
+        hot = self._frequent(raw, raw.count())
+        known = F.col("mhash").isin(hot)
+        run = self._write(0, raw.where(~known).repartition(self.buckets, "mhash"), raw.where(known), hot)
+        delete(self.spark, path)
+        return run
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in a batch of different texts (k1, k2, text) and return the spans that it matched.
 
-        The batch's run is merge-joined with each run before it by their common bucketing: no run is shuffled.  The
-        matched spans are those of the batch whose key it or a run before has elsewhere, or that may hold a window
-        twice, and those of the runs whose key the batch has.  A text that was added before is the same place.
+        The batch's run is merge-joined with each run before it by their common bucketing: no run is shuffled; frequent keys
+        are few and looked up by their list.  The matched spans are those of the batch whose key it or a run before has
+        elsewhere, or that may hold a window twice, and those of the runs whose key the batch has.  A text that was added
+        before is the same place.
         """
-        name = self._write(batch.select("k1", "k2", "text").mapInArrow(_span_writer(self.width), SPAN_DDL).repartition(self.buckets, "mhash"))
-        run, before = self.table(name), [self.table(n) for _, n in self.runs]
-        keys = run.groupBy("mhash").agg(F.count("*").alias("n"), F.max("tie").alias("t"))
-        hits = keys
-        for other in before:
-            has = other.select(F.col("mhash").alias("o")).distinct().withColumn("met", F.lit(True))
+        run = self._first_run(batch)
+        key = F.col("mhash")
+        own = self.table(run)
+        keys = own.groupBy("mhash").agg(F.count("*").alias("n"), F.max("tie").alias("t"))
+        hits, parts = keys.withColumn("t", F.col("t") | key.isin([h for r in self.runs for h in r.hot])), [self.apart(run)] if run.hot else []
+        for old in self.runs:
+            table = self.table(old)
+            has = table.select(key.alias("o")).distinct().withColumn("met", F.lit(True))
             hits = hits.join(has, hits["mhash"] == has["o"], "left").select("mhash", "n", (F.col("t") | F.coalesce("met", F.lit(False))).alias("t"))
-        parts = [run.join(hits.where("n > 1 or t").select("mhash"), "mhash", "left_semi")]
-        parts += [other.join(keys.select("mhash"), "mhash", "left_semi") for other in before]
+            parts.append(table.join(keys.select("mhash"), "mhash", "left_semi"))
+            if run.hot:
+                parts.append(table.where(key.isin(run.hot)))
+            if old.hot:
+                met = [h for h in old.hot if h in set(run.hot)] + [r["mhash"] for r in keys.where(key.isin(old.hot)).select("mhash").collect()]
+                parts.append(self.apart(old).where(key.isin(met)))
+        parts.append(own.join(hits.where("n > 1 or t").select("mhash"), "mhash", "left_semi"))
         found = f"matches-{uuid.uuid4().hex[:12]}"
         reduce(DataFrame.unionByName, parts).write.option("compression", "zstd").parquet(f"{self.path}/{found}")
-        self.runs.append((0, name))
+        self.runs.append(run)
         self.adds.append(found)
         self._commit()
         self.compact()
@@ -238,23 +286,37 @@ class SubstringIndex:
             return self.spark.createDataFrame([], SPAN_DDL)
         return self._matches(self.adds).distinct()
 
+    def _merge(self, due: list[Run]) -> Run:
+        """One run of several, bucket by bucket; only rows of keys that are frequent in some of them and not in all together are shuffled."""
+        key, hot = F.col("mhash"), sorted({h for run in due for h in run.hot})
+        # rows, unlike column batches, are united bucket by bucket
+        sort = lambda df: df.sortWithinPartitions("mhash")
+        if not hot:
+            merged, apart = [sort(self.table(run)) for run in due], self.spark.createDataFrame([], SPAN_DDL)
+        else:
+            some = reduce(DataFrame.unionByName, [self.apart(run) for run in due if run.hot] + [self.table(run).where(key.isin(hot)) for run in due])
+            some = materialise(some, "spans_apart")
+            hot = self._frequent(some, sum(self.spans(run).count() for run in due))
+            apart, merged = some.where(key.isin(hot)), [sort(self.table(run).where(~key.isin(sorted({h for r in due for h in r.hot})))) for run in due]
+            merged.append(sort(some.where(~key.isin(hot)).repartition(self.buckets, "mhash")))
+        with setting(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+            return self._write(due[0].level + 1, reduce(DataFrame.unionByName, merged), apart, hot)
+
     def compact(self) -> None:
-        """Merge the runs of each level that has `fanout` of them, bucket by bucket and without a shuffle."""
+        """Merge the runs of each level that has `fanout` of them."""
         level = 0
-        while any(n >= level for n, _ in self.runs):
-            due = [name for n, name in self.runs if n == level]
+        while any(run.level >= level for run in self.runs):
+            due = [run for run in self.runs if run.level == level]
             if len(due) >= self.fanout:
-                # rows, unlike column batches, are united bucket by bucket
-                parts = [self.table(name).sortWithinPartitions("mhash") for name in due]
-                with setting(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
-                    merged = self._write(reduce(DataFrame.unionByName, parts))
-                at = min(i for i, (n, _) in enumerate(self.runs) if n == level)
-                self.runs = [r for r in self.runs if r[0] != level]
-                self.runs.insert(min(at, len(self.runs)), (level + 1, merged))
+                at = self.runs.index(due[0])
+                merged = self._merge(due)
+                self.runs = [run for run in self.runs if run not in due]
+                self.runs.insert(at, merged)
                 self._commit()
-                for name in due:
-                    drop_table(self.spark, self._tables.pop(name))
-                    delete(self.spark, f"{self.path}/{name}")
+                for run in due:
+                    drop_table(self.spark, self._tables.pop(run.name))
+                    delete(self.spark, f"{self.path}/{run.name}")
+                    delete(self.spark, f"{self.path}/{run.name}-apart")
             level += 1
 
     def close(self) -> None:
@@ -379,12 +441,13 @@ def _n_words(text: Column) -> Column:
 
 
 def substring_dedup(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 3, fanout: int = 2, carry: bool = False
-) -> DataFrame:
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, batches: int = 3, fanout: int = 2, carry: bool = False,
+    most: int | None = None,
+) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept_text (UTF-8 bytes of the kept words, joined by one space).
 
     The different texts arrive in `batches` batches, by a hash; each becomes a run of the index and is matched with the
-    runs before it and itself, and `fanout` runs of a level are compacted into one.  A word goes if a window over
+    runs before it and itself, and `fanout` runs of a level are compacted into one (`most`: SubstringIndex).  A word goes if a window over
     it starts anywhere else too, on either side of a match and within one text.  A null or empty text has no words; a
     text of fewer than `width` words loses none; repeated rows and equal texts repeat each other's
     windows.  Only the id and text columns are read, so that others may have any name, unless `carry` asks for whole rows
@@ -395,7 +458,7 @@ def substring_dedup(
     also = docs.select(F.col(id_col), F.col(text_col), whole_rows(docs).alias("row")) if carry else docs
     keyed = _keyed(also, id_col, text_col, ("row",) if carry else ())
     texts = distinct_texts(keyed)
-    index = SubstringIndex(spark, scratch_path(spark, "substring-index"), width, fanout=fanout)
+    index = SubstringIndex(spark, scratch_path(spark, "substring-index"), width, fanout=fanout, most=most)
     for b in range(batches):
         index.add(texts.where(F.pmod("k2", F.lit(batches)) == b))
     spans = repeated_spans(texts, materialise(index.matches(), "spans_matched"), width)

@@ -107,8 +107,8 @@ def windows(docs, width):
     return Counter(tuple(w[i : i + width]) for _, t in docs for w in [words(t)] for i in range(len(w) - width + 1))
 
 
-@pytest.mark.parametrize("batches", [1, 2, 5])
-def test_substring_dedup(odd_docs, batches):
+@pytest.mark.parametrize("batches,most", [(1, None), (2, None), (5, None), (3, 1), (5, 2)])
+def test_substring_dedup(odd_docs, batches, most):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     count, expected = windows(docs, 35), []
     for i, t in docs:
@@ -116,7 +116,7 @@ def test_substring_dedup(odd_docs, batches):
         gone = {j + k for j in range(len(w) - 34) if count[tuple(w[j : j + 35])] > 1 for k in range(35)}
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         expected.append(repr((i, len(w), len(gone), hashlib.sha256(kept).hexdigest())))
-    got = substring_dedup.substring_digest(substring_dedup.substring_dedup(odd_docs, batches=batches))
+    got = substring_dedup.substring_digest(substring_dedup.substring_dedup(odd_docs, batches=batches, most=most))
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(expected)
 
 
@@ -127,22 +127,24 @@ def texts_of(docs):
     return substring_dedup._keyed(docs, "doc_id", "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
-def test_index_compacts_and_reopens(odd_docs, spark, tmp_path):
+@pytest.mark.parametrize("most", [None, 1, 3])
+def test_index_compacts_and_reopens(odd_docs, spark, tmp_path, most):
     """Four batches, each in another object of the same folder: the runs merge, and the matches are those of one batch."""
     texts = texts_of(odd_docs)
     seen = []
     for b in range(4):
-        index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 35, buckets=2, fanout=2)
+        index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 35, buckets=2, fanout=2, most=most)
         index.add(texts.where(f"pmod(k2, 4) = {b}"))
-        seen.append([level for level, _ in index.runs])
+        seen.append([run.level for run in index.runs])
         index.close()
     assert seen == [[0], [1], [1, 0], [2]]
-    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 99, buckets=7)
+    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 99, buckets=7, most=most)
     assert (index.width, index.buckets, index.fanout) == (35, 2, 2) and len(index.adds) == 4
-    whole = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/one", 35, buckets=2)
+    assert bool(index.runs[0].hot) == (most == 1)
+    whole = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/one", 35, buckets=2, most=10**9)
     whole.add(texts)
     assert rows_of(index.matches(), *SPAN) == rows_of(whole.matches(), *SPAN) != []
-    assert rows_of(index.table(index.runs[0][1]), *SPAN) == rows_of(whole.table(whole.runs[0][1]), *SPAN)
+    assert rows_of(index.spans(index.runs[0]), *SPAN) == rows_of(whole.spans(whole.runs[0]), *SPAN)
     # a later batch meets the merged run, and only its keys are matched there
     more = spark.createDataFrame([(1, "new words here " + odd_docs.where("doc_id = 10").first().text)], "doc_id long, text string")
     got = index.add(texts_of(more))
@@ -154,9 +156,9 @@ def test_compaction_merges_without_a_shuffle(odd_docs, spark, tmp_path):
     index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/log", 35, buckets=2, fanout=2)
     for b in range(2):
         index.add(texts_of(odd_docs).where(f"pmod(k2, 2) = {b}"))
-    (level, name), = index.runs
-    assert level == 1 and len(list((tmp_path / "log" / name).glob("part-*.parquet"))) == 2
-    assert [p.name for p in (tmp_path / "log").glob("run-*")] == [name]
+    (run,) = index.runs
+    assert run.level == 1 and len(list((tmp_path / "log" / run.name).glob("part-*.parquet"))) == 2
+    assert [p.name for p in (tmp_path / "log").glob("run-*")] == [run.name]
 
 
 def test_digests_take_all_words():
