@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from math import floor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -431,13 +432,15 @@ def matrix_cell_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "old_i int, old_j int, new_i int, new_j int, r_rows double, s_rows double, total double")
 
 
-def matrix_mig_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = merge_sends(change_grid(_OLD, Grid(3, 3, "col", 2), 1000, 600))
-    rows = [(a, b, s, length(x)) for (a, b, s), x in sorted(moves.items())]
-    return spark.createDataFrame(rows, "from_node int, to_node int, side string, fraction double")
+_CHANGED = Grid(3, 3, "col", 2)
 
 
-_CHANGED = Grid(3, 3, "col", 2)
+def matrix_mig_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions and rows that nodes send each other for a change of the grid over orders and customers."""
+    n_r, n_s = _counts(spark, sf_dir)
+    moves, total = merge_sends(change_grid(_OLD, _CHANGED, n_r, n_s)), {"R": n_r, "S": n_s}
+    rows = [(a, b, s, round(length(x), 9), sum(floor(hi * total[s]) - floor(lo * total[s]) for lo, hi in x)) for (a, b, s), x in sorted(moves.items())]
+    return spark.createDataFrame(rows, "from_node int, to_node int, side string, fraction double, n_rows long")
 
 
 def _after_change(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, int]]]:
@@ -721,6 +724,33 @@ _CHANGED_CELLS = (
     f"s AS (SELECT i, j, {_SLICE.format(hi='(j + 1)', lo='j', parts=_CHANGED.cols)} AS n_s FROM c, (SELECT count(*) AS n FROM customer)) "
     "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, n_r, n_s, n_special FROM r JOIN s USING (i, j)"
 )
+_SHORT = _CHANGED.last  # cells of the short last column
+_PARTS = _CHANGED.rows * _SHORT
+_VOLUME = f"""WITH RECURSIVE n AS (SELECT (SELECT count(*) FROM orders) AS r, (SELECT count(*) FROM customer) AS s),
+old AS (SELECT i, j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS node, i / {_OLD.rows}.0::DOUBLE AS r0, (i + 1) / {_OLD.rows}.0::DOUBLE AS r1, j / {_OLD.cols}.0::DOUBLE AS s0, (j + 1) / {_OLD.cols}.0::DOUBLE AS s1
+  FROM range({_OLD.rows}) a(i), range({_OLD.cols}) b(j)),
+new AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS cell, i / {_CHANGED.rows}.0::DOUBLE AS r0, (i + 1) / {_CHANGED.rows}.0::DOUBLE AS r1, j / {_CHANGED.cols}.0::DOUBLE AS s0, (j + 1) / {_CHANGED.cols}.0::DOUBLE AS s1
+  FROM range({_CHANGED.rows}) a(i), range({_CHANGED.cols}) b(j) WHERE j < {_CHANGED.cols - 1} OR i < {_SHORT}),
+common AS (SELECT o.node, w.cell, round(greatest(0, least(o.r1, w.r1) - greatest(o.r0, w.r0)) * n.r, 2) + round(greatest(0, least(o.s1, w.s1) - greatest(o.s0, w.s0)) * n.s, 2) AS total FROM old o, new w, n),
+ord AS (SELECT node, cell, row_number() OVER (ORDER BY round(total, 2) DESC, node, cell) AS k FROM common),
+greedy(k, nodes, cells) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST([] AS BIGINT[]) UNION ALL
+  SELECT ord.k, CASE WHEN list_contains(nodes, node) OR list_contains(cells, cell) THEN nodes ELSE list_append(nodes, node) END,
+  CASE WHEN list_contains(nodes, node) OR list_contains(cells, cell) THEN cells ELSE list_append(cells, cell) END FROM greedy JOIN ord ON ord.k = greedy.k + 1),
+pairs AS (SELECT unnest(nodes) AS node, unnest(cells) AS cell FROM (SELECT * FROM greedy ORDER BY k DESC LIMIT 1)),
+free AS (SELECT x AS node, row_number() OVER (ORDER BY x) AS k FROM range({_OLD.nodes + _CHANGED.nodes}) t(x) WHERE x NOT IN (SELECT node FROM pairs)),
+late AS (SELECT cell, row_number() OVER (ORDER BY cell) AS k FROM new WHERE cell NOT IN (SELECT cell FROM pairs)),
+place AS (SELECT cell, CAST(node AS INTEGER) AS node FROM pairs UNION ALL SELECT cell, CAST(free.node AS INTEGER) FROM late JOIN free USING (k)),
+has AS (SELECT w.*, p.node, o.r0 AS hr0, o.r1 AS hr1, o.s0 AS hs0, o.s1 AS hs1 FROM new w JOIN place p USING (cell) LEFT JOIN pairs m USING (cell) LEFT JOIN old o ON o.node = m.node),
+want AS (SELECT cell, node, 'R' AS side, i AS line, r0 AS a, r1 AS b, hr0 AS h0, hr1 AS h1, 0 AS kind FROM has UNION ALL SELECT cell, node, 'S', j, s0, s1, hs0, hs1, 0 FROM has
+  UNION ALL SELECT cell, node, 'R', -1, ({_SHORT * _SHORT} + i) / {_PARTS}.0::DOUBLE, ({_SHORT * _SHORT} + i + 1) / {_PARTS}.0::DOUBLE, NULL, NULL, 1 FROM has WHERE j = {_CHANGED.cols - 1}),
+cuts AS (SELECT DISTINCT side, x FROM (SELECT side, unnest([a, b]) AS x FROM want UNION ALL SELECT 'R', unnest([r0, r1]) FROM old UNION ALL SELECT 'S', unnest([s0, s1]) FROM old)),
+seg AS (SELECT side, x AS lo, lead(x) OVER (PARTITION BY side ORDER BY x) AS hi FROM cuts QUALIFY hi IS NOT NULL),
+need AS (SELECT w.cell, w.node, w.side, w.line, w.kind, lo, hi FROM want w JOIN seg ON seg.side = w.side AND lo >= a AND hi <= b WHERE h0 IS NULL OR hi <= h0 OR lo >= h1),
+giver AS (SELECT need.*, g.node AS from_node, 0 AS turn, g.cell AS place FROM need JOIN has g ON need.kind = 0 AND g.cell <> need.cell AND CASE WHEN need.side = 'R' THEN g.i = need.line AND lo >= hr0 AND hi <= hr1 ELSE g.j = need.line AND lo >= hs0 AND hi <= hs1 END
+  UNION ALL SELECT need.*, o.node, 1, o.node FROM need JOIN old o ON CASE WHEN need.side = 'R' THEN o.j = 0 AND lo >= r0 AND hi <= r1 ELSE o.i = 0 AND lo >= s0 AND hi <= s1 END),
+sent AS (SELECT *, row_number() OVER (PARTITION BY cell, side, kind, lo ORDER BY turn, place) AS k FROM giver WHERE kind = 1 OR from_node <> node),
+moved AS (SELECT DISTINCT from_node, node AS to_node, side, lo, hi FROM sent WHERE k = 1 AND from_node <> node)
+SELECT CAST(from_node AS INTEGER) AS from_node, to_node, side, round(sum(hi - lo), 9) AS fraction, CAST(sum(floor(hi * CASE side WHEN 'R' THEN n.r ELSE n.s END) - floor(lo * CASE side WHEN 'R' THEN n.r ELSE n.s END)) AS BIGINT) AS n_rows FROM moved, n GROUP BY 1, 2, 3"""
 _BAND_ROUTE = (
     f"WITH li AS ({_L}), m AS (SELECT side, l_orderkey AS k, l_partkey + l_suppkey AS seq, 'STORE' AS role FROM li UNION ALL "
     f"SELECT side, unnest(range(greatest(l_orderkey - {BAND}, 0), l_orderkey + {BAND + 1})), l_partkey + l_suppkey, 'JOIN' FROM li WHERE CASE WHEN side = 'R' THEN l_returnflag = 'R' ELSE l_quantity > 48 AND l_linestatus = 'O' END), "
@@ -799,6 +829,7 @@ ORACLES = {
     "merge_by_id": _MERGED,
     "matrix_size_tables": f"WITH {_sizes(_COUNTED.format(NODE_ROWS))} {_SIZE_ROWS}",
     "matrix_trigger": _TRIGGERED,
+    "matrix_mig_volume": _VOLUME,
     "matrix_after_change": _CHANGED_CELLS,
     "matrix_join_after_change": "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "grid_map_text": _MAP,

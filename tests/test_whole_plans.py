@@ -10,10 +10,10 @@ def test_volume_counts_what_stands_in_for_missing_cells(spark):
     from evenkeel.queries import matrix_mig_volume
 
     got, sent = Counter(), Counter()
-    for m in matrix_mig_volume(spark, "").collect():
+    for m in matrix_mig_volume(spark, "/root/testdata/sf0.001").collect():
         assert m["from_node"] != m["to_node"]
         got[m["side"]] += m["fraction"]
-    for _, _, side, lo, hi in change_grid(Grid(2, 2), Grid(3, 3, "col", 2), 1000, 600).sends:
+    for _, _, side, lo, hi in change_grid(Grid(2, 2), Grid(3, 3, "col", 2), 1500, 150).sends:
         sent[side] += hi - lo
     assert abs(got["R"] - sent["R"] - 1 / 3) < 1e-9 and abs(got["S"] - sent["S"]) < 1e-9
     assert all(a != b for a, b, _ in merge_sends(change_grid(Grid(3, 2), Grid(3, 2, "col", 2), 1000, 600)))
