@@ -439,7 +439,7 @@ def matrix_mig_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions and rows that nodes send each other for a change of the grid over orders and customers."""
     n_r, n_s = _counts(spark, sf_dir)
     moves, total = merge_sends(change_grid(_OLD, _CHANGED, n_r, n_s)), {"R": n_r, "S": n_s}
-    rows = [(a, b, s, round(length(x), 9), sum(floor(hi * total[s]) - floor(lo * total[s]) for lo, hi in x)) for (a, b, s), x in sorted(moves.items())]
+    rows = [(a, b, s, round(length(x), 12), sum(floor(hi * total[s]) - floor(lo * total[s]) for lo, hi in x)) for (a, b, s), x in sorted(moves.items())]
     return spark.createDataFrame(rows, "from_node int, to_node int, side string, fraction double, n_rows long")
 
 
@@ -750,7 +750,7 @@ giver AS (SELECT need.*, g.node AS from_node, 0 AS turn, g.cell AS place FROM ne
   UNION ALL SELECT need.*, o.node, 1, o.node FROM need JOIN old o ON CASE WHEN need.side = 'R' THEN o.j = 0 AND lo >= r0 AND hi <= r1 ELSE o.i = 0 AND lo >= s0 AND hi <= s1 END),
 sent AS (SELECT *, row_number() OVER (PARTITION BY cell, side, kind, lo ORDER BY turn, place) AS k FROM giver WHERE kind = 1 OR from_node <> node),
 moved AS (SELECT DISTINCT from_node, node AS to_node, side, lo, hi FROM sent WHERE k = 1 AND from_node <> node)
-SELECT CAST(from_node AS INTEGER) AS from_node, to_node, side, round(sum(hi - lo), 9) AS fraction, CAST(sum(floor(hi * CASE side WHEN 'R' THEN n.r ELSE n.s END) - floor(lo * CASE side WHEN 'R' THEN n.r ELSE n.s END)) AS BIGINT) AS n_rows FROM moved, n GROUP BY 1, 2, 3"""
+SELECT CAST(from_node AS INTEGER) AS from_node, to_node, side, round(sum(hi - lo), 12) AS fraction, CAST(sum(floor(hi * CASE side WHEN 'R' THEN n.r ELSE n.s END) - floor(lo * CASE side WHEN 'R' THEN n.r ELSE n.s END)) AS BIGINT) AS n_rows FROM moved, n GROUP BY 1, 2, 3"""
 _BAND_ROUTE = (
     f"WITH li AS ({_L}), m AS (SELECT side, l_orderkey AS k, l_partkey + l_suppkey AS seq, 'STORE' AS role FROM li UNION ALL "
     f"SELECT side, unnest(range(greatest(l_orderkey - {BAND}, 0), l_orderkey + {BAND + 1})), l_partkey + l_suppkey, 'JOIN' FROM li WHERE CASE WHEN side = 'R' THEN l_returnflag = 'R' ELSE l_quantity > 48 AND l_linestatus = 'O' END), "
