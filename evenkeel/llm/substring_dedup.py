@@ -391,15 +391,16 @@ def repeated_spans(texts: DataFrame, matched: DataFrame, width: int) -> DataFram
     # spans that repeat in full: all their places
     whole = said.join(found.where("n > 1").select(*same), same, "left_semi").select(*_PLACE, "cnt").withColumn("mask", F.lit(-1))
     # keys of several contents: one place of each content is expanded
-    several = found.groupBy("mhash").agg(F.count("*").alias("contents")).where("contents > 1").select("mhash")
-    mixed = found.join(several, "mhash", "left_semi").unionByName(found.where("tie and n = 1").join(several, "mhash", "left_anti"))
+    several = found.groupBy("mhash").agg(F.count("*").alias("contents")).where("contents > 1").select(own_exchange("mhash").alias("x"))
+    found = found.withColumn("x", own_exchange("mhash"))
+    mixed = found.join(several, "x", "left_semi").unionByName(found.where("tie and n = 1").join(several, "x", "left_anti"))
     asked = mixed.select((F.col("n") == 1).alias("alone"), "at.*")
     win = _ask(texts, asked, "start", "cnt", "alone").mapInArrow(
         _digester(width, True), "d1 long, d2 long, k1 long, k2 long, start int, bit tinyint, alone boolean"
     )
     win = materialise(win, "windows")
-    again = win.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-    parts = win.where("alone").join(again, ["d1", "d2"], "left_semi").groupBy(*_PLACE).agg(
+    again = win.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select(own_exchange("d1").alias("x"), "d2")
+    parts = win.where("alone").withColumn("x", own_exchange("d1")).join(again, ["x", "d2"], "left_semi").groupBy(*_PLACE).agg(
         F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.lit(MOST).cast("tinyint").alias("cnt")
     )
     spans = whole.unionByName(parts.select(*_PLACE, "cnt", "mask"))
