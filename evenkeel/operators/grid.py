@@ -21,18 +21,26 @@ def assign(rows: DataFrame, grid: Grid, relation: str, place: Column) -> DataFra
     to one cell of that column, marked special, and likewise S for a short last row, so that each pair of R and S
     meets in exactly one node.
     """
-    number = {cell: n for n, cell in enumerate(grid.cells())}
-    across = grid.rows if relation == "R" else grid.cols
-    lines = [[(n, False) for (i, j), n in number.items() if (i if relation == "R" else j) == k] for k in range(across)]
-    edge = (grid.short == "col") == (relation == "R")  # does the short edge cut this relation's lines?
-    out = F.array(*[F.array(*[F.struct(F.lit(n).alias("node"), F.lit(sp).alias("special")) for n, sp in line]) for line in lines])
+    by_row, short_col = relation == "R", grid.short == "col"
+    across = grid.rows if by_row else grid.cols
+    last = grid.last or (grid.rows if short_col else grid.cols)
     at = F.pmod(place, F.lit(across)).cast("int")
-    cells = F.get(out, at)
-    last = grid.last or (grid.rows if grid.short == "col" else grid.cols)
-    if edge and last < across:
-        stand = [number[(k, grid.cols - 1)] if relation == "R" else number[(grid.rows - 1, k)] for k in range(last)]
-        one = F.get(F.array(*[F.lit(n) for n in stand]), F.pmod(F.floor(place / across), F.lit(last)).cast("int"))
-        cells = F.when(at >= last, F.concat(cells, F.array(F.struct(one.alias("node"), F.lit(True).alias("special"))))).otherwise(cells)
+
+    def cell(i: Column, j: Column, special: bool) -> Column:
+        """The number of a cell, row by row, leaving out those that the short edge lacks."""
+        n = F.when(i <= last, i * grid.cols + j).otherwise(last * grid.cols + (i - last) * (grid.cols - 1) + j) if short_col else i * grid.cols + j
+        return F.struct(n.cast("int").alias("node"), F.lit(special).alias("special"))
+
+    if by_row:
+        size = F.when(at < last, grid.cols).otherwise(grid.cols - 1) if short_col else F.when(at < grid.rows - 1, grid.cols).otherwise(last)
+    else:
+        size = F.when(at < grid.cols - 1, grid.rows).otherwise(last) if short_col else F.when(at < last, grid.rows).otherwise(grid.rows - 1)
+    line = F.transform(F.sequence(F.lit(0), size - 1), lambda k: cell(at, k, False) if by_row else cell(k, at, False))
+    cells = F.when(size > 0, line).otherwise(F.array().cast("array<struct<node:int,special:boolean>>"))
+    if short_col == by_row and last < across:  # the short edge cuts this relation's lines
+        k = F.pmod(F.floor(place / across), F.lit(last)).cast("int")
+        one = cell(k, F.lit(grid.cols - 1), True) if by_row else cell(F.lit(grid.rows - 1), k, True)
+        cells = F.when(at >= last, F.concat(cells, F.array(one))).otherwise(cells)
     return rows.withColumn("_c", F.explode(cells)).select(*rows.columns, F.col("_c.node").alias("node"), F.col("_c.special").alias("special"))
 
 

@@ -203,7 +203,7 @@ def test_grid_change_gives_each_cell_its_part(old, new):
     assert abs(sum(b - a for *_, a, b in plan.special) - missing / (new.rows if new.short == "col" else new.cols)) < 1e-9
 
 
-@pytest.mark.parametrize("grid", [Grid(1, 1), Grid(3, 4), Grid(4, 3, "col", 2), Grid(4, 3, "row", 1), Grid(2, 5, "row", 3)])
+@pytest.mark.parametrize("grid", [Grid(1, 1), Grid(3, 4), Grid(4, 3, "col", 2), Grid(4, 3, "row", 1), Grid(2, 5, "row", 3), Grid(5, 1, "col", 2), Grid(1, 4, "row", 3), Grid(6, 7, "col", 5)])
 def test_every_pair_meets_once(spark, grid):
     from pyspark.sql import functions as F
 
