@@ -102,11 +102,9 @@ def decompressor() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
 
-def squeeze(pack, raw: bytes) -> bytes:
-    """The byte planes of ids, each compressed with a code of its own; upper planes without a bit are left out."""
-    planes = np.frombuffer(raw, np.uint8).reshape(-1, 4)
-    used = max(1, (int(np.frombuffer(raw, "<u4").max(initial=0)).bit_length() + 7) // 8)
-    parts = [pack.compress(planes[:, k].tobytes()) for k in range(used)]
+def squeeze(pack, planes: list, used: int) -> bytes:
+    """The byte planes of a chunk's ids, each compressed with a code of its own; upper planes without a bit are left out."""
+    parts = [pack.compress(x) for x in planes[:used]]
     return struct.pack(f"<B{used - 1}H", used, *map(len, parts[:-1])) + b"".join(parts)  # a plane has MOST bytes at most
 
 
@@ -126,33 +124,40 @@ def unsqueeze(unpack, data: bytes) -> bytes:
 
 def _chunker(tokenizer: str, end_id: int):
     """(doc_id, text) to (doc_id, n_tokens, digests, chunks): the chunks that this task hasn't seen before."""
-    chunk = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int64()), ("data", pa.binary())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("chunks", chunk)])
+    fields = [pa.field("digest", pa.binary()), pa.field("n", pa.int64()), pa.field("data", pa.binary())]
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("chunks", pa.list_(pa.struct(fields)))])
 
     def run(batches):
         enc, pack = encoder(tokenizer), compressor()
         end, seen = np.array([end_id], dtype="<u4"), set()
         for batch in slices(batches):
-            cols: tuple[list, list, list, list] = ([], [], [], [])
+            recipes, ends_of, fresh = [], [0], []
             pieces = [x for own in enc.encode(batch.column(1).to_pylist()) for x in (own, end)]
             stream = np.concatenate(pieces)
             sizes = [len(x) + 1 for x in pieces[::2]]
             starts = np.cumsum(sizes) - sizes
-            for doc_id, a, n, ends in zip(batch.column(0).to_pylist(), starts.tolist(), sizes, cut_streams(stream, starts), strict=True):
-                digests, fresh, at = [], [], 0
+            raw = memoryview(stream).cast("B")
+            used = max(1, (int(stream.max(initial=0)).bit_length() + 7) // 8)
+            planes = [memoryview((stream >> (8 * k)).astype(np.uint8)) for k in range(used)]
+            for a, ends in zip(starts.tolist(), cut_streams(stream, starts), strict=True):
+                digests, at = [], 0
                 for p in ends:
-                    raw = stream[a + at : a + p].tobytes()
-                    d = hashlib.sha256(raw).digest()
+                    i, j = a + at, a + p
+                    d = hashlib.sha256(raw[4 * i : 4 * j]).digest()
                     digests.append(d)
                     if d not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(d)
-                        fresh.append({"digest": d, "n": p - at, "data": squeeze(pack, raw)})
+                        own = max(1, (int(stream[i:j].max()).bit_length() + 7) // 8)
+                        fresh.append((d, p - at, squeeze(pack, [x[i:j] for x in planes], own)))
                     at = p
-                for c, x in zip(cols, (doc_id, n, b"".join(digests), fresh), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                recipes.append(b"".join(digests))
+                ends_of.append(len(fresh))
+            cols = list(zip(*fresh, strict=True)) or [(), (), ()]
+            chunks = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], fields=fields)
+            chunks = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), chunks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(recipes, pa.binary()), chunks], schema=schema)
 
     return run
 
@@ -308,9 +313,10 @@ def _assembler(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     for batch in batches:
         rows, size = [], 0
-        for doc_id, start, n, root, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            parts.sort(key=lambda p: p["at"])
-            raw = [unsqueeze(unpack, p["data"]) for p in parts]
+        parts = batch.column(4)
+        places, data, bounds = parts.values.field(0).to_pylist(), parts.values.field(1).to_pylist(), parts.offsets.to_pylist()
+        for doc_id, start, n, root, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), bounds[:-1], bounds[1:], strict=True):
+            raw = [unsqueeze(unpack, data[i]) for i in sorted(range(a, b), key=places.__getitem__)]
             digests = [hashlib.sha256(x).digest() for x in raw]
             if merkle(digests) != root or sum(map(len, raw)) != 4 * n:
                 raise StoreError(f"document {doc_id}: the chunks don't match its root")

@@ -207,6 +207,21 @@ def test_chunks_give_the_ids_of_the_whole(text):
     assert TextEncoder("word_bpe_49k.json").ids(text.encode("utf-8", "replace")).tolist() == WORD_BPE.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
 
 
+def test_library_is_asked_for_a_word_once(monkeypatch):
+    monkeypatch.setattr(TextEncoder, "WORDS", 200)
+    enc, asked, ids = TextEncoder("word_bpe_49k.json"), Counter(), TextEncoder._ids
+    monkeypatch.setattr(enc, "_ids", lambda text, *own: asked.update(text.split()) or ids(enc, text, *own))
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    common = [name(i) for i in range(60)]
+    marks = ["", ".", "***", "!!", ",&&&", "'\""]
+    for turn in range(20):
+        words = common + [name(1000 + 50 * turn + k) for k in range(50)]
+        text = " ".join(w + marks[(i + turn) % 6] for i, w in enumerate(words))
+        assert enc.ids(text.encode()).tolist() == WORD_BPE.encode(text, add_special_tokens=False).ids
+    assert {asked[w] for w in common} == {1}  # the store has been full several times
+    assert all(w.isalpha() or not any(map(str.isalpha, w)) for w in asked)  # letters and marks apart
+
+
 def test_packing(odd_docs):
     pieces = packing.pack(odd_docs).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces)
