@@ -54,8 +54,11 @@ def inequality_counts(r: DataFrame, s: DataFrame, key: str, bucket: int = 4096)
 
 
 def grid_join(r_cells: DataFrame, s_cells: DataFrame, condition: Column) -> DataFrame:
-    """Pairs that meet in a cell (column node) and satisfy any condition; rows come from grid.assign."""
-    left, right = r_cells.drop("special"), s_cells.drop("special").withColumnRenamed("node", "_node")
+    """Pairs that meet in a cell (column node) and satisfy any condition; rows come from grid.assign.
+
+    Both sides are shuffled: sizes are estimated without a row's copies, so that the planner would broadcast what is many times
+    as large."""
+    left, right = r_cells.drop("special"), s_cells.drop("special").withColumnRenamed("node", "_node").hint("merge")
     return left.join(right, (F.col("node") == F.col("_node")) & condition).drop("node", "_node")
 
 

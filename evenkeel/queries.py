@@ -13,7 +13,7 @@ from .functions.hashing import Ring, ring_lookup
 from .operators import grid as gridop
 from .operators import joins, migrate, routing, stats
 from .plans import greedy, prefix_sum
-from .plans.grid import TARGET, TRIGGER, Grid, change_grid, grid_for, merge_sends, needs_resize, node_share, overlaps, pieces, resized, size_grid
+from .plans.grid import TARGET, TRIGGER, Grid, change_grid, grid_within, merge_sends, needs_resize, node_share, overlaps, pieces, resized, size_grid
 from .plans.intervals import length
 from .session import scratch, written
 from .sources import control
@@ -26,6 +26,8 @@ SIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 GRID = Grid(4, 3, "col", 2)
 #: Rows that a node of the grids over tables holds.
 NODE_ROWS = 4096
+#: Nodes that a join over tables has at most, however many rows: the reference's joiners (LoadBalanceTopologyMFM.java:28-36).
+MOST_NODES = 40
 _SKEW = "CASE WHEN l_orderkey % 10 < 5 THEN 0 WHEN l_orderkey % 10 = 5 THEN 7 ELSE l_partkey % 50 END"
 
 
@@ -376,8 +378,8 @@ def _counts(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> Grid:
-    """The grid for the tables' counts."""
-    return grid_for(*_counts(spark, sf_dir), NODE_ROWS)
+    """The grid for the tables' counts, with as many nodes as there are at most."""
+    return grid_within(*_counts(spark, sf_dir), NODE_ROWS, MOST_NODES)
 
 
 def matrix_size_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,8 +397,8 @@ def matrix_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "load double, overloaded boolean, grid_rows int, grid_cols int, nodes int")
 
 
-def _orders_cells(spark: SparkSession, sf_dir: str, *cols: str, grid: Grid = GRID) -> DataFrame:
-    return gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey", *cols), grid, "R", F.col("o_orderkey"))
+def _orders_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey"), GRID, "R", F.col("o_orderkey"))
 
 
 def _customer_cells(spark: SparkSession, sf_dir: str, *cols: str, grid: Grid = GRID) -> DataFrame:
@@ -407,16 +409,21 @@ def grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_cells(spark, sf_dir).select("o_orderkey", "node", "special")
 
 
-def matrix_join_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matrix_sides(spark: SparkSession, sf_dir: str, r_cols: list[str], s_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Orders and customers at the nodes of the grid for their counts; an order without a key has a line too."""
     grid = _sized(spark, sf_dir)
-    r, s = _orders_cells(spark, sf_dir, "o_custkey", grid=grid), _customer_cells(spark, sf_dir, "c_name", grid=grid)
+    r = gridop.assign(table(spark, sf_dir, "orders").select("o_orderkey", *r_cols), grid, "R", F.coalesce("o_orderkey", F.lit(0)))
+    return r, _customer_cells(spark, sf_dir, *s_cols, grid=grid)
+
+
+def matrix_join_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = _matrix_sides(spark, sf_dir, ["o_custkey"], ["c_name"])
     return joins.grid_join(r, s, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
 
 
 def matrix_join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _sized(spark, sf_dir)
     near = (F.abs(F.col("o_custkey") - F.col("c_custkey")) <= 1) & (F.col("o_totalprice") > F.col("c_acctbal"))
-    r, s = _orders_cells(spark, sf_dir, "o_custkey", "o_totalprice", grid=grid), _customer_cells(spark, sf_dir, "c_acctbal", grid=grid)
+    r, s = _matrix_sides(spark, sf_dir, ["o_custkey", "o_totalprice"], ["c_acctbal"])
     return joins.grid_join(r, s, near).select("o_orderkey", "o_custkey", "c_custkey")
 
 
