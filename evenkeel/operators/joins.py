@@ -53,13 +53,23 @@ def inequality_counts(r: DataFrame, s: DataFrame, key: str, bucket: int = 4096)
     return flipped.where("n_r > 0").select(key, "n_r", F.col("n_s_before").alias("n_greater"))
 
 
-def grid_join(r_cells: DataFrame, s_cells: DataFrame, condition: Column) -> DataFrame:
+def grid_join(r_cells: DataFrame, s_cells: DataFrame, condition: Column, near: tuple[str, str, int] | None = None) -> DataFrame:
     """Pairs that meet in a cell (column node) and satisfy any condition; rows come from grid.assign.
 
-    Both sides are shuffled: sizes are estimated without a row's copies, so that the planner would broadcast what is many times
+    In a cell every row of R is held against every row of S, unless the condition has an equality or, as near = (r_key,
+    s_key, width) tells, holds only for integer keys within width of each other: then those of one range of keys are, and a
+    row of S near the end of a range is in the next one too.  Both sides are shuffled: sizes are estimated without a row's copies, so that the planner would broadcast what is many times
     as large."""
-    left, right = r_cells.drop("special"), s_cells.drop("special").withColumnRenamed("node", "_node").hint("merge")
-    return left.join(right, (F.col("node") == F.col("_node")) & condition).drop("node", "_node")
+    left, right = r_cells.drop("special"), s_cells.drop("special").withColumnRenamed("node", "_node")
+    meet = F.col("node") == F.col("_node")
+    if near:
+        r_key, s_key, width = near
+        bits = (8 * width).bit_length()  # ranges of a power of two, by shifts, which are exact for any key
+        at, offset = F.shiftright(s_key, bits), F.col(s_key).bitwiseAND(F.lit((1 << bits) - 1))
+        ranges = F.sequence(at - (offset < width).cast("int"), at + (offset >= (1 << bits) - width).cast("int"))
+        left, right = left.withColumn("_range", F.shiftright(r_key, bits)), right.withColumn("_near", F.explode(ranges))
+        meet &= F.col("_range") == F.col("_near")
+    return left.join(right.hint("merge"), meet & condition).drop("node", "_node", "_range", "_near")
 
 
 def count_by_key(fact: DataFrame, members: DataFrame, fact_key: str, member_key: str) -> DataFrame:

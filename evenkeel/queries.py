@@ -424,7 +424,7 @@ def matrix_join_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix_join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = (F.abs(F.col("o_custkey") - F.col("c_custkey")) <= 1) & (F.col("o_totalprice") > F.col("c_acctbal"))
     r, s = _matrix_sides(spark, sf_dir, ["o_custkey", "o_totalprice"], ["c_acctbal"])
-    return joins.grid_join(r, s, near).select("o_orderkey", "o_custkey", "c_custkey")
+    return joins.grid_join(r, s, near, ("o_custkey", "c_custkey", 1)).select("o_orderkey", "o_custkey", "c_custkey")
 
 
 def matrix_load(spark: SparkSession, sf_dir: str) -> DataFrame:

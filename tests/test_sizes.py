@@ -2,7 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from evenkeel.operators import grid as gridop
+from evenkeel.operators.joins import grid_join
 from evenkeel.plans.grid import Grid, grid_for, grid_within
 from evenkeel.queries import MOST_NODES, NODE_ROWS, ORACLES, QUERIES
 
@@ -53,3 +56,25 @@ def test_matrix_joins_of_odd_tables(spark, tmp_path, name):
     df = QUERIES[name](spark, folder)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
     assert len(want) > 3000 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("width", [0, 1, 3, 10])
+def test_rows_of_a_cell_meet_by_ranges_of_keys(spark, width):
+    """The pairs of the join that holds all rows of a cell against each other, without holding far rows against each other."""
+    keys = [*range(-70, 70, 1), 2**61, 2**61 + 1, 2**61 + 5, None, 7, 7, 7]
+    r, s = (spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{x}_key long, {x} int") for x in "rs")
+    grid = Grid(3, 2, "col", 2)
+    left, right = gridop.assign(r, grid, "R", F.col("r")), gridop.assign(s, grid, "S", F.col("s"))
+    close = F.abs(F.col("r_key") - F.col("s_key")) <= width
+    met = grid_join(left, right, close, ("r_key", "s_key", width))
+    got = sorted((x.r, x.s) for x in met.collect())
+    assert met.columns == ["r_key", "r", "s_key", "s"]
+    assert got == sorted((i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if a is not None and b is not None and abs(a - b) <= width)
+    every = grid_join(left, right, F.lit(True), ("r_key", "s_key", width)).count()  # pairs that are held against each other
+    assert every < len(keys) * (24 * width + 8)
+
+
+def test_matrix_join_theta_holds_near_keys_against_each_other(spark):
+    plan = QUERIES["matrix_join_theta"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join [node#" in x]
+    assert joins and all("_range#" in x.split("]")[0] for x in joins)
