@@ -6,13 +6,9 @@ watermark is given.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.joins import band_join
 from ..operators.stats import histogram
@@ -63,18 +59,11 @@ def stream_load(rows: DataFrame) -> DataFrame:
 
 
 def stream_key_sides(rows: DataFrame) -> DataFrame:
-    """Rows of each key (key, side) on either side, kept as state for the whole history; a key is told anew with each batch that has it."""
-
-    def count(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n_r, n_s = state.get if state.exists else (0, 0)
-        for frame in frames:
-            r = int((frame["side"] == "R").sum())
-            n_r, n_s = n_r + r, n_s + len(frame) - r
-        state.update((n_r, n_s))
-        yield pd.DataFrame({"key": [key[0]], "n_r": [n_r], "n_s": [n_s]})
-
-    out, kept = "key long, n_r long, n_s long", "n_r long, n_s long"
-    return rows.select("key", "side").groupBy("key").applyInPandasWithState(count, out, kept, "update", GroupStateTimeout.NoTimeout)
+    """Rows of each key (key, side) on either side, kept as state for the whole history; a key is told anew with each batch that has it.
+
+    Counts are summed before they are shuffled, so that a common key is a row for each task of a batch."""
+    n_r = F.count_if(F.col("side") == "R")
+    return rows.groupBy("key").agg(n_r.alias("n_r"), (F.count("*") - n_r).alias("n_s"))
 
 
 def drain_updates(stream: DataFrame, name: str, key: str) -> DataFrame:

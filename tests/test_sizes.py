@@ -8,6 +8,7 @@ from evenkeel.operators import grid as gridop
 from evenkeel.operators.joins import grid_join
 from evenkeel.plans.grid import Grid, grid_for, grid_within
 from evenkeel.queries import MOST_NODES, NODE_ROWS, ORACLES, QUERIES
+from evenkeel.streaming.joins import drain_updates, stream_key_sides
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,19 @@ def test_matrix_join_theta_holds_near_keys_against_each_other(spark):
     plan = QUERIES["matrix_join_theta"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join [node#" in x]
     assert joins and all("_range#" in x.split("]")[0] for x in joins)
+
+
+def test_stream_counts_before_it_shuffles(spark, tmp_path):
+    """A key that has nearly all rows is shuffled as its counts; nulls are a key, and a row without a side is S."""
+    rows = spark.range(20_000, numPartitions=4).selectExpr("case when id % 100 < 98 then 0 when id % 100 = 98 then null else id % 7 end as key", "case id % 3 when 0 then 'R' when 1 then 'S' end as side")
+    for n in range(2):
+        rows.write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"file://{tmp_path}/in")
+    want = {(r.key, 2 * r.n_r, 2 * (r.n - r.n_r)) for r in rows.groupBy("key").agg(F.count_if(F.col("side") == "R").alias("n_r"), F.count("*").alias("n")).collect()}
+    assert {tuple(r) for r in drain_updates(stream_key_sides(stream), "sides", "key").collect()} == want and len(want) == 8
+
+    q = stream_key_sides(stream).writeStream.outputMode("update").format("memory").queryName("sides_plan").trigger(availableNow=True).start()
+    q.awaitTermination()
+    plan = q._jsq.streamingQuery().lastExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(key", 1)
+    assert "HashAggregate(keys=[key" in below and "Python" not in plan and "Pandas" not in plan
